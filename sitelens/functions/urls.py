@@ -91,18 +91,20 @@ def resolve_link(href, base) -> Column:
     b = _c(base)
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    base_nofrag = F.regexp_extract(b, r"(?s)^([^#]*)", 1)
     base_noquery = F.regexp_extract(b, r"(?s)^([^?#]*)", 1)
-    base_path = url_path(b)
-    base_dir = F.concat(origin, F.regexp_extract(base_path, r"(?s)^(.*/)", 1))
-    base_dir = F.when(base_path.contains("/"), base_dir).otherwise(F.concat(origin, F.lit("/")))
-    return (F.when(h.rlike(r"(?i)^https?://"), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
-            .when((h == F.lit("")) | h.startswith("#"), F.lit(None).cast("string"))
-            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-            .when(h.startswith("?"), F.concat(base_noquery, h))
-            .otherwise(F.concat(base_dir, h)))
+    # base directory: origin + path up to its last '/', or origin + '/'
+    dir_path = F.regexp_extract(url_path(b), r"(?s)^(.*/)", 1)
+    base_dir = F.concat(origin, F.when(dir_path == F.lit(""), F.lit("/")).otherwise(dir_path))
+    # one lookup on the shape of the href, then one concat
+    kind = (F.when(h.rlike(r"(?i)^https?://"), F.lit(0))
+            .when(h.startswith("//"), F.lit(1))
+            .when(h.startswith("/"), F.lit(2))
+            .when((h == F.lit("")) | h.startswith("#") | h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(9))
+            .when(h.startswith("?"), F.lit(3))
+            .otherwise(F.lit(4)))
+    prefix = F.element_at(F.array(F.lit(""), F.concat(scheme, F.lit(":")), origin, base_noquery, base_dir),
+                          F.least(kind, F.lit(4)) + 1)
+    return F.when(kind == 9, F.lit(None).cast("string")).otherwise(F.concat(prefix, h))
 
 
 def is_asset(col) -> Column:
