@@ -47,7 +47,7 @@ SELECT concat('d', CAST(doc_id AS VARCHAR), '.example') AS domain, doc_id AS seq
     "translated": r"""
 SELECT concat('d', CAST(doc_id AS VARCHAR), '.example') AS domain, doc_id AS seq,
   CASE WHEN doc_id % 6 = 0 THEN 'error' ELSE 'ok' END AS status,
-  CASE WHEN doc_id % 8 = 0 THEN '' ELSE upper(text) END AS text
+  CASE WHEN doc_id % 8 = 0 THEN '' ELSE concat('[en] ', text) END AS text
 FROM documents WHERE doc_id % 2 = 0""",
     "batch_results": r"""
 SELECT conv_id % 3 AS batch_id, concat('r', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS custom_id,

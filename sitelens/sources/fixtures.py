@@ -144,7 +144,7 @@ def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     i = F.col("doc_id")
     d = d.filter(i % 2 == 0)
-    text = F.when(i % 8 == 0, F.lit("")).otherwise(F.upper(F.col("text")))
+    text = F.when(i % 8 == 0, F.lit("")).otherwise(F.concat(F.lit("[en] "), F.col("text")))
     status = F.when(i % 6 == 0, F.lit("error")).otherwise(F.lit("ok"))
     return d.select(F.concat(F.lit("d"), i.cast("string"), F.lit(".example")).alias("domain"),
                     i.alias("seq"), status.alias("status"), text.alias("text"))
