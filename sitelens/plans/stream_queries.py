@@ -1 +1,82 @@
-"""Query keys (filled in below)."""
+"""Query keys for the streaming forms and the last report keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitelens.functions import text as TX
+from sitelens.operators import reports as RP
+from sitelens.plans import oracle as O
+from sitelens.plans.catalog import query
+from sitelens.session import shared_path
+from sitelens.sources import fixtures as FX
+from sitelens.sources.tables import table
+from sitelens.streaming import resumable as S
+
+SCRAPE_SCHEMA = "seq long, domain string, ok string, reason string, chars long"
+RESULT_SCHEMA = ("batch_id long, custom_id string, domain_id long, part long, n_parts long, "
+                 "result_type string, text string")
+
+
+@query("failure_breakdown", O.with_views(r"""
+SELECT coalesce(nullif(regexp_extract(reason, 'ERR_[A-Z0-9_]+', 0), ''), substring(reason, 1, 40)) AS reason,
+  count(*) AS n FROM scrape_log WHERE NOT """ + O.text_true("ok") + """ GROUP BY 1""", "scrape_log"))
+def q_failure_breakdown(spark, sf_dir):
+    return RP.failure_breakdown(FX.scrape_log(spark, sf_dir))
+
+
+@query("format_duration", f"""
+SELECT user_id, CAST(epoch(max(ts)) - epoch(min(ts)) AS DOUBLE) AS seconds,
+  {O.format_duration('epoch(max(ts)) - epoch(min(ts))')} AS duration FROM events GROUP BY user_id""")
+def q_format_duration(spark, sf_dir):
+    """J22 over per-user activity spans of ``events``."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts")
+    g = e.groupBy("user_id").agg(
+        (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("_us"))
+    sec = (F.col("_us") / F.lit(1e6)).cast("double")
+    return g.select("user_id", sec.alias("seconds"), TX.format_duration(sec).alias("duration"))
+
+
+@query("resume_stream", O.with_views("SELECT seq, domain, ok, reason, chars FROM scrape_log", "scrape_log"))
+def q_resume_stream(spark, sf_dir):
+    """L1: outcomes arrive as files in two runs; the second run re-sends the
+    rows of every fifth domain (retries).  Only first outcomes are logged."""
+    base = shared_path(spark, "resume-stream")
+    src, log, ckpt = f"{base}/in", f"{base}/log", f"{base}/checkpoint"
+    logs = FX.scrape_log(spark, sf_dir)
+    logs.write.mode("append").parquet(src)
+    S.resumable_log(spark, src, SCRAPE_SCHEMA, "domain", log, ckpt)
+    retries = FX.done_log(spark, sf_dir).withColumn("reason", F.lit("retry"))
+    retries.write.mode("append").parquet(src)
+    S.resumable_log(spark, src, SCRAPE_SCHEMA, "domain", log, ckpt)
+    return spark.read.schema(SCRAPE_SCHEMA).parquet(log).select("seq", "domain", "ok", "reason", "chars")
+
+
+@query("collect_stream", O.with_views("""
+SELECT domain_id, CASE WHEN max(CASE WHEN result_type <> 'succeeded' THEN 1 ELSE 0 END) = 1 THEN 'error' ELSE 'ok' END AS status,
+  CAST(max(n_parts) AS INTEGER) AS parts,
+  CASE WHEN max(CASE WHEN result_type <> 'succeeded' THEN 1 ELSE 0 END) = 0
+       THEN CAST(length(string_agg(text, chr(10) ORDER BY part)) AS BIGINT) END AS chars_out,
+  CASE WHEN max(CASE WHEN result_type <> 'succeeded' THEN 1 ELSE 0 END) = 0
+       THEN md5(string_agg(text, chr(10) ORDER BY part)) END AS text_md5
+FROM batch_results GROUP BY domain_id HAVING count(*) = max(n_parts)""", "batch_results"))
+def q_collect_stream(spark, sf_dir):
+    """L2: the result feed lands as one file per batch; domains are emitted once
+    complete (domains with a part still missing wait for their timeout)."""
+    base = shared_path(spark, "collect-stream")
+    src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+    feed = FX.batch_results(spark, sf_dir)
+    feed.write.mode("overwrite").partitionBy("batch_id").json(src)
+    S.collect_when_complete(spark, src, RESULT_SCHEMA, out, ckpt)
+    return spark.read.schema(S.OUT_SCHEMA).parquet(out).select("domain_id", "status", "parts", "chars_out",
+                                                                "text_md5")
+
+
+@query("progress_counters")
+def q_progress_counters(spark, sf_dir):
+    """L3: per micro-batch row counts and value sums over the ``events`` log."""
+    base = shared_path(spark, "progress")
+    src = f"{base}/in"
+    table(spark, sf_dir, "events").select("event_id", "ts", "value").repartition(4).write.mode(
+        "overwrite").parquet(src)
+    return S.progress(spark, src, "event_id long, ts timestamp, value double", "value", f"{base}/checkpoint")
