@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelens.functions.bind import let
+
 # Whitespace as Python's ``str.split()`` / ``str.strip()`` see it (Unicode
 # White_Space plus the four information separators 0x1C-0x1F).  Java's ``\s`` is
 # ASCII-only and ``(?U)\s`` misses 0x1C-0x1F, so the class is spelled out.
@@ -83,16 +85,17 @@ def byte_count(col) -> Column:
 
 def word_count(col) -> Column:
     """``len(text.split())``."""
-    t = trim_ws(col)
-    return F.when(t == F.lit(""), F.lit(0)).otherwise(F.size(F.split(t, f"{WS}+"))).cast("bigint")
+    return let(trim_ws(col), lambda t: F.when(t == F.lit(""), F.lit(0))
+               .otherwise(F.size(F.split(t, f"{WS}+"))).cast("bigint"))
 
 
 def line_count(col) -> Column:
     """Newline count plus one for a non-empty text not ending in newline."""
-    c = _c(col)
-    nl = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    tail = F.when((F.length(c) > 0) & ~c.endswith("\n"), F.lit(1)).otherwise(F.lit(0))
-    return (nl + tail).cast("bigint")
+    def body(c):
+        nl = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+        tail = F.when((F.length(c) > 0) & ~c.endswith("\n"), F.lit(1)).otherwise(F.lit(0))
+        return (nl + tail).cast("bigint")
+    return let(_c(col), body)
 
 
 def token_estimate(col) -> Column:
@@ -107,10 +110,14 @@ def truncate(col, n: int) -> Column:
 
 def is_junk(col, markers=JUNK_MARKERS, head_chars: int = JUNK_HEAD_CHARS) -> Column:
     """Any marker in the lower-cased head of the text."""
-    head = F.lower(F.substring(_c(col), 1, head_chars))
+    return let(F.lower(F.substring(_c(col), 1, head_chars)), lambda head: contains_any(head, markers))
+
+
+def contains_any(col, needles) -> Column:
+    """True when any of the fixed strings occurs in ``col``."""
     cond = F.lit(False)
-    for m in markers:
-        cond = cond | F.contains(head, F.lit(m))
+    for m in needles:
+        cond = cond | F.contains(col, F.lit(m))
     return cond
 
 

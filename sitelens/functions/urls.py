@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelens.functions.bind import let
 from sitelens.functions.text import trim_ws
 
 HOST_RE = r"^https?://([^/?#:]+)"
@@ -25,31 +26,38 @@ def clean_url(col) -> Column:
 
     Input must carry a scheme (``x://``); other strings pass through unchanged.
     """
-    u = _c(col)
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    auth = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    tail = F.regexp_extract(u, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
+    def build(u):
+        scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+        return let(F.struct(scheme.alias("s"),
+                            F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("a"),
+                            F.regexp_extract(u, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("p"),
+                            F.regexp_extract(u, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)", 1).alias("q"),
+                            u.alias("u")), _rebuild)
+    return let(_c(col), build)
+
+
+def _rebuild(x) -> Column:
+    scheme, auth, path, query = x["s"], x["a"], x["p"], x["q"]
     auth = (F.when(scheme == "http", F.regexp_replace(auth, r":80$", ""))
             .when(scheme == "https", F.regexp_replace(auth, r":443$", ""))
             .otherwise(auth))
-    path = F.regexp_extract(tail, r"(?s)^([^?#]*)", 1)
-    query = F.regexp_extract(tail, r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(
         F.filter(F.split(query, "&"), lambda p: (p != F.lit("")) & ~p.startswith("utm_")), "&")
     rebuilt = F.concat(scheme, F.lit("://"), auth, path,
                        F.when(kept != F.lit(""), F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
-    return F.when(scheme != F.lit(""), rebuilt).otherwise(u)
+    return F.when(scheme != F.lit(""), rebuilt).otherwise(x["u"])
 
 
 def normalise_homepage(col) -> Column:
     """Trim, blank -> null, add ``https://`` (leading ``/`` stripped) when the
     value does not start with ``http://``/``https://`` (case-sensitive, as in the
     reference), then :func:`clean_url`."""
-    raw = trim_ws(col)
-    with_scheme = (F.when(raw.startswith("http://") | raw.startswith("https://"), raw)
-                   .otherwise(F.concat(F.lit("https://"), F.regexp_replace(raw, r"^/+", ""))))
-    return F.when(F.coalesce(raw, F.lit("")) == F.lit(""), F.lit(None).cast("string")) \
-        .otherwise(clean_url(with_scheme))
+    def body(raw):
+        with_scheme = (F.when(raw.startswith("http://") | raw.startswith("https://"), raw)
+                       .otherwise(F.concat(F.lit("https://"), F.regexp_replace(raw, r"^/+", ""))))
+        return F.when(F.coalesce(raw, F.lit("")) == F.lit(""), F.lit(None).cast("string")) \
+            .otherwise(clean_url(with_scheme))
+    return let(trim_ws(col), body)
 
 
 def host_of(col) -> Column:
@@ -60,10 +68,10 @@ def host_of(col) -> Column:
 def site_key(col) -> Column:
     """C6 default key: host lower-cased without a leading ``www.``; a URL without
     an http(s) host falls back to the lower-cased value itself."""
-    u = _c(col)
-    h = F.lower(host_of(u))
-    h = F.when(h == F.lit(""), F.lower(u)).otherwise(h)
-    return F.regexp_replace(h, r"^www[.]", "")
+    def body(u):
+        h = F.lower(host_of(u))
+        return F.regexp_replace(F.when(h == F.lit(""), F.lower(u)).otherwise(h), r"^www[.]", "")
+    return let(_c(col), body)
 
 
 def url_path(col) -> Column:
@@ -87,24 +95,24 @@ def resolve_link(href, base) -> Column:
     ``?q`` the base path; other relatives the base directory.  Fragments-only,
     ``mailto:``, ``tel:``, ``javascript:`` and other schemes give null.
     """
-    h = trim_ws(href)
-    b = _c(base)
-    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    base_noquery = F.regexp_extract(b, r"(?s)^([^?#]*)", 1)
-    # base directory: origin + path up to its last '/', or origin + '/'
-    dir_path = F.regexp_extract(url_path(b), r"(?s)^(.*/)", 1)
-    base_dir = F.concat(origin, F.when(dir_path == F.lit(""), F.lit("/")).otherwise(dir_path))
-    # one lookup on the shape of the href, then one concat
-    kind = (F.when(h.rlike(r"(?i)^https?://"), F.lit(0))
-            .when(h.startswith("//"), F.lit(1))
-            .when(h.startswith("/"), F.lit(2))
-            .when((h == F.lit("")) | h.startswith("#") | h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(9))
-            .when(h.startswith("?"), F.lit(3))
-            .otherwise(F.lit(4)))
-    prefix = F.element_at(F.array(F.lit(""), F.concat(scheme, F.lit(":")), origin, base_noquery, base_dir),
-                          F.least(kind, F.lit(4)) + 1)
-    return F.when(kind == 9, F.lit(None).cast("string")).otherwise(F.concat(prefix, h))
+    def body(x):
+        h, b = x["h"], x["b"]
+        scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+        origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        base_noquery = F.regexp_extract(b, r"(?s)^([^?#]*)", 1)
+        # base directory: origin + path up to its last '/', or origin + '/'
+        dir_path = F.regexp_extract(url_path(b), r"(?s)^(.*/)", 1)
+        base_dir = F.concat(origin, F.when(dir_path == F.lit(""), F.lit("/")).otherwise(dir_path))
+        kind = (F.when(h.rlike(r"(?i)^https?://"), F.lit(0))
+                .when(h.startswith("//"), F.lit(1))
+                .when(h.startswith("/"), F.lit(2))
+                .when((h == F.lit("")) | h.startswith("#") | h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(9))
+                .when(h.startswith("?"), F.lit(3))
+                .otherwise(F.lit(4)))
+        prefix = F.element_at(F.array(F.lit(""), F.concat(scheme, F.lit(":")), origin, base_noquery, base_dir),
+                              F.least(kind, F.lit(4)) + 1)
+        return F.when(kind == 9, F.lit(None).cast("string")).otherwise(F.concat(prefix, h))
+    return let(F.struct(trim_ws(href).alias("h"), _c(base).alias("b")), body)
 
 
 def is_asset(col) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import html as H
 from sitelens.functions import urls as U
-from sitelens.functions.text import is_blank, is_junk
+from sitelens.functions.bind import let
+from sitelens.functions.text import contains_any, is_blank, is_junk
 from sitelens.operators.ordering import first_per_key
 
 MAX_SUBPAGES = 25
@@ -51,12 +52,12 @@ ERROR_PAGE_MARKERS = ("page not found", "404 not found", "service unavailable",
 def quality_filter(extracted: DataFrame) -> DataFrame:
     """Keep pages that extracted, are not interstitials (D7) and are not
     error/parked placeholders."""
-    head = F.lower(F.concat_ws(" ", F.col("title"), F.substring("text", 1, 2000)))
-    bad = F.lit(False)
-    for m in ERROR_PAGE_MARKERS:
-        bad = bad | F.contains(head, F.lit(m))
-    ok = F.col("error").isNull() & ~bad & ~is_junk(F.coalesce(F.col("text"), F.lit("")))
-    return extracted.filter(ok)
+    def keep(p):
+        head = F.lower(F.concat_ws(" ", p["title"], F.substring(p["text"], 1, 2000)))
+        return (p["error"].isNull() & ~contains_any(head, ERROR_PAGE_MARKERS)
+                & ~is_junk(F.coalesce(p["text"], F.lit(""))))
+    # bound once: the extracted text is not re-derived for every marker
+    return extracted.filter(let(F.struct("title", "text", "error"), keep))
 
 
 def homepages(pages: DataFrame) -> DataFrame:
@@ -82,13 +83,18 @@ def first_level_links(home: DataFrame, pages_html: DataFrame, max_subpages: int
     # Catalyst keeps them as separate projections instead of inlining copies
     x = x.withColumn("_res", U.resolve_link(F.col("href"), F.col("home_url"))).filter(F.col("_res").isNotNull())
     x = x.withColumn("link", U.clean_url(F.col("_res")))
+
+    def keep(v):
+        link, home = v["link"], v["home"]
+        canon = U.canonical(link)
+        ok = ((U.site_key(link) == U.site_key(home)) & ~U.is_asset(link) & (canon != F.lit(""))
+              & (canon != U.canonical(U.clean_url(home))))
+        if max_depth and max_depth > 0:
+            ok = ok & (U.url_depth(link) <= max_depth)
+        return ok
+    # one predicate over a bound (link, home) pair: the link expression is not copied per use
+    x = x.filter(let(F.struct(F.col("link").alias("link"), F.col("home_url").alias("home")), keep))
     x = x.withColumn("canon", U.canonical(F.col("link")))
-    x = x.withColumn("_home_canon", U.canonical(U.clean_url(F.col("home_url"))))
-    keep = ((U.site_key(F.col("link")) == U.site_key(F.col("home_url"))) & ~U.is_asset(F.col("link"))
-            & (F.col("canon") != F.lit("")) & (F.col("canon") != F.col("_home_canon")))
-    if max_depth and max_depth > 0:
-        keep = keep & (U.url_depth(F.col("link")) <= max_depth)
-    x = x.filter(keep)
     firsts = x.groupBy("domain", "canon").agg(F.min_by("link", "pos").alias("url"), F.min("pos").alias("pos"))
     capped = firsts.groupBy("domain").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("pos", "url"))), 1, max_subpages).alias("links"))
