@@ -16,9 +16,20 @@ def test_column_pruning_and_pushdown(spark, sf_small):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan  # html never read for the manifest
 
 
-def test_no_single_partition_exchange(spark, sf_small):
+def _single_partition_inputs(plan: str):
+    """The operator feeding each ``Exchange SinglePartition`` of a plan."""
+    lines = plan.splitlines()
+    return [lines[i + 1] if i + 1 < len(lines) else "" for i, ln in enumerate(lines)
+            if "Exchange SinglePartition" in ln]
+
+
+def test_single_partition_only_after_aggregation(spark, sf_small):
+    """A single-partition exchange may only carry pre-aggregated rows (partial
+    counts of a global aggregate, one count per partition for the ordinal
+    offsets), never the rows themselves."""
     load_all()
-    for key in ("manifest", "site_companies", "symbol_counts", "reachability", "work_list", "stratified_split",
-                "request_ids", "tfidf"):
+    for key in ("manifest", "site_companies", "symbol_counts", "symbol_summary", "reachability", "work_list",
+                "stratified_split", "request_ids", "tfidf", "reassemble", "language_breakdown"):
         plan = _plan(QUERIES[key](spark, sf_small))
-        assert "SinglePartition" not in plan.split("TakeOrderedAndProject")[0] or key == "request_ids", key
+        for feeder in _single_partition_inputs(plan):
+            assert "HashAggregate" in feeder or "TakeOrderedAndProject" in feeder, (key, feeder)
