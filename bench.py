@@ -23,7 +23,7 @@ HEADLINE = [
     "symbol_summary", "text_length_summary", "language_breakdown", "clean_text",
     "page_extract", "first_level_links", "site_result", "reachability", "domain_funnel",
     "work_list", "build_classify_requests", "build_translate_requests", "batch_plan",
-    "reassemble", "verdicts", "stratified_split", "tfidf", "language_id", "threshold_sweep",
+    "reassemble", "verdicts", "stratified_split", "tfidf", "threshold_sweep",
 ]
 
 
@@ -46,6 +46,7 @@ def main() -> None:
             if i > 0:
                 best = dt if best is None else min(best, dt)
         times[key] = round(best, 3)
+        print(f"[bench] {key}: {times[key]:.3f}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "sum_best_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}))

@@ -51,7 +51,10 @@ def classify_requests(work: DataFrame, model: str = RQ.CLASSIFY_DEFAULT_MODEL,
     source; input cut to ``max_input_chars``; ``custom_id`` = ``c<n>``."""
     skipped = work.filter(is_blank("text")).select("seq", "domain", F.lit("empty_source").alias("error"))
     real = work.filter(~is_blank("text"))
-    real = global_ordinal(real, ["seq"], "ordinal")
+    # number a narrow (seq) projection: the range-partition sampling pass and the
+    # shuffle then move ids only; the text joins back once
+    ords = global_ordinal(real.select("seq"), ["seq"], "ordinal")
+    real = real.join(ords, "seq")
     prompt = RQ.user_prompt(F.col("domain"), F.substring("text", 1, max_input_chars))
     m, b = F.lit(model), F.lit(think_budget)
     n_sys = len(RQ.CLASSIFY_SYSTEM_PROMPT)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions.bind import let
 from sitelens.functions.text import trim_ws
 
 SAMPLE_CHARS = 5000
@@ -24,11 +25,21 @@ def sample(text, sample_chars: int = SAMPLE_CHARS):
     return F.lower(F.substring(trim_ws(text), 1, sample_chars))
 
 
+def trigrams(s) -> F.Column:
+    """All overlapping 3-character substrings of ``s`` as an array, built in
+    linear time: the characters are split once and zipped with their shifted
+    copies (a positional ``substring`` would rescan the UTF-8 string for every
+    position).  Exploding the array emits only the short grams."""
+    def grams(c):
+        pairs = F.zip_with(c, F.slice(c, 2, F.size(c)), lambda a, b: F.concat(a, b))
+        triples = F.zip_with(pairs, F.slice(c, 3, F.size(c)), lambda ab, x: F.concat(ab, x))
+        return F.filter(triples, lambda g: g.isNotNull())
+    return let(F.split(s, ""), grams)
+
+
 def trigram_counts(df: DataFrame, key: str, text: str = "text", sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    s = df.select(key, sample(F.col(text), sample_chars).alias("_s"))
-    s = s.filter(F.length("_s") >= 3)
-    g = s.select(key, F.explode(F.sequence(F.lit(1), F.length("_s") - 2)).alias("_i"), "_s")
-    g = g.select(key, F.substring(F.col("_s"), F.col("_i"), 3).alias("gram"))
+    s = df.select(key, sample(F.col(text), sample_chars).alias("_s")).filter(F.length("_s") >= 3)
+    g = s.select(key, F.explode(trigrams(F.col("_s"))).alias("gram"))
     return g.groupBy(key, "gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
@@ -36,8 +47,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", top_k: in
     """Model rows: lang, gram, logp, logp_unseen (at most languages x top_k rows)."""
     s = labelled.select(F.col(lang).alias("lang"), sample(F.col(text)).alias("_s"))
     s = s.filter(F.col("lang").isNotNull() & (F.length("_s") >= 3))
-    g = s.select("lang", F.explode(F.sequence(F.lit(1), F.length("_s") - 2)).alias("_i"), "_s")
-    g = g.select("lang", F.substring(F.col("_s"), F.col("_i"), 3).alias("gram"))
+    g = s.select("lang", F.explode(trigrams(F.col("_s"))).alias("gram"))
     counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
     # the window runs over the aggregated table: one row per (language, distinct gram)
     w = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.asc("gram"))
@@ -51,14 +61,20 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", top_k: in
 def identify(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Predicted language per document (null when no gram of the model occurs).
 
-    ``model`` has at most languages x K rows, so it is broadcast."""
-    c = trigram_counts(docs, key, text)
-    totals = c.groupBy(key).agg(F.sum("cnt").alias("_n"))
-    hits = c.join(F.broadcast(model), "gram")
-    part = hits.groupBy(key, "lang").agg(
-        F.sum(F.col("cnt") * (F.col("logp") - F.col("logp_unseen"))).alias("_s"),
-        F.first("logp_unseen").alias("_u"))
-    scored = part.join(totals, key).withColumn("score", F.col("_s") + F.col("_n") * F.col("_u"))
+    Trigram occurrences stream through a broadcast join with the model (at most
+    languages x K rows) straight into a (document, language) aggregate: no
+    per-(document, gram) table is built.
+    """
+    s = docs.select(key, sample(F.col(text)).alias("_s")).filter(F.length("_s") >= 3)
+    # grams per document from the sample length, in their own narrow projection:
+    # referencing the sample after the explode would carry it on every gram row
+    totals = s.select(key, (F.length("_s") - 2).alias("_n"))
+    g = s.select(key, F.explode(trigrams(F.col("_s"))).alias("gram"))
+    hits = g.join(F.broadcast(model), "gram")
+    part = hits.groupBy(key, "lang").agg(F.sum(F.col("logp") - F.col("logp_unseen")).alias("_s"))
+    unseen = model.groupBy("lang").agg(F.first("logp_unseen").alias("_u"))  # one row per language
+    scored = (part.join(F.broadcast(unseen), "lang").join(totals, key)
+              .withColumn("score", F.col("_s") + F.col("_n") * F.col("_u")))
     # highest score, ties broken by the smaller language code
     best = scored.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("lang_id"))
     return docs.select(key).join(best, key, "left")
