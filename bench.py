@@ -3,7 +3,7 @@
 Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` (default 8).  Each query is executed in full (a
 ``noop`` write, nothing collected to the driver): one warm-up, then the best
-of ``$BENCH_REPEAT`` (default 3) runs.  Prints ONE JSON line.
+of ``$BENCH_REPEAT`` (default 2) runs.  Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus))
     load_all()

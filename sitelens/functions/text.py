@@ -65,14 +65,28 @@ def text_true(col) -> Column:
     return F.coalesce(F.lower(trim_ws(col)) == F.lit("true"), F.lit(False))
 
 
+# A cleaning step can only match when its marker occurs in the text; texts
+# without it skip the (Unicode-class) regex pass.
+_STEP_GUARDS = (("<",), ("http", "www."), ("@",), None, None, None)
+
+
 def clean_text(col) -> Column:
     """Lower, strip tags, URLs, e-mails, keep Latin-1 letters, collapse."""
     out = F.lower(_c(col))
-    for pat, rep in CLEAN_STEPS:
-        out = F.regexp_replace(out, pat, rep)
+    for (pat, rep), guard in zip(CLEAN_STEPS, _STEP_GUARDS):
+        if guard is None:
+            out = F.regexp_replace(out, pat, rep)
+        else:
+            out = let(out, _guarded(pat, rep, guard))
     return out
 
 
+def _guarded(pat: str, rep: str, guard):
+    def step(t):
+        return F.when(contains_any(t, guard), F.regexp_replace(t, pat, rep)).otherwise(t)
+    return step
+
+
 def char_count(col) -> Column:
     """Code points."""
     return F.length(_c(col)).cast("bigint")
