@@ -261,3 +261,9 @@ SELECT domain, seq, url FROM site_pages QUALIFY row_number() OVER (PARTITION BY
     "site_pages"))
 def q_first_per_domain(spark, sf_dir):
     return first_per_key(FX.site_pages(spark, sf_dir).select("domain", "seq", "url"), "domain", "seq")
+
+
+@query("url_depth", O.with_views(f"SELECT seq, url, {O.url_depth('url')} AS depth FROM site_pages", "site_pages"))
+def q_url_depth(spark, sf_dir):
+    """C7 over the captured page urls."""
+    return FX.site_pages(spark, sf_dir).select("seq", "url", U.url_depth("url").alias("depth"))
