@@ -21,18 +21,28 @@ def companies_accessible(manifest: DataFrame, reach: DataFrame) -> DataFrame:
 
 def accessibility_summary(manifest: DataFrame, reach: DataFrame) -> DataFrame:
     """companies, unique domains, checked this run, accessible domains (over
-    all recorded verdicts), recorded, companies with an accessible site."""
-    doms = manifest.select("domain").distinct()
+    all recorded verdicts), recorded, companies with an accessible site.
+
+    Two aggregates: one over the companies (left-joined to their verdict), one
+    over the recorded verdicts (flagged when the manifest has the domain); the
+    second enters as a single scalar struct subquery.
+    """
     rec = reach.select("domain", "accessible")
-    checked = rec.join(doms, "domain", "left_semi")
-    comp = manifest.select("domain").join(rec.filter("accessible"), "domain", "left_semi")
-    return manifest.agg(F.count(F.lit(1)).cast("bigint").alias("companies_in_manifest")).select(
-        "companies_in_manifest",
-        doms.select(F.count(F.lit(1)).cast("bigint")).scalar().alias("unique_domains"),
-        checked.select(F.count(F.lit(1)).cast("bigint")).scalar().alias("domains_checked_this_run"),
-        rec.select(F.count_if(F.col("accessible")).cast("bigint")).scalar().alias("domains_accessible"),
-        rec.select(F.count(F.lit(1)).cast("bigint")).scalar().alias("domains_total_recorded"),
-        comp.select(F.count(F.lit(1)).cast("bigint")).scalar().alias("companies_with_accessible_site"))
+    listed = manifest.select("domain").distinct().withColumn("_listed", F.lit(True))
+    r = rec.join(listed, "domain", "left").agg(
+        F.count_if(F.col("_listed").isNotNull()).cast("bigint").alias("checked"),
+        F.count_if(F.col("accessible")).cast("bigint").alias("acc"),
+        F.count(F.lit(1)).cast("bigint").alias("recorded"))
+    verdicts = r.select(F.struct("checked", "acc", "recorded")).scalar()
+    m = manifest.select("domain").join(rec, "domain", "left").agg(
+        F.count(F.lit(1)).cast("bigint").alias("companies_in_manifest"),
+        F.countDistinct("domain").cast("bigint").alias("unique_domains"),
+        F.count_if(F.coalesce(F.col("accessible"), F.lit(False))).cast("bigint").alias("companies_with_accessible_site"))
+    return m.select("companies_in_manifest", "unique_domains",
+                    verdicts.getField("checked").alias("domains_checked_this_run"),
+                    verdicts.getField("acc").alias("domains_accessible"),
+                    verdicts.getField("recorded").alias("domains_total_recorded"),
+                    "companies_with_accessible_site")
 
 
 def orphan_domains(scraped: DataFrame, manifest: DataFrame) -> DataFrame:
