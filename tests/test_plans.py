@@ -33,3 +33,13 @@ def test_single_partition_only_after_aggregation(spark, sf_small):
         plan = _plan(QUERIES[key](spark, sf_small))
         for feeder in _single_partition_inputs(plan):
             assert "HashAggregate" in feeder or "TakeOrderedAndProject" in feeder, (key, feeder)
+
+
+def test_expensive_expressions_not_duplicated(spark, sf_small):
+    """Filter pushdown must not copy URL/extraction regex chains into every
+    predicate (they are bound once with ``functions.bind.let``)."""
+    load_all()
+    limits = {"first_level_links": 40, "site_result": 80, "quality_filter": 40, "manifest": 40}
+    for key, limit in limits.items():
+        plan = QUERIES[key](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") <= limit, (key, plan.count("regexp_replace"))
