@@ -98,9 +98,9 @@ def byte_count(col) -> Column:
 
 
 def word_count(col) -> Column:
-    """``len(text.split())``."""
-    return let(trim_ws(col), lambda t: F.when(t == F.lit(""), F.lit(0))
-               .otherwise(F.size(F.split(t, f"{WS}+"))).cast("bigint"))
+    """``len(text.split())`` = the number of maximal non-whitespace runs,
+    counted in place (no array of words is built)."""
+    return F.regexp_count(_c(col), F.lit(f"[^{WS_CLASS}]+")).cast("bigint")
 
 
 def line_count(col) -> Column:
