@@ -69,19 +69,20 @@ def utf8(col):
 
 
 def map_texts(df: DataFrame, text_col: str, result: str, fields: T.StructType,
-              make: Callable[[], Callable[[pa.Array], dict[str, object]]]) -> DataFrame:
+              make: Callable[[], Callable[[pa.Array], dict[str, object]]], carry_text: bool = True) -> DataFrame:
     """Add the struct column ``result`` computed from the whole text of each row.
 
     ``make`` runs once a task and returns a function from one Arrow array of
     UTF-8 bytes to the columns of ``fields``.  A narrow ``mapInArrow``: no
-    shuffle, memory bounded by one batch.
+    shuffle, memory bounded by one batch.  ``carry_text=False`` drops the text
+    column from the output, for callers that need the result alone.
     """
     bound_batches(df.sparkSession)
     base = without(df, result) if result.lower() != text_col.lower() else df
     tmp = free_name(base, "__utf8")
     src = base.withColumn(tmp, utf8(quoted(text_col)))
-    if result.lower() == text_col.lower():
-        src = without(src, result)
+    if result.lower() == text_col.lower() or not carry_text:
+        src = without(src, text_col)
     keep = [c for c in src.columns if c != tmp]
     schema = T.StructType([*[src.schema[c] for c in keep], T.StructField(result, fields, False)])
     names = [f.name for f in fields]
