@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import chat_format, sharding, simhash
+from sitelens.llm import chat_format, quality_classifier, quality_rules, sharding, simhash
 from sitelens.sources.tables import table
 
 QUERIES: dict = {}
@@ -69,3 +69,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash.classes(docs, shingle=3, max_bits=2, carry_text=False)
     return out.select("doc_id", "simhash.fingerprint", "simhash.component_id")
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts and the verdict of every document; references are sums over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    refs = quality_rules.references(docs)
+    out = quality_rules.judged(docs.select("doc_id", "text"), refs, carry_text=False)
+    return out.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                                         "n_repeat_words", "base_failed", "kept")])
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels with crc32(id) mod 5 = 0 are never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    out = quality_classifier.scored(docs, model, carry_text=False)
+    return out.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"),
+                      "quality.score", "quality.predicted")
