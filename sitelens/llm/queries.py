@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import chat_format, quality_classifier, quality_rules, sharding, simhash
+from sitelens.llm import chat_format, decontamination, quality_classifier, quality_rules, sharding, simhash
 from sitelens.sources.tables import table
 
 QUERIES: dict = {}
@@ -89,3 +89,30 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_classifier.scored(docs, model, carry_text=False)
     return out.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"),
                       "quality.score", "quality.predicted")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP1 = """
+with i as (select coalesce(item_id::varchar, 'null') as item, %s as w from benchmark),
+bw as (select distinct item, case when len(w) < 13 then len(w) else 13 end as n, list_slice(w, s, s + case when len(w) < 13 then len(w) else 13 end - 1) as win
+       from i, lateral (select unnest(range(1, greatest(len(w) - 12, 1) + 1)) as s) where len(w) > 0),
+d as (select row_number() over () as r, doc_id, %s as w from documents),
+lens as (select distinct n from bw),
+p as (select r, s, n, list_slice(w, s, s + n - 1) as win from d, lens, lateral (select unnest(range(1, len(w) - n + 2)) as s) where len(w) >= n),
+h as (select distinct r, s, p.n, item from p join bw on p.win = bw.win and p.n = bw.n),
+words as (select r, count(distinct x) as n_hit from (select r, unnest(range(s, s + n)) as x from h) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct r, item from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join words using (r) left join items using (r)
+""" % (_WORDS.format("text"), _WORDS.format("text"))
+
+
+@query("op1_decontamination", OP1)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of 13-word benchmark windows in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.find_hits(docs, table(spark, sf_dir, "benchmark"), carry_text=False)
+    return out.select("doc_id", "decon.n_words", "decon.n_hit", F.size("decon.items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("decon.items", ",").cast("binary"), 256).alias("items_sha256"),
+                      decontamination.contaminated().alias("contaminated"))
