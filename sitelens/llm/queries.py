@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import chat_format, decontamination, quality_classifier, quality_rules, sharding, simhash
+from sitelens.llm import (chat_format, decontamination, license_scan, packing, quality_classifier, quality_rules,
+                          sharding, simhash)
 from sitelens.sources.tables import table
 
 QUERIES: dict = {}
@@ -116,3 +117,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "decon.n_words", "decon.n_hit", F.size("decon.items").cast("bigint").alias("n_items"),
                       F.sha2(F.array_join("decon.items", ",").cast("binary"), 256).alias("items_sha256"),
                       decontamination.contaminated().alias("contaminated"))
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and aligned licence notices of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = license_scan.scanned(docs, carry_text=False)
+    return out.select("doc_id", "license.n_words", "license.n_base", "license.first_word", "license.last_word",
+                      F.array_join("license.base_labels", ",").alias("base_labels"),
+                      F.array_join("license.labels", ",").alias("labels"), "license.score")
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, one row a piece."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packed_digest(packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    narrow = pieces.select("doc_id", "start", F.col("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                           "__task", "__number")
+    out = packing.assign(narrow)
+    return out.select("doc_id", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens",
+                      "sequence_id", "offset")
