@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import (chat_format, decontamination, license_scan, packing, quality_classifier, quality_rules,
-                          sharding, simhash)
+                          sharding, simhash, suffix_dedup)
 from sitelens.sources.tables import table
 
 QUERIES: dict = {}
@@ -144,3 +144,12 @@ def packed_digest(pieces: DataFrame) -> DataFrame:
     out = packing.assign(narrow)
     return out.select("doc_id", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens",
                       "sequence_id", "offset")
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document covered by a 200-byte string that starts elsewhere too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.repeats(docs)
+    return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans",
+                      F.sha2("dedup.kept", 256).alias("kept_sha256"))
