@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import (chat_format, decontamination, license_scan, packing, quality_classifier, quality_rules,
+from sitelens.llm import (chat_format, decontamination, html_crf, license_scan, packing, quality_classifier, quality_rules,
                           sharding, simhash, suffix_dedup)
 from sitelens.sources.tables import table
 
@@ -153,3 +153,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.repeats(docs)
     return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans",
                       F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_crf.extracted(pages, html_crf.fitted(), carry_html=False)
+    return out.select("page_id", "url", F.col("main.text").alias("text"),
+                      F.char_length("main.text").cast("bigint").alias("n_chars"))
