@@ -45,7 +45,7 @@ def multikey(s: Suffixes, depth: int) -> list[np.ndarray]:
     stack = [(np.arange(len(s.rows)), 0)]
     while stack:
         part, word = stack.pop()
-        if len(part) == 1 or word == last:
+        if len(part) < 2 or word == last:
             if len(part):
                 groups.append(part)
             continue
