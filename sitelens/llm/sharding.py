@@ -26,6 +26,7 @@ an output column are replaced by it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,26 +74,18 @@ def _hypergeometric(rng, good: int, bad: int, n: int) -> int:
         return n
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    # numpy's sampler is bounded; halves of the draw are exact by the chain rule
-    half = n // 2
-    if half == 0:
-        return int(rng.random() < good / (good + bad))
-    first = _hypergeometric_large(rng, good, bad, half)
-    return first + _hypergeometric(rng, good - first, bad - (half - first), n - half)
-
-
-def _hypergeometric_large(rng, good: int, bad: int, n: int) -> int:
-    if n <= 1000:
-        k = 0
-        for _ in range(n):
-            if rng.random() * (good + bad) < good:
-                k, good = k + 1, good - 1
-            else:
-                bad -= 1
-        return k
-    half = n // 2
-    first = _hypergeometric_large(rng, good, bad, half)
-    return first + _hypergeometric_large(rng, good - first, bad - (half - first), n - half)
+    # beyond the bound of numpy's sampler: invert the distribution around its middle,
+    # from the ratios of neighbouring probabilities (12 standard deviations each way)
+    total = good + bad
+    mean = n * (good / total)
+    spread = int(12 * math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)))) + 50
+    low = max(0, n - bad, int(mean) - spread)
+    high = min(good, n, int(mean) + spread)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    weight = np.concatenate(([0.0], np.cumsum(steps)))
+    chance = np.cumsum(np.exp(weight - weight.max()))
+    return low + int(np.searchsorted(chance, rng.random() * chance[-1], side="right"))
 
 
 def partition_sizes(df: DataFrame) -> list[int]:
