@@ -1,8 +1,8 @@
 """Request building, batch planning and result collection (J16-J20, G7, G8,
 E6, F10-F13).
 
-Requests are rows: ids come from a two-phase global ordinal (no single-task
-window), batches from a next-fit fold over ``(ordinal, size)`` only, results
+Requests are rows: ids come from a bucketed global ordinal (no single-task
+window), batches from a blockwise next-fit over ``(ordinal, size)`` only, results
 are joined back on ``(batch_id, custom_id)`` and reassembled per domain with a
 bounded ``collect_list`` (the parts of one document).
 """
@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import requests as RQ
 from sitelens.functions.text import is_blank, trim_ws
-from sitelens.operators.ordering import global_ordinal
+from sitelens.operators.ordering import global_ordinal, key_running_total
 
 
 def translate_requests(work: DataFrame, model: str = RQ.TRANSLATE_DEFAULT_MODEL,
@@ -33,7 +32,9 @@ def translate_requests(work: DataFrame, model: str = RQ.TRANSLATE_DEFAULT_MODEL,
     ch = RQ.chunked(real.select("seq", "domain", "text"), "text", chunk_chars)
     parts = ch.select("seq", "domain", F.size("chunks").alias("n_parts"),
                       F.posexplode("chunks").alias("part", "chunk"))
-    parts = global_ordinal(parts, ["seq", "part"], "ordinal")
+    # chunk text stays where it is: numbers come from (seq, parts) of each text and join back on seq
+    first = key_running_total(real.select("seq", F.size(RQ.chunk_array("text", chunk_chars)).cast("bigint").alias("_n")), "seq", "_n", "_first")
+    parts = parts.join(first.select("seq", "_first"), "seq").withColumn("ordinal", F.col("_first") + F.col("part"))
     n_sys = len(RQ.TRANSLATE_SYSTEM_PROMPT)
     req = parts.select(
         F.concat(F.lit("r"), F.col("ordinal").cast("string")).alias("custom_id"), "ordinal", "seq", "domain",
@@ -51,8 +52,7 @@ def classify_requests(work: DataFrame, model: str = RQ.CLASSIFY_DEFAULT_MODEL,
     source; input cut to ``max_input_chars``; ``custom_id`` = ``c<n>``."""
     skipped = work.filter(is_blank("text")).select("seq", "domain", F.lit("empty_source").alias("error"))
     real = work.filter(~is_blank("text"))
-    # number a narrow (seq) projection: the range-partition sampling pass and the
-    # shuffle then move ids only; the text joins back once
+    # number a narrow (seq) projection: the shuffle moves ids only; the text joins back once
     ords = global_ordinal(real.select("seq"), ["seq"], "ordinal")
     real = real.join(ords, "seq")
     prompt = RQ.user_prompt(F.col("domain"), F.substring("text", 1, max_input_chars))
@@ -69,44 +69,94 @@ def classify_requests(work: DataFrame, model: str = RQ.CLASSIFY_DEFAULT_MODEL,
 
 # ---- G8 next-fit batch planning --------------------------------------------------------
 
-def _next_fit(max_count: int, max_size: int):
-    def fold(batches):
-        pid = TaskContext.get().partitionId()
-        local, count, size = -1, 0, 0
-        for pdf in batches:
-            sizes = pdf["size"].to_numpy(dtype=np.int64)
-            out = np.empty(len(sizes), dtype=np.int64)
-            for i, s in enumerate(sizes):
-                if count > 0 and (count >= max_count or size + s > max_size):
-                    count, size = 0, 0  # flush the open batch
-                if count == 0:
-                    local += 1
-                count += 1
-                size += s
-                out[i] = local
-            yield pd.DataFrame({"ordinal": pdf["ordinal"].to_numpy(), "batch_no": pid * (1 << 32) + out})
-    return fold
+#: Ordinals that one task handles together (never fewer than a batch can hold).
+BLOCK = 1 << 16
+
+
+def _next_starts(sizes: np.ndarray, max_count: int, max_size: int) -> np.ndarray:
+    """Where the next batch starts if one starts at each place (one request at
+    least, ``max_count`` at most, no more than ``max_size`` together)."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(len(sizes))
+    full = np.searchsorted(total, total[:-1] + max_size, side="right") - 1
+    return np.minimum(np.maximum(full, at + 1), at + max_count)
+
+
+def _starts_from(entry: int, end: int, following: np.ndarray) -> list[int]:
+    starts = []
+    while entry < end:
+        starts.append(entry)
+        entry = int(following[entry])
+    return starts
 
 
 def plan_batches(requests: DataFrame, max_count: int = RQ.MAX_PER_BATCH,
-                 max_size: int = RQ.MAX_BYTES_PER_BATCH, shards: int | None = None) -> DataFrame:
-    """Next-fit grouping of requests in ``ordinal`` order.
+                 max_size: int = RQ.MAX_BYTES_PER_BATCH, block: int = BLOCK) -> DataFrame:
+    """Next-fit grouping of requests in ``ordinal`` order (dense from 0).
 
     A new batch starts when the open one holds ``max_count`` requests or the
     next request would push its size over ``max_size`` (a single oversized
-    request still gets its own batch).  Only ``(ordinal, size)`` go through
-    Python; the fold runs per contiguous range shard, each starting a fresh
-    batch, so at most one extra partial batch per shard versus a strictly
-    serial fold.  Shards default to ~4 full batches of requests each.
-    Returns ``ordinal, batch_no, batch_id``.
+    request still gets its own batch): exactly the serial fold, at any size.
+    Blocks of ordinals first tell, for each place where a batch may enter them,
+    where it leaves (few distinct answers: later entries fall in step with
+    earlier ones); one walk along these answers gives each block its real entry,
+    and the blocks number their batches from there.  Only ``(ordinal, size)``
+    travel, each to its block and the first ``max_count`` of a block to the one
+    before as well.  Returns ``ordinal, batch_no, batch_id``.
     """
-    if shards is None:
-        n = requests.select(F.count(F.lit(1))).collect()[0][0]
-        shards = max(1, -(-n // (max_count * 4)))
-    r = requests.select("ordinal", "size").repartitionByRange(shards, "ordinal").sortWithinPartitions("ordinal")
-    planned = r.mapInPandas(_next_fit(max_count, max_size), "ordinal long, batch_no long")
-    return planned.withColumn("batch_id", F.format_string("b%05d-%06d", F.shiftright("batch_no", 32),
-                                                          F.col("batch_no").bitwiseAND(F.lit((1 << 32) - 1))))
+    width = max(block, max_count)
+    r = requests.select(F.col("ordinal").cast("bigint").alias("ordinal"), F.col("size").cast("bigint").alias("size"))
+    own = r.withColumn("block", F.floor(F.col("ordinal") / width).cast("bigint"))
+    ahead = own.filter((F.col("ordinal") % width < max_count) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+    rows = own.unionByName(ahead)
+
+    def passages(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal")
+        block_no, first = int(pdf["block"].iloc[0]), int(pdf["ordinal"].iloc[0])
+        sizes = pdf["size"].to_numpy(np.int64)
+        end = min(width, len(sizes))
+        leave = _next_starts(sizes, max_count, max_size)
+        for i in range(end - 1, -1, -1):
+            if leave[i] < end:
+                leave[i] = leave[leave[i]]
+        leave = leave[:min(end, max_count)]
+        change = np.flatnonzero(np.append(True, leave[1:] != leave[:-1]))
+        return pd.DataFrame({"block": block_no, "entry": first + change, "leave": first + leave[change]})
+
+    # one row for each distinct answer: a small part of 1 / width of the requests
+    walk = rows.groupBy("block").applyInPandas(passages, "block long, entry long, leave long")
+    entries = walk.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_walked, "block long, entry long")
+
+    def labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal")
+        first = int(pdf["ordinal"].iloc[0])
+        sizes = pdf["size"].to_numpy(np.int64)
+        following = _next_starts(sizes, max_count, max_size)
+        end = min(width, len(sizes))
+        starts = _starts_from(int(pdf["entry"].iloc[0]) - first, end, following)
+        upto = int(following[starts[-1]])
+        number = np.searchsorted(starts, np.arange(starts[0], upto), side="right") - 1
+        return pd.DataFrame({"block": int(pdf["block"].iloc[0]), "ordinal": first + np.arange(starts[0], upto), "k": number})
+
+    known = rows.join(entries, "block")
+    parts = known.groupBy("block").applyInPandas(labelled, "block long, ordinal long, k long")
+    per_block = parts.groupBy("block").agg((F.max("k") + 1).alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    offsets = per_block.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    out = parts.join(offsets, "block").select("ordinal", (F.col("before") + F.col("k")).cast("bigint").alias("batch_no"))
+    return out.withColumn("batch_id", F.format_string("b%08d", "batch_no"))
+
+
+def _walked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The real entry of each block, from the entry of the first."""
+    pdf = pdf.sort_values(["block", "entry"])
+    at, out = None, []
+    for block, own in pdf.groupby("block", sort=True):
+        entry = own["entry"].to_numpy()
+        at = int(entry[0]) if at is None else at
+        out.append((block, at))
+        at = int(own["leave"].to_numpy()[np.searchsorted(entry, at, side="right") - 1])
+    return pd.DataFrame(out, columns=["block", "entry"])
 
 
 # ---- E6 / J18 / F11 / J20 / F12 / F13 ------------------------------------------------------

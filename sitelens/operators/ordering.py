@@ -2,28 +2,23 @@
 
 * ``first_per_key`` / ``last_per_key``: ``min_by``/``max_by`` aggregates, which
   combine map-side, so a hot key costs one partial row per task, not a sort.
-* ``global_ordinal``: two-phase numbering. Range-partition on the order key,
-  number rows inside each partition, add the row counts of all lower
-  partitions.  Only one count per partition crosses the network.
-* ``key_ordinal``: the same per key; the range partitioning includes the order
-  column, so one hot key is spread over many partitions.
+* ``global_ordinal`` / ``key_ordinal``: rows fall into buckets by an expression of
+  the order column that never decreases along the order (a slice of the integer,
+  a prefix of the string).  Buckets are counted (map-side combine), the small
+  count table gives each bucket its offset, and ``row_number`` numbers the rows
+  inside a bucket.  Nothing is sampled, so counts and rows always agree, and one
+  hot key is spread over its buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
-
-
-def _n_parts(df: DataFrame) -> int:
-    spark = df.sparkSession
-    try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        n = 200
-    return max(1, n)
+#: Integers that share a bucket, and leading characters of a string that name one.
+BUCKET_WIDTH = 1 << 16
+BUCKET_PREFIX = 3
 
 
 def first_per_key(df: DataFrame, keys, order_col: str, cols=None) -> DataFrame:
@@ -42,52 +37,57 @@ def last_per_key(df: DataFrame, keys, order_col: str, cols=None) -> DataFrame:
     return agg.select(*keys, "_r.*")
 
 
-def _numbered(df: DataFrame, sort_cols, n_parts: int | None):
-    n = n_parts or _n_parts(df)
-    r = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    mid = F.monotonically_increasing_id()
-    r = r.withColumn("_mid", mid)
-    r = (r.withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
-          .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-          .drop("_mid"))
-    return r
+def _bucket(df: DataFrame, order_col: str) -> Column:
+    kind = df.schema[order_col].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.floor(F.col(order_col) / F.lit(BUCKET_WIDTH)).cast("bigint")
+    if isinstance(kind, T.StringType):
+        return F.substring(order_col, 1, BUCKET_PREFIX)
+    raise TypeError(f"no default bucket for {order_col}: {kind.simpleString()}; pass one")
 
 
 def global_ordinal(df: DataFrame, order_cols, name: str = "ordinal", start: int = 0,
-                   n_parts: int | None = None) -> DataFrame:
+                   bucket: Column | None = None) -> DataFrame:
     """Dense 0-based (or ``start``-based) row number over ``order_cols``.
 
     ``order_cols`` must be unique per row (add a tie-breaker otherwise).
+    ``bucket`` must not decrease along the order; by default it is cut from the
+    first order column (integers by :data:`BUCKET_WIDTH`, strings by prefix).
     """
-    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    r = _numbered(df, order_cols, n_parts)
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: a bounded table, safe to number on one task and broadcast.
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = r.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_loc") + F.lit(start)).cast("bigint")) \
-              .drop("_pid", "_loc", "_off")
-
-
-def key_ordinal(df: DataFrame, keys, order_cols, name: str = "ordinal",
-                n_parts: int | None = None) -> DataFrame:
+    return key_ordinal(df, [], order_cols, name, start, bucket)
+
+
+def key_ordinal(df: DataFrame, keys, order_cols, name: str = "ordinal", start: int = 0,
+                bucket: Column | None = None) -> DataFrame:
     """0-based position of each row inside its key, ordered by ``order_cols``.
 
-    Skew-safe replacement for ``row_number() over (partition by key ...)``:
-    the counts table has one row per (partition, key), so a hot key adds at
-    most one row per partition.
+    Skew-safe replacement for ``row_number() over (partition by key ...)``: a
+    window holds one bucket of a key, never the key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    r = _numbered(df, keys + order_cols, n_parts)
-    counts = r.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    renamed = [f"_key{i}" for i in range(len(keys))]
-    counts = counts.select(F.col("_pid").alias("_cpid"),
-                           *[F.col(k).alias(rk) for k, rk in zip(keys, renamed)], "_first",
-                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    cond = [F.col("_pid") == F.col("_cpid")] + [F.col(k).eqNullSafe(F.col(rk)) for k, rk in zip(keys, renamed)]
-    out = r.join(counts, cond).drop("_cpid", *renamed)
-    return out.withColumn(name, (F.col("_off") + F.col("_loc") - F.col("_first")).cast("bigint")) \
-              .drop("_pid", "_loc", "_off", "_first")
+    rows = df.withColumn("_bucket", bucket if bucket is not None else _bucket(df, order_cols[0]))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_key{i}" for i in range(len(keys))]
+    offsets = counts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_bucket").alias("_in"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_bucket").eqNullSafe(F.col("_in"))
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_cols)
+    out = rows.join(offsets, same).withColumn("_no", F.row_number().over(inside))
+    return out.withColumn(name, (F.col("_before") + F.col("_no") + F.lit(start - 1)).cast("bigint")) \
+              .drop("_bucket", "_in", "_before", "_no", *names)
+
+
+def key_running_total(df: DataFrame, order_col: str, amount: str, name: str, bucket: Column | None = None) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before each row, by buckets like :func:`key_ordinal`."""
+    rows = df.withColumn("_bucket", bucket if bucket is not None else _bucket(df, order_col))
+    sums = rows.groupBy("_bucket").agg(F.sum(amount).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_bucket").alias("_in"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(offsets, F.col("_bucket").eqNullSafe(F.col("_in")))
+    return out.withColumn(name, (F.col("_before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).cast("bigint")) \
+              .drop("_bucket", "_in", "_before")

@@ -4,66 +4,114 @@ idempotence of the resume algebra and batch = stream."""
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import requests as RQ
 from sitelens.operators import batches as B
 from sitelens.operators import resume as RS
-from sitelens.operators.ordering import global_ordinal, key_ordinal
+from sitelens.operators.ordering import global_ordinal, key_ordinal, key_running_total
 from sitelens.sources.tables import table
 
 
-def test_chunk_invariants_python():
-    rnd = random.Random(7)
-    for _ in range(300):
-        paras = ["".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 30))) for _ in range(rnd.randint(1, 12))]
-        text = "\n".join(paras)
-        n = rnd.randint(3, 25)
-        chunks = RQ.chunk_text(text, n)
-        assert all(len(c) <= n for c in chunks)
-        if all(len(p) <= n for p in paras):
-            assert "\n".join(chunks) == text  # no paragraph was cut: exact reconstruction
+def chunks_by_rule(text, limit):
+    """The rule read line by line: full cuts stand alone, other pieces share a chunk while they fit."""
+    if len(text) <= limit:
+        return [text]
+    closed, shared = [], None
+    for line in text.split("\n"):
+        cuts = [line[k:k + limit] for k in range(0, max(1, len(line)), limit)]
+        for k, piece in enumerate(cuts):
+            if k < len(cuts) - 1:
+                closed += ([] if shared is None else [shared]) + [piece]
+                shared = None
+            elif shared is not None and len(shared) + 1 + len(piece) <= limit:
+                shared += "\n" + piece
+            else:
+                closed += [] if shared is None else [shared]
+                shared = piece
+    return closed + ([] if shared is None else [shared])
 
 
-def test_chunk_udf_matches_python(spark, sf_small):
+def test_chunks_match_the_rule(spark, sf_small):
+    rnd = random.Random(7)
+    texts = ["\n".join("".join(rnd.choice("ab cé") for _ in range(rnd.randint(0, 60))) for _ in range(rnd.randint(1, 12)))
+             for _ in range(300)] + ["", "\n", "\n" * 40, "x" * 50, "x" * 51, "x" * 25]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for n in (3, 17, 25):
+        for r in RQ.chunked(df, "text", n).collect():
+            chunks = list(r.chunks)
+            assert chunks == chunks_by_rule(r.text, n)
+            assert all(len(c) <= n for c in chunks)
+            if all(len(p) <= n for p in r.text.split("\n")):
+                assert "\n".join(chunks) == r.text  # no line was cut: exact reconstruction
     docs = table(spark, sf_small, "documents").select("doc_id", "text")
-    got = {r.doc_id: list(r.chunks) for r in RQ.chunked(docs, "text", 3000).collect()}
-    for r in docs.collect():
-        assert got[r.doc_id] == RQ.chunk_text(r.text, 3000)
+    for r in RQ.chunked(docs, "text", 3000).collect():
+        assert list(r.chunks) == chunks_by_rule(r.text, 3000)
+
 
+@pytest.fixture(scope="module")
+def wide_rows(spark):
+    """400,000 rows with a payload over 8 input partitions; one key holds a third of them."""
+    i = F.col("id")
+    return spark.range(0, 400_000, numPartitions=8).select(
+        (i * 7919 % 400_009).alias("seq"), F.when(i % 3 == 0, 0).otherwise(i % 17).cast("int").alias("k"),
+        F.md5(i.cast("string")).alias("h"), F.repeat(F.md5(i.cast("string")), 3).alias("payload"))
 
-def test_global_ordinal_dense(spark):
-    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"))
-    out = global_ordinal(df, ["k"], "o", n_parts=7).collect()
-    pairs = sorted((r.k, r.o) for r in out)
-    assert [o for _, o in pairs] == list(range(5000))
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_ordinals_equal_row_number_on_wide_rows(spark, wide_rows, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        seq = global_ordinal(wide_rows, ["seq"], "o")
+        want = F.row_number().over(Window.orderBy("seq")) - 1
+        assert seq.withColumn("w", want).filter("o <> w").count() == 0 and seq.count() == 400_000
+        for order in ("seq", "h"):
+            per_key = key_ordinal(wide_rows, "k", [order, "seq"], "o")
+            want = F.row_number().over(Window.partitionBy("k").orderBy(order, "seq")) - 1
+            assert per_key.withColumn("w", want).filter("o <> w").count() == 0
+        plan = seq._jdf.queryExecution().toString()
+        assert "rangepartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
-def test_key_ordinal_hot_key(spark):
-    # one key holds a third of all rows: ordinals must still equal row_number
-    rows = [(0 if i % 3 == 0 else i % 17, i) for i in range(3000)]
+
+def test_key_ordinal_keeps_null_keys(spark):
+    rows = [(None if i % 3 == 0 else i % 5, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, seq int")
-    got = {(r.k, r.seq): r.o for r in key_ordinal(df, "k", "seq", "o", n_parts=6).collect()}
+    got = {(r.k, r.seq): r.o for r in key_ordinal(df, "k", "seq", "o", bucket=F.floor(F.col("seq") / 7)).collect()}
     w = Window.partitionBy("k").orderBy("seq")
-    want = {(r.k, r.seq): r.o for r in df.select("k", "seq", (F.row_number().over(w) - 1).alias("o")).collect()}
-    assert got == want
+    assert got == {(r.k, r.seq): r.o for r in df.select("k", "seq", (F.row_number().over(w) - 1).alias("o")).collect()}
+
 
+def test_running_total_by_buckets(spark):
+    rnd = random.Random(5)
+    amounts = [rnd.randint(0, 4) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(amounts)), "seq int, n int")
+    got = {r.seq: r.t for r in key_running_total(df, "seq", "n", "t", bucket=F.floor(F.col("seq") / 9)).collect()}
+    assert [got[i] for i in range(500)] == [sum(amounts[:i]) for i in range(500)]
 
-def test_batch_plan_invariants(spark):
+
+def serial_next_fit(sizes, max_count, max_size):
+    out, batch, count, size = [], -1, 0, 0
+    for s in sizes:
+        if batch < 0 or count >= max_count or size + s > max_size:
+            batch, count, size = batch + 1, 0, 0
+        count, size = count + 1, size + s
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("max_count, max_size, block", [(37, 1000, 50), (37, 1000, 1 << 16), (5, 130, 1), (400, 20, 30)])
+def test_batch_plan_equals_the_serial_fold(spark, max_count, max_size, block):
     rnd = random.Random(3)
-    sizes = [rnd.randint(1, 120) for _ in range(2000)]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "ordinal long, size long")
-    out = B.plan_batches(df, 37, 1000, shards=5).orderBy("ordinal").collect()
-    assert [r.ordinal for r in out] == list(range(2000))  # every request once
-    batches = {}
-    for r in out:
-        batches.setdefault(r.batch_no, []).append(r.ordinal)
-    for members in batches.values():
-        assert members == list(range(members[0], members[-1] + 1))  # contiguous, order kept
-        assert len(members) <= 37
-        total = sum(sizes[i] for i in members)
-        assert total <= 1000 or len(members) == 1
+    sizes = [rnd.randint(1, 150) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "ordinal long, size long").repartition(5)
+    got = {r.ordinal: r.batch_no for r in B.plan_batches(df, max_count, max_size, block).collect()}
+    assert [got[i] for i in range(2000)] == serial_next_fit(sizes, max_count, max_size)
+    assert B.plan_batches(df.limit(0), max_count, max_size, block).count() == 0
+
 
 
 def test_resume_idempotent(spark):
