@@ -57,7 +57,7 @@ def trim_ws(col) -> Column:
 
 def is_blank(col) -> Column:
     """True when null or only whitespace (Python ``not (s or '').strip()``)."""
-    return F.coalesce(trim_ws(col) == F.lit(""), F.lit(True))
+    return ~F.coalesce(_c(col).rlike(f"[^{WS_CLASS}]"), F.lit(False))
 
 
 def text_true(col) -> Column:

@@ -207,6 +207,16 @@ def batch_status(joined: DataFrame) -> DataFrame:
         F.count_if(rt == "missing").cast("bigint").alias("processing"))
 
 
+def _truthy(v: F.Column, path: str) -> F.Column:
+    """A JSON value's truth: false for null, absent, ``false``, 0, and empty strings, lists and objects."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    text = F.try_variant_get(v, path, "string")
+    true = (F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+            .when(kind == "STRING", text != "").when(kind.startswith("ARRAY"), text != "[]")
+            .when(kind.startswith("OBJECT"), text != "{}").otherwise(F.try_variant_get(v, path, "double") != 0))
+    return F.coalesce(true, F.lit(False))
+
+
 def parse_verdicts(feed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Succeeded + valid JSON -> ok with innovative (truthiness), confidence
     (null when absent), rationale (newlines to spaces, trimmed, '' when absent);
@@ -215,7 +225,7 @@ def parse_verdicts(feed: DataFrame, key: str = "doc_id") -> DataFrame:
     succeeded = F.col("result_type") == "succeeded"
     status = F.when(~succeeded, F.lit("error")).when(v.isNull(), F.lit("parse_error")).otherwise(F.lit("ok"))
     ok = status == "ok"
-    innov = F.coalesce(F.try_variant_get(v, "$.innovative", "boolean"), F.lit(False))
+    innov = _truthy(v, "$.innovative")
     conf = F.try_variant_get(v, "$.confidence", "double")
     rat = trim_ws(F.replace(F.coalesce(F.try_variant_get(v, "$.rationale", "string"), F.lit("")),
                             F.lit("\n"), F.lit(" ")))

@@ -51,7 +51,7 @@ def stratified_split(corpus: DataFrame, key: str = "doc_id", label: str = "label
     h = corpus.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed))))
     pos = key_ordinal(h, label, ["_h", key], "_ord")
     sizes = corpus.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
-    x = pos.join(F.broadcast(sizes), label)
+    x = pos.join(sizes, label)
     o, n = F.col("_ord"), F.col("_n")
     split = (F.when(o * 100 < n * train, F.lit("train"))
              .when(o * 100 < n * (train + validation), F.lit("validation")).otherwise(F.lit("test")))
@@ -79,9 +79,12 @@ def tfidf(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return j.select(key, "term", "tf", F.round(F.col("tf") * idf, 6).alias("tfidf"))
 
 
-def train_forest(train: DataFrame, vocab_size: int = 5000, min_df: float = 2.0, trees: int = 20,
+def train_forest(train: DataFrame, vocab_size: int, min_df: float, trees: int = 20,
                  depth: int = 5, seed: int = 42):
-    """O4 model: RegexTokenizer -> CountVectorizer -> IDF -> RandomForest (pyspark.ml)."""
+    """O4 model: RegexTokenizer -> CountVectorizer -> IDF -> RandomForest (pyspark.ml).
+
+    ``vocab_size`` and ``min_df`` bound the model's features; the caller states them.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
@@ -156,10 +159,9 @@ def fleiss_kappa(codes: DataFrame, key: str = "doc_id") -> DataFrame:
                     F.round((F.col("p_bar") - pe) / (1 - pe), 6).alias("kappa"))
 
 
-def chat_examples(corpus: DataFrame, key: str = "doc_id", max_input_chars: int = RQ.MAX_INPUT_CHARS) -> DataFrame:
-    """system/user/assistant training examples as one JSON document per row."""
-    user = RQ.user_prompt(F.concat(F.lit("doc-"), F.col(key).cast("string")),
-                          F.substring("text", 1, max_input_chars))
+def chat_examples(corpus: DataFrame, key: str = "doc_id") -> DataFrame:
+    """system/user/assistant training examples as one JSON document per row, texts whole."""
+    user = RQ.user_prompt(F.concat(F.lit("doc-"), F.col(key).cast("string")), F.col("text"))
     answer = F.when(F.col("label") == 1, F.lit('{"innovative": true}')).otherwise(F.lit('{"innovative": false}'))
     msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(RQ.CLASSIFY_SYSTEM_PROMPT).alias("content")),
                    F.struct(F.lit("user").alias("role"), user.alias("content")),

@@ -1,35 +1,42 @@
 """Language identification (O1) as a Spark job: a character-trigram naive
-Bayes model trained on labelled text, scored with joins and aggregates.
-
-Training: trigram counts per (language, gram) -> top-K grams per language ->
-add-one log-probabilities.  The model has at most languages x K rows, so it
-is broadcast with a proven bound.  Scoring: per-document trigram counts joined
-to the model; each language's score is
-``sum(count * (logp - logp_unseen)) + total_grams * logp_unseen``; the best
-score wins (ties by language code); no known gram -> null ("unknown").
+Bayes model trained on labelled text.
+
+Training counts the trigrams of whole texts per language (map-side in each
+task) and gives add-one log-probabilities.  A text's sample is scored in its
+row: every language gets ``sum(logp - logp_unseen) + grams * logp_unseen``; the
+best score wins (ties by language code); no known gram -> null ("unknown").
+
+The model travels with the tasks while it has at most ``MAX_MODEL_ROWS`` rows
+(checked); a larger one is joined to the texts' grams instead, with the same
+scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.bind import let
 from sitelens.functions.text import trim_ws
 
 SAMPLE_CHARS = 5000
-TOP_K = 300
+MAX_MODEL_ROWS = 1_000_000
+_BITS, _MASK = 21, (1 << 21) - 1
 
 
 def sample(text, sample_chars: int = SAMPLE_CHARS):
+    """The text to be detected: its first characters, lower-cased."""
     return F.lower(F.substring(trim_ws(text), 1, sample_chars))
 
 
 def trigrams(s) -> F.Column:
     """All overlapping 3-character substrings of ``s`` as an array, built in
     linear time: the characters are split once and zipped with their shifted
-    copies (a positional ``substring`` would rescan the UTF-8 string for every
-    position).  Exploding the array emits only the short grams."""
+    copies."""
     def grams(c):
         pairs = F.zip_with(c, F.slice(c, 2, F.size(c)), lambda a, b: F.concat(a, b))
         triples = F.zip_with(pairs, F.slice(c, 3, F.size(c)), lambda ab, x: F.concat(ab, x))
@@ -37,44 +44,80 @@ def trigrams(s) -> F.Column:
     return let(F.split(s, ""), grams)
 
 
-def trigram_counts(df: DataFrame, key: str, text: str = "text", sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    s = df.select(key, sample(F.col(text), sample_chars).alias("_s")).filter(F.length("_s") >= 3)
-    g = s.select(key, F.explode(trigrams(F.col("_s"))).alias("gram"))
-    return g.groupBy(key, "gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+def gram_codes(text: str) -> np.ndarray:
+    """Each trigram as one integer of three code points."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return (c[:-2] << (2 * _BITS)) | (c[1:-1] << _BITS) | c[2:]
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", top_k: int = TOP_K) -> DataFrame:
-    """Model rows: lang, gram, logp, logp_unseen (at most languages x top_k rows)."""
-    s = labelled.select(F.col(lang).alias("lang"), sample(F.col(text)).alias("_s"))
-    s = s.filter(F.col("lang").isNotNull() & (F.length("_s") >= 3))
-    g = s.select("lang", F.explode(trigrams(F.col("_s"))).alias("gram"))
-    counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
-    # the window runs over the aggregated table: one row per (language, distinct gram)
-    w = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.asc("gram"))
-    top = counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k).drop("_r")
-    tot = top.groupBy("lang").agg(F.sum("cnt").alias("_tot"), F.count(F.lit(1)).alias("_k"))
-    denom = (F.col("_tot") + F.col("_k")).cast("double")
-    return top.join(tot, "lang").select("lang", "gram", F.log((F.col("cnt") + 1) / denom).alias("logp"),
-                                        F.log(F.lit(1.0) / denom).alias("logp_unseen"))
+def _gram(code: int) -> str:
+    return chr(code >> (2 * _BITS)) + chr(code >> _BITS & _MASK) + chr(code & _MASK)
 
 
-def identify(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Predicted language per document (null when no gram of the model occurs).
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """Model rows: lang, gram, logp, logp_unseen, from all trigrams of all texts."""
+    s = labelled.select(F.col(lang).alias("lang"), F.lower(trim_ws(F.col(text))).alias("_s"))
+    s = s.filter(F.col("lang").isNotNull() & (F.length("_s") >= 3))
 
-    Trigram occurrences stream through a broadcast join with the model (at most
-    languages x K rows) straight into a (document, language) aggregate: no
-    per-(document, gram) table is built.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts: dict[str, list[np.ndarray]] = {}
+            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts.setdefault(x, []).append(gram_codes(t))
+            for x, codes in texts.items():
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x] * len(code), pa.string()), pa.array([_gram(c) for c in code.tolist()], pa.string()),
+                     pa.array(n.astype(np.int64))], names=["lang", "gram", "cnt"])
+
+    counts = (s.mapInArrow(count, "lang string, gram string, cnt bigint")
+               .groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")))
+    tot = counts.groupBy("lang").agg(F.sum("cnt").alias("_tot"), F.count(F.lit(1)).alias("_k"))
+    denom = (F.col("_tot") + F.col("_k")).cast("double")
+    return counts.join(tot, "lang").select("lang", "gram", F.log((F.col("cnt") + 1) / denom).alias("logp"),
+                                           F.log(F.lit(1.0) / denom).alias("logp_unseen"))
+
+
+def identify(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text",
+             max_model_rows: int = MAX_MODEL_ROWS) -> DataFrame:
+    """Predicted language per document (null when no gram of the model occurs)."""
+    rows = model.limit(max_model_rows + 1).collect()
+    if len(rows) > max_model_rows:
+        return _identify_by_join(docs, model, key, text)
+    langs = sorted({r["lang"] for r in rows})
+    codes = np.array(sorted({int(gram_codes(r["gram"])[0]) for r in rows}), np.int64)
+    gain = np.zeros((len(codes) + 1, len(langs)))
+    known = np.zeros((len(codes) + 1, len(langs)), bool)
+    unseen = np.zeros(len(langs))
+    for r in rows:
+        at, x = int(np.searchsorted(codes, gram_codes(r["gram"])[0])), langs.index(r["lang"])
+        gain[at, x], known[at, x], unseen[x] = r["logp"] - r["logp_unseen"], True, r["logp_unseen"]
+
+    def best(t: str) -> str | None:
+        g = gram_codes(t) if t and len(t) >= 3 else np.zeros(0, np.int64)
+        if not len(g) or not len(codes):
+            return None
+        at = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
+        at = np.where(codes[at] == g, at, len(codes))
+        score = np.where(known[at].any(0), gain[at].sum(0) + len(g) * unseen, -np.inf)
+        return langs[int(score.argmax())] if np.isfinite(score.max()) else None
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array([best(t) for t in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), got], names=[key, "lang_id"])
+
+    s = docs.select(key, sample(F.col(text)).alias("_s"))
+    return s.mapInArrow(score, f"`{key}` {s.schema[key].dataType.simpleString()}, lang_id string")
+
+
+def _identify_by_join(docs: DataFrame, model: DataFrame, key: str, text: str) -> DataFrame:
     s = docs.select(key, sample(F.col(text)).alias("_s")).filter(F.length("_s") >= 3)
-    # grams per document from the sample length, in their own narrow projection:
-    # referencing the sample after the explode would carry it on every gram row
     totals = s.select(key, (F.length("_s") - 2).alias("_n"))
     g = s.select(key, F.explode(trigrams(F.col("_s"))).alias("gram"))
-    hits = g.join(F.broadcast(model), "gram")
-    part = hits.groupBy(key, "lang").agg(F.sum(F.col("logp") - F.col("logp_unseen")).alias("_s"))
-    unseen = model.groupBy("lang").agg(F.first("logp_unseen").alias("_u"))  # one row per language
-    scored = (part.join(F.broadcast(unseen), "lang").join(totals, key)
-              .withColumn("score", F.col("_s") + F.col("_n") * F.col("_u")))
+    part = g.join(model, "gram").groupBy(key, "lang").agg(F.sum(F.col("logp") - F.col("logp_unseen")).alias("_s"),
+                                                          F.first("logp_unseen").alias("_u"))
+    scored = part.join(totals, key).withColumn("score", F.col("_s") + F.col("_n") * F.col("_u"))
     # highest score, ties broken by the smaller language code
-    best = scored.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("lang_id"))
-    return docs.select(key).join(best, key, "left")
+    won = scored.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("lang_id"))
+    return docs.select(key).join(won, key, "left")

@@ -43,7 +43,7 @@ def language_filter(extracted: DataFrame, languages) -> DataFrame:
 
 
 # Fixed values of our D11 quality rule: markers of error and placeholder pages,
-# looked up in the lower-cased title and the head of the text.
+# looked up in the lower-cased title and text.
 ERROR_PAGE_MARKERS = ("page not found", "404 not found", "service unavailable", "503 service",
                       "domain is for sale", "this domain may be for sale", "parked free",
                       "website coming soon", "under construction")
@@ -51,10 +51,10 @@ ERROR_PAGE_MARKERS = ("page not found", "404 not found", "service unavailable",
 
 def quality_filter(extracted: DataFrame) -> DataFrame:
     """Keep pages that extracted, are not interstitials (D7) and are not
-    error/parked placeholders."""
+    error/parked placeholders (title and whole text are looked through)."""
     def keep(p):
-        head = F.lower(F.concat_ws(" ", p["title"], F.substring(p["text"], 1, 2000)))
-        return (p["error"].isNull() & ~contains_any(head, ERROR_PAGE_MARKERS)
+        shown = F.lower(F.concat_ws(" ", p["title"], p["text"]))
+        return (p["error"].isNull() & ~contains_any(shown, ERROR_PAGE_MARKERS)
                 & ~is_junk(F.coalesce(p["text"], F.lit(""))))
     # bound once: the extracted text is not re-derived for every marker
     return extracted.filter(let(F.struct("title", "text", "error"), keep))

@@ -163,7 +163,7 @@ def registered_domain(urls: DataFrame, url_col: str, suffixes: DataFrame) -> Dat
     cand = x.select(url_col, "_host", "_labels", "_n",
                     F.explode(F.sequence(F.lit(2), F.greatest(F.col("_n"), F.lit(2)))).alias("_i"))
     cand = cand.withColumn("_suffix", F.array_join(F.slice("_labels", F.col("_i"), F.col("_n")), "."))
-    hit = cand.join(F.broadcast(suffixes.select(F.col("suffix").alias("_suffix"))), "_suffix")
+    hit = cand.join(suffixes.select(F.col("suffix").alias("_suffix")), "_suffix")
     best = hit.groupBy(url_col).agg(F.min("_i").alias("_i"), F.first("_labels").alias("_labels"),
                                     F.first("_n").alias("_n"))
     reg = best.select(url_col, F.array_join(F.slice("_labels", F.col("_i") - 1, F.col("_n") - F.col("_i") + 2),

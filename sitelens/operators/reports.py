@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.ordering import first_per_key
+from sitelens.operators.ordering import first_per_key, global_ordinal
 
 
 def companies_accessible(manifest: DataFrame, reach: DataFrame) -> DataFrame:
@@ -78,10 +78,11 @@ def domain_funnel(manifest: DataFrame, reach: DataFrame, scraped: DataFrame) ->
 
 def crawl_batch(manifest: DataFrame, offset: int, limit: int, existing: DataFrame | None = None) -> DataFrame:
     """M5 + H2 + E1: unique sites (first company per domain), ordered by first
-    appearance, ``offset``/``limit`` window (a TakeOrdered, not a global sort),
-    existing outputs skipped unless overwritten."""
+    appearance, ``offset``/``limit`` window by row number (limit 0: all the rest,
+    spread over tasks), existing outputs skipped unless overwritten."""
     sites = first_per_key(manifest.select("domain", "seq", "homepage", "business_id"), "domain", "seq")
-    batch = sites.orderBy("seq").offset(offset).limit(limit) if limit else sites.orderBy("seq").offset(offset)
+    no = F.col("_no")
+    batch = global_ordinal(sites, "seq", "_no").filter((no >= offset) & ((no < offset + limit) if limit else F.lit(True)))
     action = F.lit("crawl")
     if existing is not None:
         batch = batch.join(existing.select("domain", F.lit(True).alias("_exists")), "domain", "left")
@@ -102,10 +103,10 @@ def crawl_summary(manifest: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def normalised_reason(reason) -> "F.Column":
-    """A browser ``ERR_*`` code when present, else the first 40 characters."""
+    """A browser ``ERR_*`` code when present, else the whole reason."""
     r = F.col(reason) if isinstance(reason, str) else reason
     code = F.regexp_extract(r, r"ERR_[A-Z0-9_]+", 0)
-    return F.coalesce(F.nullif(code, F.lit("")), F.substring(r, 1, 40))
+    return F.coalesce(F.nullif(code, F.lit("")), r)
 
 
 def failure_breakdown(index: DataFrame) -> DataFrame:

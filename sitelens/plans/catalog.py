@@ -27,5 +27,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from sitelens.plans import (  # noqa: F401
         registry_queries, corpus_queries, resume_queries, page_queries,
-        request_queries, report_queries, label_queries, stream_queries,
+        request_queries, label_queries, stream_queries,
     )

@@ -24,6 +24,13 @@ def _labels(spark, sf_dir):
     return C.language_labels(d, F.col("lang"), min_chars=MIN_CHARS)
 
 
+def _english(spark, sf_dir):
+    """Texts labelled English, in one pass: the label is a filter, not a join."""
+    d = _docs(spark, sf_dir, "text", "lang")
+    label = TX.language_label("text", F.col("lang"), MIN_CHARS, TX.is_junk("text"))
+    return d.filter(label == "en").select("doc_id", "text")
+
+
 LABEL_SQL = f"""CASE WHEN {O.is_junk('text')} THEN 'blocked'
   WHEN length({O.trim_ws('text')}) < {MIN_CHARS} THEN 'short' ELSE coalesce(lang, 'unknown') END"""
 
@@ -65,9 +72,7 @@ long AS (SELECT 'Char_clean' AS variable, Char_clean AS value FROM lengths
 SELECT variable, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
   CAST(min(value) AS BIGINT) AS min, CAST(max(value) AS BIGINT) AS max FROM long GROUP BY variable""")
 def q_text_length_summary(spark, sf_dir):
-    en = _labels(spark, sf_dir).filter(F.col("lang") == "en").select("doc_id")
-    docs = _docs(spark, sf_dir, "text").join(en, "doc_id", "left_semi")
-    return C.text_length_summary(C.text_lengths(docs))
+    return C.text_length_summary(C.text_lengths(_english(spark, sf_dir)))
 
 
 @query("token_estimate", f"""SELECT doc_id, CAST(ceil(length({O.clean_text('text')}) / 4) AS BIGINT) AS tokens
@@ -83,9 +88,7 @@ SELECT count(*) AS documents, max(Tokens) AS max_tokens, round(avg(Tokens), 6) A
   count(*) FILTER (WHERE Tokens > {CONTEXT_LIMIT}) AS over_limit, CAST({CONTEXT_LIMIT} AS BIGINT) AS context_limit
 FROM lengths""")
 def q_context_fit(spark, sf_dir):
-    en = _labels(spark, sf_dir).filter(F.col("lang") == "en").select("doc_id")
-    docs = _docs(spark, sf_dir, "text").join(en, "doc_id", "left_semi")
-    return C.context_fit(C.text_lengths(docs), CONTEXT_LIMIT)
+    return C.context_fit(C.text_lengths(_english(spark, sf_dir)), CONTEXT_LIMIT)
 
 
 @query("truncate_input", f"""SELECT doc_id, substring(text, 1, {MAX_INPUT_CHARS}) AS input_text,

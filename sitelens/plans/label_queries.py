@@ -76,9 +76,13 @@ def q_tfidf(spark, sf_dir):
     return L.tfidf(tr)
 
 
+#: Features of the forest: the most frequent terms of the training split.
+FOREST_VOCABULARY = 5000
+
+
 def _forest(spark, sf_dir):
     s = split(spark, sf_dir).select("doc_id", "label", "text", "split")
-    model = L.train_forest(s.filter(F.col("split") == "train"))
+    model = L.train_forest(s.filter(F.col("split") == "train"), vocab_size=FOREST_VOCABULARY, min_df=2.0)
     return model, s
 
 
@@ -160,7 +164,7 @@ SELECT doc_id, md5(ex) AS example_md5, CAST(length(ex) AS BIGINT) AS example_cha
   SELECT doc_id, CAST(to_json({{'messages': [
     {{'role': 'system', 'content': {O.q(RQ.CLASSIFY_SYSTEM_PROMPT)}}},
     {{'role': 'user', 'content': concat({O.q(RQ.USER_TEMPLATE_HEAD)}, concat('doc-', CAST(doc_id AS VARCHAR)),
-        {O.q(RQ.USER_TEMPLATE_MID)}, substring(text, 1, {RQ.MAX_INPUT_CHARS}), {O.q(RQ.USER_TEMPLATE_TAIL)})}},
+        {O.q(RQ.USER_TEMPLATE_MID)}, text, {O.q(RQ.USER_TEMPLATE_TAIL)})}},
     {{'role': 'assistant', 'content': CASE WHEN label = 1 THEN '{{"innovative": true}}' ELSE '{{"innovative": false}}' END}}
   ]}}) AS VARCHAR) AS ex FROM split WHERE split = 'train')""", "rater_codes", extra=CORPUS_CTE))
 def q_chat_examples(spark, sf_dir):
@@ -186,11 +190,12 @@ def _sample_sql(e: str) -> str:
     return f"lower(substring({O.trim_ws(e)}, 1, {LG.SAMPLE_CHARS}))"
 
 
-LANGID_CTE = f"""samp AS (SELECT doc_id, lang, {_sample_sql('text')} AS s FROM documents),
-grams AS (SELECT doc_id, lang, substring(s, i, 3) AS gram FROM samp, LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i)
+LANGID_CTE = f"""whole AS (SELECT lang, lower({O.trim_ws('text')}) AS s FROM documents WHERE lang IS NOT NULL),
+top AS (SELECT lang, substring(s, i, 3) AS gram, count(*) AS cnt FROM whole,
+  LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i) WHERE length(s) >= 3 GROUP BY 1, 2),
+samp AS (SELECT doc_id, {_sample_sql('text')} AS s FROM documents),
+grams AS (SELECT doc_id, substring(s, i, 3) AS gram FROM samp, LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i)
   WHERE length(s) >= 3),
-lcounts AS (SELECT lang, gram, count(*) AS cnt FROM grams WHERE lang IS NOT NULL GROUP BY lang, gram),
-top AS (SELECT * FROM lcounts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) <= {LG.TOP_K}),
 tot AS (SELECT lang, sum(cnt) AS t, count(*) AS k FROM top GROUP BY lang),
 model AS (SELECT top.lang, top.gram, ln((top.cnt + 1) / CAST(tot.t + tot.k AS DOUBLE)) AS logp,
   ln(1.0 / CAST(tot.t + tot.k AS DOUBLE)) AS logp_unseen FROM top JOIN tot USING (lang)),

@@ -67,7 +67,7 @@ def q_language_filter(spark, sf_dir):
 
 
 def _quality_sql():
-    head = "lower(concat_ws(' ', title, substring(text, 1, 2000)))"
+    head = "lower(concat_ws(' ', title, text))"
     bad = " OR ".join(f"contains({head}, {O.q(m)})" for m in P.ERROR_PAGE_MARKERS)
     return O.with_views(f"""SELECT seq, url, domain FROM ext
 WHERE error IS NULL AND NOT ({bad}) AND NOT {O.is_junk("coalesce(text, '')")}""", "site_pages", extra=EXTRACT_CTE)

@@ -119,7 +119,18 @@ def q_dry_run_translate(spark, sf_dir):
     return B.dry_run(req, skipped, RQ.price_table(spark), RQ.TRANSLATE_DEFAULT_MODEL, RQ.TRANSLATE_DEFAULT_PRICE)
 
 
-@query("batch_plan")
+@query("batch_plan", O.with_views(f"""
+SELECT q.custom_id, q.ordinal, q.size, printf('b%08d', f.batch) AS batch_id FROM sized q JOIN f USING (ordinal)""",
+                                  *OK_VIEWS, extra=REQ_CTE + f""",
+sized AS MATERIALIZED (SELECT custom_id, row_number() OVER (ORDER BY seq) - 1 AS ordinal,
+  CAST(length(prompt) + {len(RQ.CLASSIFY_SYSTEM_PROMPT)} + {RQ.CLASSIFY_OVERHEAD} AS BIGINT) AS size FROM req),
+f AS (SELECT * FROM (WITH RECURSIVE fold AS (
+  SELECT 0::BIGINT AS ordinal, 0::BIGINT AS batch, 1::BIGINT AS n, size AS total FROM sized WHERE ordinal = 0
+  UNION ALL SELECT s.ordinal,
+    CASE WHEN f.n >= {PLAN_MAX_COUNT} OR f.total + s.size > {PLAN_MAX_BYTES} THEN f.batch + 1 ELSE f.batch END,
+    CASE WHEN f.n >= {PLAN_MAX_COUNT} OR f.total + s.size > {PLAN_MAX_BYTES} THEN 1 ELSE f.n + 1 END,
+    CASE WHEN f.n >= {PLAN_MAX_COUNT} OR f.total + s.size > {PLAN_MAX_BYTES} THEN s.size ELSE f.total + s.size END
+  FROM fold f JOIN sized s ON s.ordinal = f.ordinal + 1) SELECT * FROM fold))"""))
 def q_batch_plan(spark, sf_dir):
     req, _ = _classify(spark, sf_dir)
     plan = B.plan_batches(req, PLAN_MAX_COUNT, PLAN_MAX_BYTES)
@@ -236,7 +247,10 @@ def q_batch_status(spark, sf_dir):
 VERDICT_CTE = f"""vs AS (SELECT doc_id, body, CASE WHEN result_type <> 'succeeded' THEN 'error'
   WHEN NOT json_valid(body) THEN 'parse_error' ELSE 'ok' END AS status FROM verdict_feed),
 verdicts AS (SELECT doc_id, status,
-  CASE WHEN status = 'ok' THEN coalesce(TRY_CAST(json_extract(body, '$.innovative') AS BOOLEAN), false) END AS innovative,
+  CASE WHEN status = 'ok' THEN coalesce(CASE json_type(body, '$.innovative')
+    WHEN 'BOOLEAN' THEN json_extract_string(body, '$.innovative') = 'true' WHEN 'VARCHAR' THEN json_extract_string(body, '$.innovative') <> ''
+    WHEN 'ARRAY' THEN json_array_length(body, '$.innovative') > 0 WHEN 'OBJECT' THEN len(json_keys(body, '$.innovative')) > 0
+    ELSE TRY_CAST(json_extract_string(body, '$.innovative') AS DOUBLE) <> 0 END, false) END AS innovative,
   CASE WHEN status = 'ok' THEN TRY_CAST(json_extract(body, '$.confidence') AS DOUBLE) END AS confidence,
   CASE WHEN status = 'ok' THEN {O.trim_ws("replace(coalesce(json_extract_string(body, '$.rationale'), ''), chr(10), ' ')")} END AS rationale
   FROM vs)"""

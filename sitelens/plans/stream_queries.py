@@ -19,7 +19,7 @@ RESULT_SCHEMA = ("batch_id long, custom_id string, domain_id long, part long, n_
 
 
 @query("failure_breakdown", O.with_views(r"""
-SELECT coalesce(nullif(regexp_extract(reason, 'ERR_[A-Z0-9_]+', 0), ''), substring(reason, 1, 40)) AS reason,
+SELECT coalesce(nullif(regexp_extract(reason, 'ERR_[A-Z0-9_]+', 0), ''), reason) AS reason,
   count(*) AS n FROM scrape_log WHERE NOT """ + O.text_true("ok") + """ GROUP BY 1""", "scrape_log"))
 def q_failure_breakdown(spark, sf_dir):
     return RP.failure_breakdown(FX.scrape_log(spark, sf_dir))
@@ -72,11 +72,11 @@ def q_collect_stream(spark, sf_dir):
                                                                 "text_md5")
 
 
-@query("progress_counters")
+@query("progress_counters", """SELECT CAST(count(*) AS BIGINT) AS rows, round(sum(value), 4) AS value_sum FROM events""")
 def q_progress_counters(spark, sf_dir):
-    """L3: per micro-batch row counts and value sums over the ``events`` log."""
+    """L3: totals of the per micro-batch row counts and value sums over the ``events`` log."""
     base = shared_path(spark, "progress")
     src = f"{base}/in"
-    table(spark, sf_dir, "events").select("event_id", "ts", "value").repartition(4).write.mode(
-        "overwrite").parquet(src)
-    return S.progress(spark, src, "event_id long, ts timestamp, value double", "value", f"{base}/checkpoint")
+    table(spark, sf_dir, "events").select("event_id", "ts", "value").write.mode("overwrite").parquet(src)
+    each = S.progress(spark, src, "event_id long, ts timestamp, value double", "value", f"{base}/checkpoint", f"{base}/out")
+    return each.agg(F.sum("rows").alias("rows"), F.round(F.sum("value_sum"), 4).alias("value_sum"))

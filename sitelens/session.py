@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 
 # Settings that matter at 100 TB as much as on local[8]: AQE re-plans shuffles at
 # runtime (coalescing small partitions, splitting skewed join partitions), and
-# the broadcast threshold stays at a small, explicit value because every
-# broadcast in this library is additionally size-checked (see sitelens.plans.sizing).
+# the broadcast threshold stays at a small, explicit value.  Only fixed tables are
+# hinted; sides that come from data are left to the optimizer's measured sizes.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -50,7 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The cluster names it in ``spark.checkpoint.dir``; we only read it.  When it
-    is unset (local tests), a private folder is created and registered.
+    is unset, a private folder is made on a local master; on a cluster, where each
+    machine would see a folder of its own, that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -58,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             d = spark.sparkContext.getCheckpointDir()
         except Exception:  # pragma: no cover - connect sessions have no context
             d = None
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="sitelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
