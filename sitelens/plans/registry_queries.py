@@ -167,8 +167,8 @@ def _id_file(spark, sf_dir):
     lines = ids.select("seq", F.explode(F.array(F.concat(F.lit("  "), F.col("business_id"), F.lit(" ")),
                                                    F.lit(""))).alias("value"))
     path = shared_path(spark, "ids")
-    # One ordered text file (ids are read back in file order).
-    lines.orderBy("seq").coalesce(1).select("value").write.mode("overwrite").text(path)
+    # a global sort writes the part files in order, and they are read back in file order
+    lines.orderBy("seq").select("value").write.mode("overwrite").text(path)
     return FS.read_id_list(spark, path)
 
 

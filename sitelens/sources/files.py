@@ -1,6 +1,7 @@
 """File sources (A1-A8, A10) and sinks.
 
-Every reader takes an explicit schema (no inference pass over 100 TB) and every
+Every reader takes explicit types (no inference pass over 100 TB), finds CSV
+columns by their header, and numbers rows in file order itself.  Every
 writer is a plain DataFrame writer: Parquet for tables that are read again,
 CSV/JSON only as exports.  No file per row: one-document-per-site output is a
 row per site in a columnar table.
@@ -8,7 +9,7 @@ row per site in a columnar table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,70 @@ BATCH_RESULT = ("batch_id STRING, custom_id STRING, result_type STRING, "
                 "content ARRAY<STRUCT<type:STRING,text:STRING>>")
 
 
+# ---- order and headers ----------------------------------------------------------
+
+def in_file_order(scan: DataFrame, name: str = "seq") -> DataFrame:
+    """A plain file scan with the dense 0-based position of each row over all its
+    files (by path, then place in the file).
+
+    Splits of files are counted and the small count table gives each its offset;
+    rows of a split keep the order in which the scan reads them.
+    """
+    here = scan.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+                       F.monotonically_increasing_id().alias("_mid"))
+    splits = here.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = splits.select("_path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    at = (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint")
+    return here.join(offsets, ["_path", "_start"]).withColumn(name, at).drop("_path", "_start", "_mid", "_first", "_off")
+
+
+def read_csv_by_header(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """CSV columns by the names in its header: those of ``ddl`` (missing ones
+    null, others left out).  ``seq`` is the row's position in file order unless
+    the file has such a column."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    if "seq" not in raw.columns:
+        raw = in_file_order(raw)
+    cols = [(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in T.StructType.fromDDL(ddl)]
+    return raw.select(*cols)
+
+
+def json_layout(spark: SparkSession, path: str, layout: str = "auto") -> str:
+    """``lines``, ``array`` or ``object`` (one document holding ``companies``), by the first characters."""
+    if layout != "auto":
+        return layout
+    head = _first_line(spark, path).replace(" ", "")
+    if head.startswith("["):
+        return "array"
+    return "object" if head == "{" or head.startswith(('{"companies"', '{"total_scanned"')) else "lines"
+
+
+def read_json_records(spark: SparkSession, path: str, ddl: str, layout: str = "auto") -> DataFrame:
+    """Records of ``ddl`` from JSON lines, a top-level array or an object
+    ``{"companies": [...]}``; ``seq`` is the position unless the records have one.
+
+    Lines are splittable; the two single-document layouts are one task each, so
+    land them once as Parquet and read that.
+    """
+    layout = json_layout(spark, path, layout)
+    fields = [f.name for f in T.StructType.fromDDL(ddl) if f.name != "seq"]
+    if layout == "lines":
+        raw = in_file_order(spark.read.schema(ddl).json(path), "_at")
+        return raw.select(F.coalesce("seq", "_at").alias("seq"), *fields)
+    records = T.ArrayType(T.StructType.fromDDL(ddl))
+    if layout == "object":
+        whole = spark.read.schema(T.StructType([T.StructField("companies", records)])).option("multiLine", True).json(path)
+        x = whole.select(F.posexplode("companies").alias("_at", "r"))
+    elif layout == "array":
+        text = spark.read.text(path, wholetext=True)
+        x = text.select(F.posexplode(F.from_json("value", records)).alias("_at", "r"))
+    else:
+        raise ValueError(layout)
+    return x.select(F.coalesce(F.col("r.seq"), F.col("_at").cast("bigint")).alias("seq"), *[f"r.{f}" for f in fields])
+
+
 # ---- A1 register --------------------------------------------------------------
 
 def _first_line(spark: SparkSession, path: str) -> str:
@@ -45,32 +110,8 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 
 def read_register(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
-    """A1: register records from JSON lines, one top-level array, or an object
-    ``{"companies": [...]}`` (decided by the first non-blank characters).
-
-    Lines are splittable; the two single-document layouts are one task each, so
-    land them once as Parquet (:func:`land_register`) and read that.
-    """
-    if layout == "auto":
-        head = _first_line(spark, path)
-        if head.startswith("["):
-            layout = "array"
-        elif head == "{" or head.replace(" ", "").startswith('{"companies"'):
-            layout = "object"
-        else:
-            layout = "lines"
-    if layout == "lines":
-        return spark.read.schema(REGISTER_RECORD).json(path)
-    if layout == "array":
-        df = spark.read.schema(REGISTER_RECORD).option("multiLine", True).json(path)
-        return df.withColumn("seq", F.coalesce(F.col("seq"), F.monotonically_increasing_id()))
-    if layout == "object":
-        schema = T.StructType([T.StructField("companies", T.ArrayType(T.StructType.fromDDL(REGISTER_RECORD)))])
-        wrapped = spark.read.schema(schema).option("multiLine", True).json(path)
-        x = wrapped.select(F.posexplode("companies").alias("_pos", "r"))
-        return x.select(F.coalesce(F.col("r.seq"), F.col("_pos").cast("bigint")).alias("seq"),
-                        "r.businessId", "r.names", "r.website", "r.companyForms", "r.tradeRegisterStatus")
-    raise ValueError(layout)
+    """A1: register records in any of the layouts of :func:`read_json_records`."""
+    return read_json_records(spark, path, REGISTER_RECORD, layout)
 
 
 def land_register(spark: SparkSession, src: str, dest: str, layout: str = "auto") -> DataFrame:
@@ -101,11 +142,9 @@ def write_manifest(kept: DataFrame, csv_path: str | None = None, json_path: str
 
 def read_manifest(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A2: manifest rows with a non-blank homepage; ``domain`` falls back to the
-    homepage; missing id/name become ``""``."""
-    if fmt == "csv":
-        df = spark.read.schema(MANIFEST_CSV).option("header", True).csv(path)
-    else:
-        df = spark.read.schema(MANIFEST_CSV).json(path)
+    homepage; missing id/name become ``""``.  CSV columns go by header; JSON may
+    be lines, an array or ``{total_scanned, companies}``."""
+    df = read_csv_by_header(spark, path, MANIFEST_CSV) if fmt == "csv" else read_json_records(spark, path, MANIFEST_CSV)
     hp = trim_ws(F.coalesce(F.col("homepage"), F.lit("")))
     dom = F.when(F.coalesce(F.col("domain"), F.lit("")) == "", hp).otherwise(F.col("domain"))
     return (df.withColumn("homepage", hp).filter(F.col("homepage") != "")
@@ -120,11 +159,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_accessibility(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ACCESSIBILITY_CSV).option("header", True).csv(path)
+    return read_csv_by_header(spark, path, ACCESSIBILITY_CSV)
 
 
 def read_scrape_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCRAPE_INDEX_CSV).option("header", True).csv(path)
+    return read_csv_by_header(spark, path, SCRAPE_INDEX_CSV)
 
 
 def accessible_urls(acc: DataFrame) -> DataFrame:
@@ -187,6 +226,6 @@ def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """One id per line, trimmed, blanks skipped; ``pos`` keeps file order."""
-    t = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    """One id per line, trimmed, blanks skipped; ``pos`` is the line's position over all files, in file order."""
+    t = in_file_order(spark.read.text(path), "pos")
     return t.select("pos", trim_ws("value").alias("business_id")).filter(F.col("business_id") != "")

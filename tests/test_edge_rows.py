@@ -92,11 +92,10 @@ def test_clean_text(spark):
     assert got == ["a c d", "", "a b", "äö", "see and now"]
 
 
-def test_chunk_text_rows():
-    assert RQ.chunk_text("aaa\nbbb\nccc", 7) == ["aaa\nbbb", "ccc"]
-    assert RQ.chunk_text("abcdefghij", 4) == ["abcd", "efgh", "ij"]
-    assert RQ.chunk_text("ab\nabcdefgh\nx", 4) == ["ab", "abcd", "efgh", "x"]
-    assert RQ.chunk_text("abcd\n", 4) == ["abcd", ""]
+def test_chunk_rows(spark):
+    assert one(spark, RQ.chunk_array("t", 7), [("aaa\nbbb\nccc",)], "t string") == [["aaa\nbbb", "ccc"]]
+    assert one(spark, RQ.chunk_array("t", 4), [("abcdefghij",), ("ab\nabcdefgh\nx",), ("abcd\n",)], "t string") == [
+        ["abcd", "efgh", "ij"], ["ab", "abcd", "efgh", "x"], ["abcd", ""]]
 
 
 def test_max_tokens_and_limits(spark):
@@ -137,7 +136,7 @@ def test_format_duration(spark):
 def test_next_fit(spark):
     def plan(sizes, count, size):
         df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "ordinal long, size long")
-        out = B.plan_batches(df, count, size, shards=1).orderBy("ordinal").collect()
+        out = B.plan_batches(df, count, size).orderBy("ordinal").collect()
         return [r.batch_no for r in out]
     assert plan([5, 5, 5], 2, 100) == [0, 0, 1]
     assert plan([60, 60, 150], 100, 100) == [0, 1, 2]
@@ -179,3 +178,48 @@ def test_footprint_and_evidence(spark):
                                 "doc_id int, status string, innovative boolean")
     out = {r.doc_id: (r.quote_status, r.consistent) for r in L.evidence_check(ev, texts, ver).collect()}
     assert out == {1: ("valid", True), 2: ("hallucinated", True), 3: ("valid", False)}
+
+
+def test_verdict_truthiness(spark):
+    from sitelens.operators.batches import parse_verdicts
+    bodies = {'{"innovative": true}': True, '{"innovative": false}': False, '{"innovative": "false"}': True,
+              '{"innovative": ""}': False, '{"innovative": [1]}': True, '{"innovative": []}': False,
+              '{"innovative": {}}': False, '{"innovative": {"a": 0}}': True, '{"innovative": 0}': False,
+              '{"innovative": 2.5}': True, '{"innovative": null}': False, '{}': False}
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id int, body string").withColumn("result_type", F.lit("succeeded"))
+    got = {r.doc_id: r.innovative for r in parse_verdicts(df).collect()}
+    assert [got[i] for i in range(len(bodies))] == list(bodies.values())
+
+
+def test_language_scores_agree_with_and_without_a_travelling_model(spark):
+    from sitelens.operators import language as LG
+    train = spark.createDataFrame([("en", "the cat and the dog"), ("fi", "kissa ja koira ja talo"), (None, "xx yy"), ("en", None)],
+                                  "lang string, text string")
+    docs = spark.createDataFrame([(1, "The dog"), (2, "koira talo"), (3, "qqq zzz"), (4, None), (5, ""), (6, "ab")],
+                                 "doc_id int, text string")
+    model = LG.train(train)
+    fast = {r.doc_id: r.lang_id for r in LG.identify(docs, model).collect()}
+    joined = {r.doc_id: r.lang_id for r in LG.identify(docs, model, max_model_rows=0).collect()}
+    assert fast == joined == {1: "en", 2: "fi", 3: None, 4: None, 5: None, 6: None}
+
+
+def test_shared_folder_is_never_machine_local_on_a_cluster():
+    import pytest
+
+    from sitelens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

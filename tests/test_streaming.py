@@ -28,3 +28,13 @@ def test_resumable_log_is_idempotent(spark):
     out = spark.read.parquet(log)
     assert out.count() == 21
     assert out.filter(F.col("ok") == "False").count() == 0
+
+
+def test_progress_counts_every_micro_batch(spark):
+    base = tempfile.mkdtemp(prefix="sitelens-progress-")
+    rows = spark.range(0, 1200).select(F.col("id"), F.col("id").cast("double").alias("value"))
+    rows.repartition(105).write.parquet(f"{base}/in")
+    out = S.progress(spark, f"{base}/in", "id long, value double", "value", f"{base}/ckpt", f"{base}/out",
+                     max_files_per_trigger=1)
+    got = out.agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.sum("value_sum").alias("s")).first()
+    assert got["n"] == 105 and got["rows"] == 1200 and got["s"] == sum(range(1200))
