@@ -53,22 +53,20 @@ def q_resume_stream(spark, sf_dir):
 
 
 @query("collect_stream", O.with_views("""
-SELECT domain_id, CASE WHEN max(CASE WHEN result_type <> 'succeeded' THEN 1 ELSE 0 END) = 1 THEN 'error' ELSE 'ok' END AS status,
-  CAST(max(n_parts) AS INTEGER) AS parts,
-  CASE WHEN max(CASE WHEN result_type <> 'succeeded' THEN 1 ELSE 0 END) = 0
-       THEN CAST(length(string_agg(text, chr(10) ORDER BY part)) AS BIGINT) END AS chars_out,
-  CASE WHEN max(CASE WHEN result_type <> 'succeeded' THEN 1 ELSE 0 END) = 0
-       THEN md5(string_agg(text, chr(10) ORDER BY part)) END AS text_md5
-FROM batch_results GROUP BY domain_id HAVING count(*) = max(n_parts)""", "batch_results"))
+SELECT domain_id, CASE WHEN whole THEN 'ok' ELSE 'error' END AS status, parts,
+  CASE WHEN whole THEN CAST(length(joined) AS BIGINT) END AS chars_out, CASE WHEN whole THEN md5(joined) END AS text_md5
+FROM (SELECT domain_id, CAST(max(n_parts) AS INTEGER) AS parts, string_agg(text, chr(10) ORDER BY part) AS joined,
+        count(*) FILTER (WHERE result_type = 'succeeded') = max(n_parts) AS whole
+      FROM batch_results GROUP BY domain_id)""", "batch_results"))
 def q_collect_stream(spark, sf_dir):
     """L2: the result feed lands as one file per batch; domains are emitted once
-    complete (domains with a part still missing wait for their timeout)."""
+    complete, and those with a part missing as errors when the feed has ended."""
     base = shared_path(spark, "collect-stream")
     src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
     feed = FX.batch_results(spark, sf_dir)
     feed.write.mode("overwrite").partitionBy("batch_id").json(src)
-    S.collect_when_complete(spark, src, RESULT_SCHEMA, out, ckpt)
-    return spark.read.schema(S.OUT_SCHEMA).parquet(out).select("domain_id", "status", "parts", "chars_out",
+    S.collect_when_complete(spark, src, RESULT_SCHEMA, out, ckpt, ended=True)
+    return spark.read.schema(S.OUT_SCHEMA).parquet(f"{out}/*").select("domain_id", "status", "parts", "chars_out",
                                                                 "text_md5")
 
 

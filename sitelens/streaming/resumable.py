@@ -1,15 +1,15 @@
 """Structured Streaming forms of the reference's resumable loops (L1-L3).
 
-* L1 ``resumable_log``: a file stream of outcomes, de-duplicated by key (the
+* L1 ``resumable_log``: a file stream of outcomes, the first of each key (the
   state store *is* the done-set), appended to a Parquet log by
   ``foreachBatch``.  The checkpoint is the resume state: rerunning after new
   files arrive appends only keys never seen before.
 * L2 ``collect_when_complete``: results arrive part by part; a domain is
   emitted once all its parts are in (``ok``, or ``error`` when a part failed),
-  or as ``error`` when its processing-time timeout expires.
+  and as ``error`` when the batch has ended without them.
   ``applyInPandasWithState`` keyed by domain; state = the parts seen so far
-  (bounded by one document).
-* L3 ``progress``: ``observe`` metrics per micro-batch.
+  (bounded by one document), then a flag.
+* L3 ``progress``: counters written per micro-batch.
 
 Every query runs with ``trigger(availableNow=True)`` (one poll, like the
 reference's ``--collect`` without ``--wait``) and a checkpoint in the shared
@@ -34,84 +34,87 @@ def _append_to(path: str):
 
 
 def resumable_log(spark: SparkSession, source_dir: str, schema: str, key: str, log_dir: str,
-                  checkpoint: str, max_files_per_trigger: int | None = None) -> None:
-    """L1: append every key's first outcome to ``log_dir``; earlier keys are skipped."""
+                  checkpoint: str, max_files_per_trigger: int | None = None, order: str = "seq") -> None:
+    """L1: append every key's first outcome to ``log_dir``; earlier keys are skipped.
+
+    Inside a micro-batch the outcome with the smallest ``order`` counts.  The
+    state is the done-set itself (one flag a key), so it lasts as long as the log.
+    """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir).dropDuplicates([key])
+
+    def first(_, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in pdfs:
+            row = pdf.sort_values(order, kind="stable").head(1)
+            if best is None or row[order].iloc[0] < best[order].iloc[0]:
+                best = row
+        if not state.exists and best is not None:
+            state.update((True,))
+            yield best
+
+    stream = reader.parquet(source_dir).groupBy(key).applyInPandasWithState(
+        first, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
     q = (stream.writeStream.foreachBatch(_append_to(log_dir)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-STATE_SCHEMA = "parts array<int>, texts array<string>, errored boolean, n_parts int"
+STATE_SCHEMA = "parts array<int>, texts array<string>, errored boolean, n_parts int, done boolean"
 OUT_SCHEMA = "domain_id long, status string, parts int, chars_out long, text_md5 string"
 
 
-def _collector(timeout_ms: int):
+def _collector():
     import hashlib
 
-    def emit(domain_id, st, status):
-        parts, texts, errored, n_parts = st
-        if status == "ok":
-            order = sorted(range(len(parts)), key=lambda i: parts[i])
-            text = "\n".join(texts[i] for i in order)
-            return pd.DataFrame({"domain_id": [domain_id], "status": ["ok"], "parts": [n_parts],
-                                 "chars_out": [len(text)], "text_md5": [hashlib.md5(text.encode("utf-8")).hexdigest()]})
-        return pd.DataFrame({"domain_id": [domain_id], "status": ["error"], "parts": [n_parts],
-                             "chars_out": [None], "text_md5": [None]})
+    def emit(domain_id, parts, texts, errored, n_parts):
+        text = None if errored else "\n".join(t for _, t in sorted(zip(parts, texts)))
+        return pd.DataFrame({"domain_id": [domain_id], "status": ["error" if errored else "ok"], "parts": [n_parts],
+                             "chars_out": [None if errored else len(text)],
+                             "text_md5": [None if errored else hashlib.md5(text.encode("utf-8")).hexdigest()]})
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        domain_id = int(key[0])
-        if state.hasTimedOut:
-            st = state.get
-            state.remove()
-            yield emit(domain_id, st, "error")
+        parts, texts, errored, n_parts, done = state.get if state.exists else ([], [], False, 0, False)
+        if done:  # emitted before: what comes late or again changes nothing
             return
-        if state.exists:
-            parts, texts, errored, n_parts = state.get
-            parts, texts = list(parts), list(texts)
-        else:
-            parts, texts, errored, n_parts = [], [], False, 0
+        parts, texts = list(parts), list(texts)
         for pdf in pdfs:
             for part, text, rtype, n in zip(pdf["part"], pdf["text"], pdf["result_type"], pdf["n_parts"]):
                 n_parts = int(n)
-                if rtype == "succeeded":
-                    if int(part) not in parts:
-                        parts.append(int(part))
-                        texts.append(text or "")
-                else:
-                    errored = True
-                    parts.append(-1 - len(parts))  # count the failed part as arrived
-                    texts.append("")
-        st = (parts, texts, errored, n_parts)
+                if int(part) in parts:  # a part counts once, however often it is sent
+                    continue
+                errored = errored or rtype != "succeeded"
+                parts.append(int(part))
+                texts.append((text or "") if rtype == "succeeded" else "")
         if len(parts) >= n_parts:
-            state.remove()
-            yield emit(domain_id, st, "error" if errored else "ok")
+            state.update(([], [], False, n_parts, True))
+            yield emit(int(key[0]), parts, texts, errored, n_parts)
         else:
-            state.update(st)
-            state.setTimeoutDuration(timeout_ms)
+            state.update((parts, texts, errored, n_parts, False))
     return fn
 
 
 def collect_when_complete(spark: SparkSession, source_dir: str, schema: str, out_dir: str, checkpoint: str,
-                          timeout_ms: int = 3_600_000) -> None:
-    """L2: emit each domain once all of its parts have arrived (or it timed out)."""
+                          ended: bool = False) -> None:
+    """L2: emit each domain once all of its parts have arrived.
+
+    ``ended``: no more parts will come, so domains that still miss one are
+    emitted as ``error``, as the batch form reports them.
+    """
     stream = spark.readStream.schema(schema).json(source_dir)
     out = stream.groupBy("domain_id").applyInPandasWithState(
-        _collector(timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
-    # One poll: pending timeouts would otherwise keep scheduling empty
-    # micro-batches; they fire on the next poll that brings data instead.
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        q = (out.writeStream.foreachBatch(_append_to(out_dir)).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+        _collector(), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    q = (out.writeStream.foreachBatch(_append_to(out_dir)).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if ended:
+        seen = spark.read.schema(schema).json(source_dir).groupBy("domain_id").agg(F.max("n_parts").cast("int").alias("parts"))
+        done = spark.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/epoch=*").select("domain_id")
+        rest = seen.join(done, "domain_id", "left_anti").select(
+            "domain_id", F.lit("error").alias("status"), "parts", F.lit(None).cast("bigint").alias("chars_out"),
+            F.lit(None).cast("string").alias("text_md5"))
+        rest.write.mode("overwrite").parquet(f"{out_dir}/ended")
 
 
 def progress(spark: SparkSession, source_dir: str, schema: str, value: str, checkpoint: str, out_dir: str,

@@ -38,3 +38,28 @@ def test_progress_counts_every_micro_batch(spark):
                      max_files_per_trigger=1)
     got = out.agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.sum("value_sum").alias("s")).first()
     assert got["n"] == 105 and got["rows"] == 1200 and got["s"] == sum(range(1200))
+
+
+def test_collector_counts_a_part_once_and_reports_the_incomplete(spark):
+    schema = "domain_id long, part long, n_parts long, result_type string, text string"
+    base = tempfile.mkdtemp(prefix="sitelens-collect-")
+    src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+
+    def send(*rows, ended=False):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
+        S.collect_when_complete(spark, src, schema, out, ckpt, ended)
+
+    send((1, 0, 2, "errored", None), (1, 0, 2, "errored", None), (2, 1, 2, "succeeded", "b"), (3, 0, 2, "succeeded", "x"))
+    send((2, 0, 2, "succeeded", "a"), (2, 0, 2, "succeeded", "z"))
+    send((2, 1, 2, "succeeded", "late"), (1, 1, 2, "succeeded", "y"), ended=True)
+    got = sorted((r.domain_id, r.status, r.chars_out) for r in spark.read.schema(S.OUT_SCHEMA).parquet(f"{out}/*").collect())
+    assert got == [(1, "error", None), (2, "ok", 3), (3, "error", None)]
+
+
+def test_resumable_log_takes_the_first_of_a_micro_batch(spark):
+    base = tempfile.mkdtemp(prefix="sitelens-first-")
+    rows = [(5, "a", "False"), (2, "a", "True"), (9, "a", "False"), (1, "b", "x")]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{base}/in")
+    S.resumable_log(spark, f"{base}/in", SCHEMA, "domain", f"{base}/log", f"{base}/ckpt")
+    got = spark.read.schema(SCHEMA).parquet(f"{base}/log").collect()
+    assert sorted((r.seq, r.domain, r.ok) for r in got) == [(1, "b", "x"), (2, "a", "True")]
