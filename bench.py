@@ -23,7 +23,8 @@ HEADLINE = [
     "symbol_summary", "text_length_summary", "language_breakdown", "clean_text",
     "page_extract", "first_level_links", "site_result", "reachability", "domain_funnel",
     "work_list", "build_classify_requests", "build_translate_requests", "batch_plan",
-    "reassemble", "verdicts", "stratified_split", "tfidf", "threshold_sweep",
+    "reassemble", "verdicts", "stratified_split", "tfidf", "threshold_sweep", "language_id", "run_summary",
+    "collect_stream",
 ]
 
 

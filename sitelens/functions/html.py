@@ -16,14 +16,16 @@ from sitelens.functions.text import trim_ws
 BODY_HEAD_RE = r"(?is)^.*?<body[^>]*>"
 COMMENT_RE = r"(?is)<!--.*?-->"
 DROP_BLOCK_RE = r"(?is)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>"
-AD_BLOCK_RE = r"(?is)<div class=\"ad\">.*?</div>"
+AD_BLOCK_RE = r"(?is)<div\s[^>]*?class\s*=\s*[\"']?(?:[^\"'>]*\s)?(?:ads?|advert|advertisement)(?:[\"'\s][^>]*)?>.*?</div>"
 BREAK_RE = r"(?i)<br ?/?>|</?(p|h[1-6]|li|tr|div|article)[^>]*>"
 TAG_RE = r"<[^>]+>"
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-            ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"))
+            ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&apos;", "'"), ("&auml;", "ä"), ("&Auml;", "Ä"),
+            ("&ouml;", "ö"), ("&Ouml;", "Ö"), ("&aring;", "å"), ("&Aring;", "Å"), ("&eacute;", "é"), ("&uuml;", "ü"),
+            ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
-LANG_RE = r"(?i)<html[^>]*\slang=\"([a-zA-Z-]+)\""
-LINK_RE = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
+LANG_RE = r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z-]+)"
+LINK_RE = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*)"
 
 
 def _c(col) -> Column:

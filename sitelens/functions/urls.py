@@ -111,10 +111,24 @@ def resolve_link(href, base) -> Column:
                 .otherwise(F.lit(4)))
         prefix = F.element_at(F.array(F.lit(""), F.concat(scheme, F.lit(":")), origin, base_noquery, base_dir),
                               F.least(kind, F.lit(4)) + 1)
-        return F.when(kind == 9, F.lit(None).cast("string")).otherwise(F.concat(prefix, h))
+        return F.when(kind == 9, F.lit(None).cast("string")).otherwise(without_dot_segments(F.concat(prefix, h)))
     return let(F.struct(trim_ws(href).alias("h"), _c(base).alias("b")), body)
 
 
+def without_dot_segments(url) -> Column:
+    """The URL with ``.`` and ``..`` path segments resolved (others untouched)."""
+    def body(u):
+        origin = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        tail = F.regexp_extract(u, r"(?s)^[^?#]*([?#].*)?$", 1)
+        folded = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, s: (
+            F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
+            .when(s == ".", acc).otherwise(F.array_append(acc, s))))
+        end = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+        return F.when(u.rlike(r"^[^?#]*/\.\.?([/?#]|$)"), F.concat(origin, F.array_join(folded, "/"), end, tail)).otherwise(u)
+    return let(_c(url), body)
+
+
 def is_asset(col) -> Column:
     return url_path(col).rlike(ASSET_RE)
 

@@ -223,3 +223,22 @@ def test_shared_folder_is_never_machine_local_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_html_attributes_in_any_quotes(spark):
+    from sitelens.functions import html as H
+    page = ("<html lang='fi'><body><a href='/a'>x</a><A class=k HREF = /b>y</A><a href=\"/c\">z</a>"
+            "<div id=1 class='top ad big'>no</div><div class=\"adventure\">yes &auml;&amp;</div></body>")
+    df = spark.createDataFrame([(page,)], "h string")
+    r = df.select(H.language("h").alias("l"), H.links("h").alias("a"), H.main_text("h").alias("t")).first()
+    assert r.l == "fi" and r.a == ["/a", "/b", "/c"] and r.t.split() == ["xyz", "yes", "ä&"]
+
+
+def test_links_resolve_dot_segments(spark):
+    from sitelens.functions import urls as U
+    base = "http://h.fi/a/b/c?x"
+    want = {"../d": "http://h.fi/a/d", "./e": "http://h.fi/a/b/e", "/x/../y?q=/../": "http://h.fi/y?q=/../", "../../../z": "http://h.fi/z",
+            "..": "http://h.fi/a/", ".": "http://h.fi/a/b/", "f.html": "http://h.fi/a/b/f.html", "/.well": "http://h.fi/.well"}
+    df = spark.createDataFrame([(k,) for k in want], "href string")
+    got = {r.href: r.u for r in df.select("href", U.resolve_link(F.col("href"), F.lit(base)).alias("u")).collect()}
+    assert got == want
