@@ -102,45 +102,51 @@ def first_level_links(home: DataFrame, pages_html: DataFrame, max_subpages: int
         "domain", F.col("link_no").cast("int").alias("link_no"), F.col("l.url").alias("url"))
 
 
-def site_results(pages: DataFrame, languages=None, max_subpages: int = MAX_SUBPAGES,
-                 max_depth: int = MAX_DEPTH) -> DataFrame:
-    """M4 + F14 + I3 + J15: one row per site: homepage, main page, subpages
-    (first-level links matched to captured pages; unmatched ->
-    ``download_failed``; D6 applied to subpages only), subpage count, sorted
-    distinct languages joined with ``|``.
-
-    The per-site subpage list is capped by ``max_subpages``, so grouping it is
-    bounded however hot a domain is.
+def site_page_rows(pages: DataFrame, languages=None, max_subpages: int = MAX_SUBPAGES,
+                   max_depth: int = MAX_DEPTH) -> DataFrame:
+    """M4: one row per page of a site's result: the homepage (``page_no`` 0) and
+    its first-level subpages in link order, each with title, language, text and
+    error (a link without a captured page: ``download_failed``; D6 applied to
+    subpages only).
+
+    Which pages belong to a site is decided on ids and urls; title and text join
+    once at the end and go through no aggregate.
     """
     home = homepages(pages)
-    ex = extract_pages(pages.select("seq", "url", "domain", "html"))
-    main = home.select("domain", "seq").join(ex.drop("url", "domain"), "seq")
     links = first_level_links(home, pages, max_subpages, max_depth)
     # a captured page answers a link when its cleaned canonical url is equal
-    captured = ex.select(U.canonical(U.clean_url(F.col("url"))).alias("canon"), "seq", "title", "language",
-                         "text", "error")
-    captured = first_per_key(captured, "canon", "seq")
-    sub = links.withColumn("canon", U.canonical(F.col("url"))).join(captured, "canon", "left")
-    sub = sub.withColumn("error", F.when(F.col("seq").isNull(), F.lit("download_failed"))
-                         .otherwise(F.col("error")))
-    sub = language_filter(sub, languages)
-    subs = sub.groupBy("domain").agg(
-        F.count(F.lit(1)).cast("int").alias("subpage_count"),
-        F.count_if(F.col("error").isNotNull()).cast("int").alias("failed_subpages"),
-        F.collect_set("language").alias("sub_langs"))
-    out = home.select("domain", F.col("url").alias("homepage")).join(
-        main.select("domain", F.col("title").alias("main_title"), F.col("language").alias("main_language"),
-                    F.length("text").cast("bigint").alias("main_chars"), F.col("error").alias("main_error")),
-        "domain", "left").join(subs, "domain", "left")
-    langs = F.array_sort(F.array_distinct(F.array_union(
-        F.coalesce(F.col("sub_langs"), F.array().cast("array<string>")),
-        F.when(F.col("main_language").isNotNull(), F.array("main_language"))
-         .otherwise(F.array().cast("array<string>")))))
-    return out.select("domain", "homepage", "main_title", "main_language", "main_chars", "main_error",
-                      F.coalesce("subpage_count", F.lit(0)).alias("subpage_count"),
-                      F.coalesce("failed_subpages", F.lit(0)).alias("failed_subpages"),
-                      F.array_join(langs, "|").alias("languages"),
-                      F.lit("").alias("site_error"))
+    captured = (pages.select(U.canonical(U.clean_url(F.col("url"))).alias("canon"), "seq")
+                     .groupBy("canon").agg(F.min("seq").alias("seq")))
+    subs = links.withColumn("canon", U.canonical(F.col("url"))).join(captured, "canon", "left").select(
+        "domain", (F.col("link_no") + 1).alias("page_no"), "url", "seq")
+    rows = home.select("domain", F.lit(0).alias("page_no"), "url", "seq").unionByName(subs)
+    out = rows.join(extract_pages(pages.select("seq", "url", "domain", "html")).drop("url", "domain"), "seq", "left")
+    out = out.withColumn("error", F.when(F.col("seq").isNull(), F.lit("download_failed")).otherwise(F.col("error")))
+    if languages:
+        sub = language_filter(out.filter("page_no > 0"), languages)
+        out = out.filter("page_no = 0").unionByName(sub.select(*out.columns))
+    return out.select("domain", "page_no", "url", "seq", "title", "language", "text", "error")
+
+
+def site_results(pages: DataFrame, languages=None, max_subpages: int = MAX_SUBPAGES,
+                 max_depth: int = MAX_DEPTH) -> DataFrame:
+    """M4 + F14 + I3 + J15: one row per site: homepage, main page, subpage counts,
+    sorted distinct languages joined with ``|``; a blank homepage capture is
+    ``homepage_unreachable``.  The texts are in :func:`site_page_rows`."""
+    rows = site_page_rows(pages, languages, max_subpages, max_depth).select(
+        "domain", "page_no", "url", "seq", "title", "language", F.length("text").cast("bigint").alias("chars"), "error")
+    main = F.struct("url", "seq", "title", "language", "chars", "error")
+    g = rows.groupBy("domain").agg(
+        F.max(F.when(F.col("page_no") == 0, main)).alias("m"),
+        F.count_if(F.col("page_no") > 0).cast("int").alias("subpage_count"),
+        F.count_if((F.col("page_no") > 0) & F.col("error").isNotNull()).cast("int").alias("failed_subpages"),
+        F.array_join(F.array_sort(F.collect_set("language")), "|").alias("languages"))
+    blank = pages.filter(is_blank("html")).select("seq", F.lit("homepage_unreachable").alias("_gone"))
+    out = g.withColumn("seq", F.col("m.seq")).join(blank, "seq", "left")
+    return out.select("domain", F.col("m.url").alias("homepage"), F.col("m.title").alias("main_title"),
+                      F.col("m.language").alias("main_language"), F.col("m.chars").alias("main_chars"),
+                      F.col("m.error").alias("main_error"), "subpage_count", "failed_subpages", "languages",
+                      F.coalesce("_gone", F.lit("")).alias("site_error"))
 
 
 # ---- M6 reachability from a probe log ------------------------------------------

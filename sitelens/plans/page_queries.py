@@ -89,8 +89,9 @@ site_result AS (SELECT h.domain, h.url AS homepage, m.title AS main_title, m.lan
   CAST(length(m.text) AS BIGINT) AS main_chars, m.error AS main_error,
   coalesce(s.subpage_count, 0) AS subpage_count, coalesce(s.failed_subpages, 0) AS failed_subpages,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(s.sub_langs, []),
-     CASE WHEN m.language IS NULL THEN [] ELSE [m.language] END))), '|') AS languages, '' AS site_error
-  FROM home h LEFT JOIN ext m ON m.seq = h.seq LEFT JOIN subs s ON s.domain = h.domain)"""
+     CASE WHEN m.language IS NULL THEN [] ELSE [m.language] END))), '|') AS languages,
+  CASE WHEN {O.is_blank('p.html')} THEN 'homepage_unreachable' ELSE '' END AS site_error
+  FROM home h LEFT JOIN ext m ON m.seq = h.seq LEFT JOIN subs s ON s.domain = h.domain LEFT JOIN site_pages p ON p.seq = h.seq)"""
 
 SITE_EXTRA = EXTRACT_CTE + ",\n" + LINKS_CTE + ",\n" + SITE_CTE
 
@@ -100,6 +101,18 @@ def q_site_result(spark, sf_dir):
     return P.site_results(FX.site_pages(spark, sf_dir))
 
 
+@query("site_pages_result", O.with_views("""
+SELECT domain, 0 AS page_no, h.url, e.title, e.language, md5(e.text) AS text_md5, e.error FROM home h JOIN ext e USING (domain, seq)
+UNION ALL SELECT l.domain, l.link_no + 1, l.url, c.title, c.language, md5(c.text),
+  CASE WHEN c.seq IS NULL THEN 'download_failed' ELSE c.error END
+FROM links l LEFT JOIN captured c ON c.canon = regexp_replace(l.url, '/+$', '')""", "site_pages", extra=SITE_EXTRA))
+def q_site_pages_result(spark, sf_dir):
+    """M4: the pages of every site with their texts (digested here)."""
+    r = P.site_page_rows(FX.site_pages(spark, sf_dir))
+    return r.select("domain", F.col("page_no").cast("int").alias("page_no"), "url", "title", "language",
+                    F.md5("text").alias("text_md5"), "error")
+
+
 @query("site_languages", O.with_views("SELECT domain, languages FROM site_result", "site_pages", extra=SITE_EXTRA))
 def q_site_languages(spark, sf_dir):
     return P.site_results(FX.site_pages(spark, sf_dir)).select("domain", "languages")
