@@ -41,6 +41,8 @@ def translate_requests(work: DataFrame, model: str = RQ.TRANSLATE_DEFAULT_MODEL,
         F.col("part").cast("int").alias("part"), F.col("n_parts").cast("int").alias("n_parts"),
         F.lit(model).alias("model"), RQ.max_tokens_for_chars(F.length("chunk")).alias("max_tokens"),
         F.length("chunk").cast("bigint").alias("chars"), "chunk",
+        RQ.request_params(F.lit(model), RQ.max_tokens_for_chars(F.length("chunk")), RQ.TRANSLATE_SYSTEM_PROMPT,
+                          F.col("chunk")).alias("params"),
         (F.length("chunk") + F.lit(n_sys + RQ.TRANSLATE_OVERHEAD)).cast("bigint").alias("size"))
     return req, skipped
 
@@ -63,6 +65,8 @@ def classify_requests(work: DataFrame, model: str = RQ.CLASSIFY_DEFAULT_MODEL,
         cols.append("source")
     req = real.select(*cols, m.alias("model"), RQ.verdict_max_tokens(m, b).alias("max_tokens"),
                       RQ.thinking_type(m, b).alias("thinking"), prompt.alias("prompt"))
+    req = req.withColumn("params", RQ.request_params("model", "max_tokens", RQ.CLASSIFY_SYSTEM_PROMPT, "prompt",
+                                                     RQ.verdict_output_config(), "thinking", RQ.thinking_budget(m, b)))
     req = req.withColumn("size", (F.length("prompt") + F.lit(n_sys + RQ.CLASSIFY_OVERHEAD)).cast("bigint"))
     return req, skipped
 

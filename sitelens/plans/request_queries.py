@@ -41,6 +41,18 @@ def q_build_classify_requests(spark, sf_dir):
                       F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+@query("classify_request_params", O.with_views(f"""
+SELECT custom_id, CAST(length(body) AS BIGINT) AS params_chars, md5(body) AS params_md5 FROM (
+  SELECT custom_id, replace(CAST(to_json({{'model': {O.q(RQ.CLASSIFY_DEFAULT_MODEL)}, 'max_tokens': 1024,
+    'system': {O.q(RQ.CLASSIFY_SYSTEM_PROMPT)}, 'messages': [{{'role': 'user', 'content': prompt}}], 'end': 0}}) AS VARCHAR),
+    ',"end":0}}', concat(',"output_config":', {O.q(RQ.verdict_output_config())}, '}}')) AS body FROM req)""",
+                                               *OK_VIEWS, extra=REQ_CTE))
+def q_classify_request_params(spark, sf_dir):
+    """The request bodies as they are submitted."""
+    req, _ = _classify(spark, sf_dir)
+    return req.select("custom_id", F.length("params").cast("bigint").alias("params_chars"), F.md5("params").alias("params_md5"))
+
+
 @query("request_ids", O.with_views("SELECT custom_id, domain FROM req", *OK_VIEWS, extra=REQ_CTE))
 def q_request_ids(spark, sf_dir):
     req, _ = _classify(spark, sf_dir)

@@ -242,3 +242,16 @@ def test_links_resolve_dot_segments(spark):
     df = spark.createDataFrame([(k,) for k in want], "href string")
     got = {r.href: r.u for r in df.select("href", U.resolve_link(F.col("href"), F.lit(base)).alias("u")).collect()}
     assert got == want
+
+
+def test_request_params_are_whole_bodies(spark):
+    import json
+
+    df = spark.createDataFrame([("m-old", 500, "a \"b\"\n}"), ("claude-sonnet-4-6", 500, "x"), ("m-old", 0, "é}")], "m string, b int, t string")
+    p = RQ.request_params("m", RQ.verdict_max_tokens("m", "b"), "be kind", "t", RQ.verdict_output_config(),
+                          RQ.thinking_type("m", "b"), RQ.thinking_budget("m", "b"))
+    got = [json.loads(r.p) for r in df.select(p.alias("p")).collect()]
+    assert [g.get("thinking") for g in got] == [{"type": "enabled", "budget_tokens": 1024}, {"type": "adaptive"}, None]
+    assert [g["messages"] for g in got] == [[{"role": "user", "content": t}] for t in ("a \"b\"\n}", "x", "é}")]
+    assert all(g["system"] == "be kind" and g["output_config"]["format"]["schema"] == RQ.VERDICT_SCHEMA for g in got)
+    assert [g["max_tokens"] for g in got] == [2048, 4096, 1024]
