@@ -9,7 +9,7 @@ from sitelens.functions import requests as RQ
 from sitelens.operators import batches as B
 from sitelens.plans import oracle as O
 from sitelens.plans.catalog import query
-from sitelens.plans.resume_queries import OK_VIEWS, PREF_CTE, classify_work, translate_work
+from sitelens.plans.resume_queries import OK_CTE, OK_VIEWS, PREF_CTE, classify_work, translate_work
 from sitelens.session import shared_path
 from sitelens.sources import files as FS
 from sitelens.sources import fixtures as FX
@@ -105,27 +105,57 @@ def q_request_limits(spark, sf_dir):
                        RQ.verdict_max_tokens("model", "budget").alias("max_tokens"))
 
 
-# ---- translation requests (chunked: rows-only checks plus invariants in tests) ----------
+# ---- translation requests ----------------------------------------------------------------
 
 def _translate(spark, sf_dir):
     return B.translate_requests(translate_work(spark, sf_dir))
 
 
-@query("chunk_texts")
+CHUNK_CTE = OK_CTE + f""",
+work AS (SELECT o.domain, o.seq, t.text FROM okd o JOIN scrape_text t ON t.domain = o.domain
+  WHERE o.domain NOT IN (SELECT domain FROM done_t) AND o.domain NOT IN (SELECT domain FROM flying)),
+lines AS (SELECT seq, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM work),
+cuts AS (SELECT seq, no, k, substring(line, k * {RQ.CHUNK_CHARS} + 1, {RQ.CHUNK_CHARS}) AS piece,
+    k < (greatest(length(line), 1) - 1) // {RQ.CHUNK_CHARS} AS alone
+  FROM lines, LATERAL (SELECT unnest(range(0, (greatest(length(line), 1) - 1) // {RQ.CHUNK_CHARS} + 1)) AS k)),
+pieces AS MATERIALIZED (SELECT seq, piece, alone, length(piece) AS n, row_number() OVER (PARTITION BY seq ORDER BY no, k) AS i FROM cuts),
+placed AS (SELECT * FROM (WITH RECURSIVE fold AS (
+  SELECT seq, i, 0 AS chunk, CASE WHEN alone THEN NULL ELSE n END AS held FROM pieces WHERE i = 1
+  UNION ALL SELECT p.seq, p.i,
+    CASE WHEN NOT p.alone AND f.held + 1 + p.n <= {RQ.CHUNK_CHARS} THEN f.chunk ELSE f.chunk + 1 END,
+    CASE WHEN p.alone THEN NULL WHEN f.held + 1 + p.n <= {RQ.CHUNK_CHARS} THEN f.held + 1 + p.n ELSE p.n END
+  FROM fold f JOIN pieces p ON p.seq = f.seq AND p.i = f.i + 1) SELECT * FROM fold)),
+chunks AS (SELECT w.domain, w.seq, CAST(q.chunk AS INTEGER) AS part, string_agg(p.piece, chr(10) ORDER BY p.i) AS chunk,
+    CAST(max(q.chunk) OVER (PARTITION BY w.seq) + 1 AS INTEGER) AS n_parts
+  FROM placed q JOIN pieces p USING (seq, i) JOIN work w USING (seq) GROUP BY w.domain, w.seq, q.chunk),
+treq AS (SELECT *, length(chunk) AS chars, row_number() OVER (ORDER BY seq, part) - 1 AS no FROM chunks
+  WHERE seq NOT IN (SELECT seq FROM work WHERE {O.is_blank('text')}))"""
+
+
+@query("chunk_texts", O.with_views("SELECT domain, part, n_parts, CAST(length(chunk) AS BIGINT) AS chars, md5(chunk) AS chunk_md5 FROM chunks",
+                                   *OK_VIEWS, extra=CHUNK_CTE))
 def q_chunk_texts(spark, sf_dir):
     w = translate_work(spark, sf_dir)
     ch = RQ.chunked(w.select("domain", "seq", "text"))
     return ch.select("domain", F.size("chunks").alias("n_parts"), F.posexplode("chunks").alias("part", "chunk")) \
-             .select("domain", "part", "n_parts", F.length("chunk").cast("bigint").alias("chars"))
+             .select("domain", "part", "n_parts", F.length("chunk").cast("bigint").alias("chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query("build_translate_requests")
+@query("build_translate_requests", O.with_views(f"""
+SELECT concat('r', CAST(no AS VARCHAR)) AS custom_id, domain, part, n_parts, {O.q(RQ.TRANSLATE_DEFAULT_MODEL)} AS model,
+  CAST(least(16384, greatest(1024, floor(chars * 0.5))) AS INTEGER) AS max_tokens, CAST(chars AS BIGINT) AS chars FROM treq""",
+                                                *OK_VIEWS, extra=CHUNK_CTE))
 def q_build_translate_requests(spark, sf_dir):
     req, _ = _translate(spark, sf_dir)
     return req.select("custom_id", "domain", "part", "n_parts", "model", "max_tokens", "chars")
 
 
-@query("dry_run_translate")
+@query("dry_run_translate", O.with_views(f"""
+SELECT {O.q(RQ.TRANSLATE_DEFAULT_MODEL)} AS model, count(*) AS requests, count(DISTINCT domain) AS domains,
+  (SELECT count(*) FROM work WHERE {O.is_blank('text')}) AS skipped, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars,
+  round(sum(chars) / 4.0, 6) AS in_tokens, round(sum(chars) / 4.0, 6) AS out_tokens,
+  round(sum(chars) / 4.0 / 1e6 * 30.0, 6) AS cost_full, round(sum(chars) / 4.0 / 1e6 * 30.0 * 0.5, 6) AS cost_batched
+FROM treq""", *OK_VIEWS, extra=CHUNK_CTE))
 def q_dry_run_translate(spark, sf_dir):
     req, skipped = _translate(spark, sf_dir)
     return B.dry_run(req, skipped, RQ.price_table(spark), RQ.TRANSLATE_DEFAULT_MODEL, RQ.TRANSLATE_DEFAULT_PRICE)
