@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,7 +40,9 @@ from sitelens.llm.common import bound_batches, free_name, quoted, utf8, written
 
 SIZE = 2048
 END_ID = 1
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
+#: Texts whose words are looked up together.
+GROUP_BYTES = 1 << 21
 
 #: The normalizer and splitter that word-by-word encoding relies on (fixed values of the vocabulary file).
 WORDWISE = {
@@ -65,64 +68,88 @@ class Encoder:
         model = spec["model"]
         self.wordwise = (all(spec.get(k) == v for k, v in WORDWISE.items()) and model.get("end_of_word_suffix") == "</w>"
                          and model.get("type") == "BPE")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memory(KEPT_WORDS), Memory(KEPT_WORDS)
         if self.wordwise:
             # the same merges; the parts arrive split, lower-cased and in byte letters
             self.model = Tokenizer(self.whole.model)
             self.model.pre_tokenizer = WhitespaceSplit()
             self.ends = np.zeros(1 + max(model["vocab"].values()), bool)
             self.ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
-            self.split = regex.compile(WORDWISE["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            # the same splitter, with a mark between words
+            self.split = regex.compile(WORDWISE["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n").findall
             self.letters = byte_letters()
-            self.plain = regex.compile(r"[\x21-\x7e\xa1-ɏ]+").fullmatch
+            del self.letters[32]  # parts hold no blank: it separates them
+            self.odd = re.compile("(?m)^.*[^\x21-\x7e\xa1-\u024f\n].*$").findall
 
     def encode(self, data: bytes) -> bytes:
+        return self.encode_all([data])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
         if not self.wordwise:
-            ids = self.whole.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        words = data.split()
-        new = set(words).difference(self.words)
+            lines = [t.decode("utf-8", "replace") for t in texts]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(lines, add_special_tokens=False)]
+        split = [t.split() for t in texts]
+        seen = set().union(*split) if split else set()
+        new = seen.difference(self.words.memory)
         if new:
-            if len(self.words) + len(new) > KEPT_WORDS:
-                self.words = {}
-                new = set(words)
-            if len(self.parts) > KEPT_WORDS:
-                self.parts = {}
+            self.words.used(seen.difference(new))
             self._learn(list(new))
-        return b"".join(map(self.words.__getitem__, words))
+        get = self.words.memory.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        self.words.shrink()
+        self.parts.shrink()
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        pieces: dict[bytes, list[str]] = {}
-        fresh: dict[str, None] = {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if not self.plain(text):  # rare scripts, marks and blanks: the library's own steps
-                ids = self.whole.encode(text, add_special_tokens=False).ids
-                self.words[w] = np.array(ids, "<u4").tobytes()
-                continue
-            if text.isascii():
-                text = text.lower()
-            else:
-                text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-            pieces[w] = own = self.split(text)
-            for p in own:
-                if p not in self.parts:
-                    fresh[p] = None
-        todo = list(fresh)
-        for at in range(0, len(todo), 512):
-            some = todo[at:at + 512]
-            line = " ".join(p.encode().decode("latin-1").translate(self.letters) for p in some)
+        text = b"\n".join(words).decode("utf-8", "replace")
+        odd = set(self.odd(text))  # rare scripts, marks and blanks: the library's own steps
+        if odd:
+            for w in words:
+                if (t := w.decode("utf-8", "replace")) in odd:
+                    ids = self.whole.encode(t, add_special_tokens=False).ids
+                    self.words.memory[w] = np.array(ids, "<u4").tobytes()
+            words = [w for w in words if w not in self.words.memory]
+            text = b"\n".join(words).decode("utf-8")
+        if not words:
+            return
+        parts = self.split(unicodedata.normalize("NFC", text).lower())
+        distinct = set(parts)
+        distinct.discard("\n")
+        fresh = list(distinct.difference(self.parts.memory))
+        self.parts.used(distinct.difference(fresh))
+        known = self.parts.memory
+        for at in range(0, len(fresh), 1024):
+            some = fresh[at:at + 1024]
+            line = " ".join(some).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some) or cuts[-1] != len(ids):
                 raise RuntimeError("a word without an end token")
-            a = 0
-            for p, b in zip(some, cuts.tolist()):
-                self.parts[p] = ids[a:b].tobytes()
-                a = b
-        for w, own in pieces.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, own))
+            raw = ids.tobytes()
+            ends = (4 * cuts).tolist()
+            known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        # ids fit in three bytes, so four bytes of ones are no id: they mark the end of a word
+        known["\n"] = b"\xff\xff\xff\xff"
+        self.words.memory.update(zip(words, b"".join(map(known.__getitem__, parts)).split(b"\xff\xff\xff\xff")))
+        del known["\n"]
+
+
+class Memory:
+    """A dict that forgets, when it holds too much, what was not met again since the last time."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.memory: dict = {}
+        self.again: set = set()
+
+    def used(self, keys: set) -> None:
+        self.again |= keys
+
+    def shrink(self) -> None:
+        if len(self.memory) > self.limit:
+            kept = {k: self.memory[k] for k in self.again if k in self.memory}
+            self.memory = kept if len(kept) <= self.limit // 2 else {}
+            self.again = set()
 
 
 class Vocabulary:
@@ -172,10 +199,20 @@ def tokenized(docs: DataFrame, vocabulary_path: str, text_col: str = "text", siz
         task = TaskContext.get().partitionId()
         encoder = vocabulary.value.encoder()
         seen = [0] * (size + 1)
+
+        def encoded(texts: pa.Array) -> Iterator[bytes]:
+            group, held = [], 0
+            for t in texts:
+                group.append(t.as_py())
+                held += len(group[-1])
+                if held >= GROUP_BYTES:
+                    yield from encoder.encode_all(group)
+                    group, held = [], 0
+            yield from encoder.encode_all(group)
         for b in batches:
             owner, start, length, total, ids, number = [], [], [], [], [], []
-            for row, t in enumerate(b.column(b.num_columns - 1)):
-                got = encoder.encode(t.as_py()) + end
+            for row, got in enumerate(encoded(b.column(b.num_columns - 1))):
+                got += end
                 n = len(got) // 4
                 for at in range(0, n, size):
                     k = min(size, n - at)
