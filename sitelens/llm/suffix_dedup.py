@@ -232,8 +232,9 @@ def repeats(docs: DataFrame, text_col: str = "text", result: str = "dedup", leng
 
     long_ = rows.filter(F.octet_length("__utf8") >= length).select("__t1", "__t2", "__utf8")
     found = long_.mapInArrow(find, "t1 bigint, t2 bigint, pos bigint, kh bigint, nh bigint")
-    often = (found.groupBy("kh").agg(F.count(F.lit(1)).alias("n"), F.min("nh").alias("a"), F.max("nh").alias("b"))
-                  .filter("n > 1").select("kh", (F.col("a") != F.col("b")).alias("mixed")))
+    # written first, so that both sides of the join are plain exchanges and a hot hash can be split
+    often = written(found.groupBy("kh").agg(F.count(F.lit(1)).alias("n"), F.min("nh").alias("a"), F.max("nh").alias("b"))
+                         .filter("n > 1").select("kh", (F.col("a") != F.col("b")).alias("mixed")), "repeated")
     places = written(found.join(often, "kh"), "anchors")
 
     mixed = places.filter("mixed")
