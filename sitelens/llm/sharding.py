@@ -7,14 +7,15 @@
    sizes (counts differ by one at most).  The matrix holds partitions x shards
    integers, whatever the number of rows.
 3. Permute locally: each task deals its counts to its rows at random while the
-   rows stream by (a hypergeometric draw a batch), without holding them.
+   rows stream by (a hypergeometric draw a block of rows), without holding them.
 4. Exchange, and permute again: rows get a random 64-bit key; buckets of the
    key's leading bits are exchanged and sorted apart from one another, and the
    sums of the bucket counts make the slots of a shard gapless.  No task ever
    holds a shard, only a bucket of it.
 
-All draws come from Philox streams keyed by (seed, partition, batch), so a
-retried task deals the same.  That needs an input that reads the same rows in
+All draws come from Philox streams keyed by (seed, partition, block).  Blocks are
+numbered by row positions, however Arrow cuts its batches (by rows and by bytes),
+so a retried task and a narrower view of the rows are dealt the same.  That needs an input that reads the same rows in
 the same order again: a table scan does; for anything else pass
 ``settled=False`` and the input is written to the shared folder first.  Each
 task checks its count against the matrix and fails loudly on a mismatch.
@@ -39,6 +40,8 @@ from sitelens.llm.common import bound_batches, free_name, quoted, without, writt
 
 #: Rows of one bucket of a shard, on average; the unit that one task sorts.
 BUCKET_ROWS = 20_000
+#: Rows dealt by one draw.
+BLOCK_ROWS = 256
 
 
 def communication_matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
@@ -118,20 +121,29 @@ def shuffle_shards(df: DataFrame, shards: int = 24, seed: int = 7, settled: bool
 
         p = TaskContext.get().partitionId()
         left = dealt.value[p].copy() if p < len(dealt.value) else np.zeros(shards, np.int64)
-        start = 0
-        for k, b in enumerate(batches):
+        start = block = 0
+        dealt_out = np.empty(0, np.int32)  # targets drawn for rows still to come
+        for b in batches:
             n = b.num_rows
-            if n > left.sum():
-                raise RuntimeError("the input changed between counting and dealing; pass settled=False")
-            rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (p << 32) + k]))
-            got = _draw(rng, left, n)
-            left -= got
-            targets = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), got))
+            parts = [dealt_out]
+            have = len(dealt_out)
+            while have < n:
+                size = min(BLOCK_ROWS, int(left.sum()))
+                if not size:
+                    raise RuntimeError("the input changed between counting and dealing; pass settled=False")
+                rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (p << 32) + block]))
+                got = _draw(rng, left, size)
+                left -= got
+                parts.append(rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), got)))
+                have += size
+                block += 1
+            targets = np.concatenate(parts)
+            targets, dealt_out = targets[:n], targets[n:]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(targets), pa.array(np.full(n, p, np.int32)), pa.array(np.arange(start, start + n))],
                 names=[*b.schema.names, "shard", pid, idx])
             start += n
-        if left.sum():
+        if len(dealt_out) or left.sum():
             raise RuntimeError("the input changed between counting and dealing; pass settled=False")
 
     def placed(rows: DataFrame) -> DataFrame:

@@ -213,6 +213,27 @@ def test_sharding_is_uniform(spark):
         assert abs(np.corrcoef(ids[shard == s], slot[shard == s])[0, 1]) < 0.1
 
 
+def test_sharding_does_not_depend_on_batch_cuts(spark):
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.choice((1, 500, 9000))) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id int, text string").repartition(3, "doc_id")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def dealt():
+        got = sharding.shuffle_shards(d, shards=4, bucket_rows=50).select("doc_id", "shard", "slot").collect()
+        return sorted(map(tuple, got))
+    whole = dealt()
+    old = spark.conf.get(key)
+    spark.conf.set(key, "65536")  # a few texts a batch; the narrow view's batches stay whole
+    try:
+        cut = dealt()
+    finally:
+        spark.conf.set(key, old)
+    for s in range(4):
+        assert sorted(slot for _, shard, slot in cut if shard == s) == list(range(750))
+    assert cut == whole and [i for i, _, _ in cut] == list(range(3000))
+
+
 def test_communication_matrix_sums():
     m = sharding.communication_matrix([10, 0, 7, 4_000_000_000], 5, 3)
     assert m.sum(1).tolist() == [10, 0, 7, 4_000_000_000] and m.sum(0).max() - m.sum(0).min() <= 1
