@@ -39,7 +39,11 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = frozenset("script style noscript template head title svg math iframe object textarea select canvas audio video".split())
+#: Their bodies hold no tags: all up to the literal end tag is passed over.
 RAW = frozenset("script style textarea title iframe noscript".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
+#: What matters inside a script: comments, their ends (<!--> is both) and script tags.
+SCRIPT_MARK = re.compile(r"(<!--)(?!-*+>)|((?:<!)?---*+>)|(<script(?=[\s/>]))|</script(?=[\s/>])[^>]*+>?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th section article "
@@ -58,6 +62,32 @@ class Block:
     linked: int
 
 
+def raw_end(page: str, tag: str, at: int, nested: bool) -> tuple[int, bool]:
+    """Where the element ``tag`` whose body starts at ``at`` ends (the end of the page
+    if it is never closed).  A script opened inside a script's comment hides one end
+    tag; if that leaves the script open, the first end tag counts, here and (a false
+    second result, passed on as ``nested``) in the rest of the page."""
+    first = RAW_END[tag].search(page, at)
+    if first is None:
+        return len(page), nested
+    if nested and tag == "script" and page.find("<!--", at, first.start()) >= 0:
+        comment = inner = False
+        for m in SCRIPT_MARK.finditer(page, at):
+            opened, closed, script = m.groups()
+            if opened:
+                comment = True
+            elif closed:
+                comment = inner = False
+            elif script:
+                inner = comment
+            elif not inner:
+                return m.end(), nested
+            else:
+                inner = False
+        nested = False
+    return first.end(), nested
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
@@ -66,7 +96,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     place: tuple = ()
-    raw: str | None = None
+    nested = True
 
     def flush() -> None:
         nonlocal parts, linked
@@ -86,7 +116,8 @@ def blocks(page: str) -> list[Block]:
             hidden -= tag in HIDDEN
             links -= tag == "a"
 
-    for m in TOKEN.finditer(page):
+    tokens = TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         close, tag, attributes, text = m.groups()
         if text is not None:
             if not hidden:
@@ -99,11 +130,6 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if raw is not None:
-            if close and tag == raw:
-                raw = None
-            else:
-                continue
         block = tag in BLOCK
         if block:
             flush()
@@ -138,14 +164,16 @@ def blocks(page: str) -> list[Block]:
                     break
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
+        if tag in RAW:
+            end, nested = raw_end(page, tag, m.end(), nested)
+            tokens = TOKEN.finditer(page, end)
+            continue
         names = ()
         if "=" in attributes:
             names = tuple(sorted({w.lower() for _, a, b, c in ATTRIBUTE.findall(attributes) for w in NAME.findall(a or b or c)}))
         stack.append((tag, names))
         hidden += tag in HIDDEN
         links += tag == "a"
-        if tag in RAW:
-            raw = tag
     flush()
     return out
 

@@ -451,6 +451,16 @@ def test_extraction_of_odd_pages(spark, chain):
     assert html_crf.extracted(d.limit(0), chain).count() == 0
 
 
+@pytest.mark.parametrize("odd", [
+    "<script>for(i=0;i<n;i++){x()}</script>", "<SCRIPT>if(a<b){x(\"it's\")}</Script >", "<script><!-- x()</script>", "<style>a<b{</style>",
+    "<script>x('<!-- a');if(i<n)y()</script>", "<script><!--\nwrite('<script>no<\\/p></script>')\n//--></script>",
+    "<script>x('<!--><script>')</script>", "<script>x('<!-- <script>')</script>", "<textarea><p>a <b</textarea>", "<iframe><!-- </iframe>"])
+def test_text_after_raw_elements_stays(odd):
+    page = f"<body><article><p>One.</p>{odd}<p>Two.</p><script>a<b</script><p>Three.</p></article></body>"
+    assert [b.text for b in html_crf.blocks(page)] == ["One.", "Two.", "Three."]
+    assert html_crf.blocks("<p>One.</p><script>i<n; <p>never closed</p>")[-1].text == "One."
+
+
 # --- 9 --------------------------------------------------------------------------
 
 def test_classifier_learns_held_out_labels(spark, empty):
