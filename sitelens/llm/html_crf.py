@@ -38,12 +38,14 @@ TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]++|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-HIDDEN = frozenset("script style noscript template head title svg math iframe object textarea select canvas audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object textarea select canvas audio video".split())
 #: Their bodies hold no tags: all up to the literal end tag is passed over.
 RAW = frozenset("script style textarea title iframe noscript".split())
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 #: What matters inside a script: comments, their ends (<!--> is both) and script tags.
 SCRIPT_MARK = re.compile(r"(<!--)(?!-*+>)|((?:<!)?---*+>)|(<script(?=[\s/>]))|</script(?=[\s/>])[^>]*+>?", re.I)
+#: Tags that can stand in head; any other one ends a head left open, and so does text.
+IN_HEAD = frozenset("html head title style script noscript template meta link base basefont bgsound noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th section article "
@@ -120,6 +122,8 @@ def blocks(page: str) -> list[Block]:
     while (m := next(tokens, None)) is not None:
         close, tag, attributes, text = m.groups()
         if text is not None:
+            if stack and stack[-1][0] == "head" and text.strip(" \t\n\f\r"):
+                pop(len(stack) - 1)
             if not hidden:
                 if not parts:
                     place = tuple(stack)
@@ -130,6 +134,10 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if not close and tag not in IN_HEAD and stack and stack[-1][0] == "head":
+            pop(len(stack) - 1)
+        if tag == "head" and not close and stack and stack[-1][0] != "html":
+            continue  # a head begins a page or is none
         block = tag in BLOCK
         if block:
             flush()

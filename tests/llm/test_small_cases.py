@@ -461,6 +461,19 @@ def test_text_after_raw_elements_stays(odd):
     assert html_crf.blocks("<p>One.</p><script>i<n; <p>never closed</p>")[-1].text == "One."
 
 
+@pytest.mark.parametrize("start", [
+    "<head><title>no</title><body>", "<html><head><meta charset=utf-8><title>no</title><script>i<n</script>\n", "<head><link href=x><img src=y>",
+    "<html><head><noscript><p>no</p></noscript><base href=/></head><body>", "<head><head><title>no</title><style>p{}</style><x-y>"])
+def test_an_open_head_hides_no_text(start):
+    for body, want in (("<p>One.</p><p>Two.</p>", ["One.", "Two."]), ("One. <b>Two.</b>", ["One. Two."])):
+        assert [b.text for b in html_crf.blocks(start + body)] == want
+
+
+def test_formulas_are_text():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds.</p><svg><text>no</text></svg></article>"
+    assert [b.text for b in html_crf.blocks(page)] == ["So x=1 holds."]
+
+
 # --- 9 --------------------------------------------------------------------------
 
 def test_classifier_learns_held_out_labels(spark, empty):
