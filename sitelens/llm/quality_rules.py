@@ -12,11 +12,11 @@ fails outright; above that, the limit of the word histogram is widened by
 the distance that sampling alone gives a text of that length (the expectation
 of the divergence falls with 1 / words), so short clean texts are not punished.
 
-Common words: every task counts its words in bounded space.  When there are too
-many, the count of the (``heavy`` + 1)th word is taken off all of them, so a
-count is short by less than one in ``heavy`` of the words seen and no word with
-a larger share can be missed.  The ``common`` most frequent words of each
-language make its bins.
+Common words: every task counts its words and sends the counts off whenever it
+holds ``held`` different ones; their sums are the exact counts of all words.  The
+``common`` most frequent words of each language make its bins (ties: the smaller
+word).  Every language is a reference, however many there are; texts are compared
+to ``AT_ONCE`` of them at a time.
 
 Defined cases: a null text is empty and fails; a null language is a language
 named ""; no texts or no reference: only the base rules decide; repeated rows
@@ -39,8 +39,10 @@ from pyspark.sql import types as T
 from sitelens.llm.common import bound_batches, map_texts, quoted, utf8
 
 COMMON = 64
-HEAVY = 20_000
-MAX_LANGUAGES = 200
+#: Different words (of all languages) that a task holds before it sends their counts off.
+HELD = 200_000
+#: Languages of one broadcast; a task opens one broadcast at a time.
+AT_ONCE = 200
 CLASSES = ("lower", "upper", "digit", "space", "stop", "quote", "symbol", "other_ascii", "letter_above_ascii")
 
 _CLASS_OF = np.full(256, 7)
@@ -132,7 +134,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _bounded(counts: Counter, heavy: int) -> Counter:
-    """Take the count of the (heavy + 1)th word off every word; the rest goes."""
+    """Take the count of the (heavy + 1)th word off every word; the rest goes.
+    (An approximation; :func:`references` counts exactly.)"""
     if len(counts) <= heavy:
         return counts
     off = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -heavy - 1)[-heavy - 1])
@@ -140,29 +143,27 @@ def _bounded(counts: Counter, heavy: int) -> Counter:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON,
-               heavy: int = HEAVY, max_languages: int = MAX_LANGUAGES) -> dict[str, tuple[list[bytes], np.ndarray, np.ndarray]]:
+               held: int = HELD) -> dict[str, tuple[list[bytes], np.ndarray, np.ndarray]]:
     """Language -> (common words, their counts and the count of all others, class
-    counts), over all texts in one pass.  What reaches the driver has a fixed
-    bound: languages x (common + 10) numbers, for the ``max_languages``
-    languages with the most words."""
+    counts), over all texts in one pass.  ``common`` + 10 numbers a language reach
+    the driver, whatever the number of texts."""
     bound_batches(docs.sparkSession)
     src = docs.select(F.coalesce(quoted(lang_col).cast("string"), F.lit("")).alias("lang"),
                       utf8(quoted(text_col)).alias("t"))
 
-    def rows(kind: str, counts: dict[tuple, int]) -> pa.RecordBatch:
+    def rows(kind: str, langs: list[str], words: list[bytes], counts: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(counts), pa.string()), pa.array([k[0] for k in counts], pa.string()),
-             pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())],
-            names=["kind", "lang", "word", "n"])
+            [pa.repeat(pa.scalar(kind, pa.string()), len(langs)), pa.array(langs, pa.string()), pa.array(words, pa.binary()),
+             pa.array(counts, pa.int64())], names=["kind", "lang", "word", "n"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         sums: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, c in words.items():
-                yield rows("word", {(lang, w): n for w, n in _bounded(c, heavy).items()})
-            yield rows("sum", sums)
+            yield rows("word", [lang for lang, c in words.items() for _ in range(len(c))],
+                       [w for c in words.values() for w in c], [n for c in words.values() for n in c.values()])
+            yield rows("sum", [k[0] for k in sums], [k[1] for k in sums], list(sums.values()))
             words.clear()
             sums.clear()
 
@@ -178,24 +179,23 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     sums[lang, b""] += len(w)
                 for i, v in enumerate(class_counts(sum(byte_counts(t) for t in own)).tolist()):
                     sums[lang, b"%d" % i] += int(v)
-                if len(c) > 10 * heavy:
-                    words[lang] = _bounded(c, heavy)
-            if len(words) > 2 * max_languages:  # many odd languages: what is in hand goes out early
+            if sum(map(len, words.values())) + len(sums) > held:
                 yield from out()
         yield from out()
 
     sums = (src.mapInArrow(tally, "kind string, lang string, word binary, n bigint")
                .groupBy("kind", "lang", "word").agg(F.sum("n").alias("n")))
+    # row_number below a bound: Spark keeps the first rows of every partition before the exchange by language
     top = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "word")
-    picked = sums.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= common)
-    size = sums.filter("kind = 'sum' and word = X''").orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    picked = sums.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(common, 10))
     got: dict[str, dict[str, dict[bytes, int]]] = {}
-    for r in picked.join(F.broadcast(size), "lang", "left_semi").collect():
-        got.setdefault(r["lang"], {"word": {}, "sum": {}})[r["kind"]][bytes(r["word"])] = r["n"]
+    for b in picked.select("kind", "lang", "word", "n").toArrow().to_batches():
+        for kind, lang, word, n in zip(*(x.to_pylist() for x in b.columns)):
+            got.setdefault(lang, {"word": {}, "sum": {}})[kind][word] = n
     out = {}
     for lang, c in sorted(got.items()):
         total = c["sum"].get(b"", 0)
-        best = sorted(c["word"].items(), key=lambda x: (-x[1], x[0]))
+        best = sorted(c["word"].items(), key=lambda x: (-x[1], x[0]))[:common]
         if total:
             out[lang] = ([w for w, _ in best], np.array([*[n for _, n in best], total - sum(n for _, n in best)], float),
                          np.array([c["sum"].get(b"%d" % i, 0) for i in range(9)], float))
@@ -218,6 +218,8 @@ def judged(docs: DataFrame, refs: dict, text_col: str = "text", result: str = "r
     (characters) of ``sqrt(bins / (8 ln 2 n))`` on top.
     """
     langs = list(refs)
+    context = docs.sparkSession.sparkContext
+    parts = [context.broadcast([(lang, *refs[lang]) for lang in langs[k:k + AT_ONCE]]) for k in range(0, len(langs), AT_ONCE)]
 
     def make():
         def work(texts):
@@ -225,23 +227,27 @@ def judged(docs: DataFrame, refs: dict, text_col: str = "text", result: str = "r
             n = np.array([g[0]["n_words"] for g in got], float)
             failed = [base_failed(g[0]) for g in got]
             classes = np.array([np.bincount(_CLASS_OF, weights=g[1], minlength=10)[:9] for g in got]).reshape(-1, 9)
-            best = np.full(len(got), -1)
+            best: list[str | None] = [None] * len(got)
             jw, jc = np.full(len(got), np.inf), np.full(len(got), np.inf)
-            for k, lang in enumerate(langs):
-                words, ref, ref_classes = refs[lang]
-                p = np.array([[c[i] if (i := ids.get(w)) is not None else 0 for w in words] for _, _, ids, c in got],
-                             float).reshape(len(got), len(words))
-                d = js_distance(np.column_stack([p, n - p.sum(1)]), ref)
-                nearer = (n > 0) & (d < jw)
-                best[nearer], jw[nearer] = k, d[nearer]
-                jc[nearer] = js_distance(classes[nearer], ref_classes)
+            for part in parts:
+                for lang, words, ref, ref_classes in part.value:
+                    p = np.array([[c[i] if (i := ids.get(w)) is not None else 0 for w in words] for _, _, ids, c in got],
+                                 float).reshape(len(got), len(words))
+                    d = js_distance(np.column_stack([p, n - p.sum(1)]), ref)
+                    nearer = (n > 0) & (d < jw)
+                    for k in np.flatnonzero(nearer).tolist():
+                        best[k] = lang
+                    jw[nearer] = d[nearer]
+                    jc[nearer] = js_distance(classes[nearer], ref_classes)
+                if len(parts) > 1:
+                    vars(part).pop("_value", None)  # read again for the next batch: one part in memory at a time
             noise = np.sqrt(COMMON / (8 * math.log(2) * np.maximum(n, 1)))
             ok = (n >= min_words) & (jw <= max_words_distance + 0.6 * noise) & (jc <= max_chars_distance + 0.3 * noise)
             if not langs:
                 ok = n >= min_words
             out = {f: [g[0][f] for g in got] for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-            known = best >= 0
-            return out | {"base_failed": failed, "language": [langs[k] if k >= 0 else None for k in best],
+            known = [x is not None for x in best]
+            return out | {"base_failed": failed, "language": best,
                           "js_words": [float(x) if y else None for x, y in zip(jw, known)],
                           "js_chars": [float(x) if y else None for x, y in zip(jc, known)],
                           "kept": [bool(o and not f) for o, f in zip(ok, failed)]}

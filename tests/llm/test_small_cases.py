@@ -410,6 +410,44 @@ def test_bounded_counts_keep_the_heavy_words():
     assert b["big"] == 49 and b["mid"] == 6 and len(b) <= 5
 
 
+def test_references_count_words_exactly(spark):
+    rare = " ".join(f"w{i}" for i in range(25_000))
+    rows = [(0, rare + " the" * 50, "en"), (1, "the of " * 30, "en"), (2, "le la " * 7 + "le", "fr"), (3, rare, "en")]
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string").coalesce(1)
+    whole = quality_rules.references(d)
+    words, counts, _ = whole["en"]
+    assert words[:2] == [b"the", b"of"] and len(words) == 64 and counts[:3].tolist() == [80, 30, 2]
+    assert counts.sum() == 50_110 and words[2:] == sorted(w.encode() for w in rare.split())[:62]
+    assert whole["fr"][0] == [b"le", b"la"] and whole["fr"][1].tolist() == [8, 7, 0]
+    spread = quality_rules.references(d.repartition(4, "doc_id"))
+    assert all(spread[k][0] == whole[k][0] and all((a == b).all() for a, b in zip(spread[k][1:], whole[k][1:])) for k in whole)
+
+
+def test_counts_sent_off_early_add_up(spark):
+    rows = [(i, " ".join(f"w{j % 40}" for j in range(i)), "en" if i % 3 else "fr") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string").coalesce(1)
+    a, b = quality_rules.references(d), quality_rules.references(d, held=10)
+    assert set(a) == set(b) == {"en", "fr"}
+    assert all(a[k][0] == b[k][0] and all((x == y).all() for x, y in zip(a[k][1:], b[k][1:])) for k in a)
+    total = Counter(w for _, t, lang in rows if lang == "fr" for w in t.split())
+    assert a["fr"][1].tolist()[:-1] == sorted(total.values(), reverse=True)
+
+
+def test_every_language_is_a_reference(spark):
+    rows = [(k, " ".join(f"{k}w{j}" for j in range(60 + k)), f"l{k:03}") for k in range(230)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string").coalesce(2)
+    refs = quality_rules.references(d)
+    assert len(refs) == 230
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "40")  # each broadcast is opened again for the next batch
+    try:
+        got = quality_rules.judged(d, refs).select("doc_id", "rules.*").collect()
+    finally:
+        spark.conf.set(key, old)
+    assert len(got) == 230 and all(r.kept and r.language == f"l{r.doc_id:03}" for r in got)
+
+
 # --- 8 --------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
