@@ -69,13 +69,15 @@ def utf8(col):
 
 
 def map_texts(df: DataFrame, text_col: str, result: str, fields: T.StructType,
-              make: Callable[[], Callable[[pa.Array], dict[str, object]]], carry_text: bool = True) -> DataFrame:
+              make: Callable[[], Callable[[pa.Array], dict[str, object]]], carry_text: bool = True,
+              gather: int = 0) -> DataFrame:
     """Add the struct column ``result`` computed from the whole text of each row.
 
     ``make`` runs once a task and returns a function from one Arrow array of
     UTF-8 bytes to the columns of ``fields``.  A narrow ``mapInArrow``: no
     shuffle, memory bounded by one batch.  ``carry_text=False`` drops the text
-    column from the output, for callers that need the result alone.
+    column from the output, for callers that need the result alone.  ``gather``
+    joins batches up to so many bytes first, for work with a high cost a batch.
     """
     bound_batches(df.sparkSession)
     base = without(df, result) if result.lower() != text_col.lower() else df
@@ -90,7 +92,7 @@ def map_texts(df: DataFrame, text_col: str, result: str, fields: T.StructType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in gathered(batches, gather) if gather else batches:
             got = work(b.column(b.num_columns - 1))
             arrays = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=t)
                       for v, t in ((got[n], t) for n, t in zip(names, types))]
@@ -100,6 +102,18 @@ def map_texts(df: DataFrame, text_col: str, result: str, fields: T.StructType,
     return src.mapInArrow(run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of ``size`` bytes or more (the last may have less)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def to_arrow(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -10,9 +10,11 @@ searched backwards at once by ranks in a wavelet matrix, occurrences are
 located by sampled suffix positions, and a document's overlapping occurrences
 merge into removal spans.
 
-The windows are broadcast in passes of at most ``pass_windows``; the passes
-chain, each adding its spans to the rows that stream through, so a benchmark of
-any size is searched with bounded memory, no shuffle of documents and no join.
+The windows are broadcast in passes of about ``pass_windows`` (window, item) rows,
+cut by a hash of both, so a window of many items is spread over the passes.  The
+driver holds one pass at a time, and so does a task: it opens them one after
+another for each group of texts and adds up their spans and items.  A benchmark
+of any size is searched with bounded memory, no shuffle of documents and no join.
 
 Defined cases: null texts and items have no words; items without words have no
 window; a null item id is written "null"; equal item ids count once; repeated
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import WORD, bound_batches, map_texts, quoted, utf8, words_of
+from sitelens.llm.common import WORD, bound_batches, map_texts, quoted, utf8, words_of, written
 from sitelens.llm.fm_index import FMIndex
 
 WINDOW = 13
 PASS_WINDOWS = 100_000
 SHARD_WORDS = 1 << 20
 PIECE_WORDS = 1 << 18
+#: Bytes of rows searched for all passes in turn, if there is more than one.
+GROUP_BYTES = 16 << 20
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
@@ -140,86 +144,53 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", res
     inside any occurrence), ``items`` (sorted ids) and ``spans`` (merged word
     ranges to remove)."""
     windows = item_windows(benchmark, item_col, item_text_col, window)
-    total = windows.count()
-    passes = max(1, -(-total // pass_windows))
-    slot = F.pmod(F.xxhash64("words"), F.lit(passes))
-    out = docs
+    passes = max(1, -(-windows.count() // pass_windows))
+    if passes > 1:
+        slot = F.pmod(F.xxhash64("words", "item"), F.lit(passes)).cast("int")
+        windows = written(windows.withColumn("slot", slot), "windows", ["slot"])
+    shared = []
     for k in range(passes):
-        rows = [(bytes(r["words"]), r["item"]) for r in windows.filter(slot == k).collect()]
-        last = k == passes - 1
-        out = _pass(out, Windows(rows), text_col, result, first=k == 0, carry_text=carry_text or not last)
-    return out
-
-
-def _pass(docs: DataFrame, w: Windows, text_col: str, result: str, first: bool, carry_text: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(w)  # at most pass_windows windows
-    src = docs if first else docs.withColumnRenamed(result, "__before")
+        own = windows.filter(F.col("slot") == k) if passes > 1 else windows
+        w = Windows([(bytes(r["words"]), r["item"]) for r in own.select("words", "item").collect()])
+        shared.append(docs.sparkSession.sparkContext.broadcast(w))
 
     def make():
-        w = shared.value
-
-        def work(texts):
-            n_words, spans, items = [], [], []
-            shard: list[tuple[int, int, np.ndarray]] = []
-            size = 0
-            for d, t in enumerate(texts.to_pylist()):
-                words = words_of(t)
-                n_words.append(len(words))
-                spans.append([])
-                items.append(set())
-                if len(words) < max(1, w.shortest) or not w.patterns:
-                    continue
-                get = w.vocabulary.get
-                ids = np.fromiter((get(x, 0) for x in words), np.int64, len(words))
-                for at, piece in _pieces(ids, w):
-                    shard.append((d, at, piece))
-                    size += len(piece)
-                    if size >= SHARD_WORDS:
-                        _search(shard, w, spans, items)
-                        shard, size = [], 0
-            if shard:
+        def run(texts):
+            spans: list[list] = [[] for _ in range(len(texts))]
+            items: list[set] = [set() for _ in range(len(texts))]
+            for part in shared:
+                n_words = _one_pass(texts.to_pylist(), part.value, spans, items)
+                if len(shared) > 1:
+                    vars(part).pop("_value", None)  # read again for the next texts: one pass in memory at a time
+            done = [merged(s) for s in spans]
+            return {"n_words": n_words, "n_hit": [sum(b - a for a, b in s) for s in done],
+                    "items": [sorted(i) for i in items], "spans": [[{"start": a, "end": b} for a, b in s] for s in done]}
+        return run
+
+    return map_texts(docs, text_col, result, FIELDS, make, carry_text, GROUP_BYTES if passes > 1 else 0)
+
+
+def _one_pass(texts: list[bytes], w: Windows, spans: list[list], items: list[set]) -> list[int]:
+    """Add the occurrences of one pass's windows in each text; the words of each."""
+    n_words = []
+    shard: list[tuple[int, int, np.ndarray]] = []
+    size = 0
+    for d, t in enumerate(texts):
+        words = words_of(t)
+        n_words.append(len(words))
+        if len(words) < max(1, w.shortest) or not w.patterns:
+            continue
+        get = w.vocabulary.get
+        ids = np.fromiter((get(x, 0) for x in words), np.int64, len(words))
+        for at, piece in _pieces(ids, w):
+            shard.append((d, at, piece))
+            size += len(piece)
+            if size >= SHARD_WORDS:
                 _search(shard, w, spans, items)
-            return n_words, spans, items
-        return work
-
-    if first:
-        def make_first():
-            work = make()
-
-            def run(texts):
-                n_words, spans, items = work(texts)
-                return _columns(n_words, spans, items)
-            return run
-        return map_texts(src, text_col, result, FIELDS, make_first, carry_text)
-    return _later_pass(src, make, text_col, result, carry_text)
-
-
-def _columns(n_words, spans, items) -> dict:
-    done = [merged(s) for s in spans]
-    return {"n_words": n_words, "n_hit": [sum(b - a for a, b in s) for s in done], "items": [sorted(i) for i in items],
-            "spans": [[{"start": a, "end": b} for a, b in s] for s in done]}
-
-
-def _later_pass(src: DataFrame, make, text_col: str, result: str, carry_text: bool) -> DataFrame:
-    """Add a pass's spans and items to those of the passes before it (per row, in the JVM and one map)."""
-    got = map_texts(src, text_col, "__now", FIELDS, lambda: (lambda work: lambda texts: _columns(*work(texts)))(make()),
-                    carry_text)
-    both = F.concat("__before.spans", "__now.spans")
-    ordered = F.array_sort(both)
-    start = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
-    folded = F.aggregate(
-        ordered, F.array().cast(SPAN),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(F.concat(acc, F.array(start)), -2)["end"]),
-                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                                       F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"),
-                                                        F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
-                      .otherwise(F.concat(acc, F.array(x))))
-    keep = [quoted(c) for c in got.columns if c not in ("__before", "__now")]
-    out = got.select(*keep, F.struct(
-        F.col("__now.n_words").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"),
-        F.array_sort(F.array_union("__before.items", "__now.items")).alias("items"), folded.alias("spans")).alias(result))
-    hit = F.aggregate(F.col(f"{result}.spans"), F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
-    return out.withColumn(result, F.col(result).withField("n_hit", hit))
+                shard, size = [], 0
+    if shard:
+        _search(shard, w, spans, items)
+    return n_words
 
 
 def contaminated(result: str = "decon", share: int = 20):

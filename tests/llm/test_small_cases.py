@@ -86,6 +86,25 @@ def test_decontamination_matches_brute_force(spark, docs, passes, monkeypatch):
     assert any(r.n_hit for r in got)
 
 
+def test_a_window_of_many_items_is_spread_over_the_passes(spark, monkeypatch):
+    head = " ".join(f"h{i}" for i in range(13))
+    items = [(f"i{k:03}", f"{head} q{k}") for k in range(300)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [f"{head} and more", "nothing here", f"x {head} q7 {head}", "", None] * 3
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1)
+    sizes, init = [], decontamination.Windows.__init__
+    monkeypatch.setattr(decontamination.Windows, "__init__", lambda self, rows: (sizes.append(len(rows)), init(self, rows))[1])
+    whole = decontamination.find_hits(d, bench).select("doc_id", "decon.*").collect()
+    assert sizes == [600]
+    sizes.clear()
+    monkeypatch.setattr(decontamination, "GROUP_BYTES", 1, raising=False)
+    cut = decontamination.find_hits(d, bench, pass_windows=60)
+    assert len(sizes) == 10 and sum(sizes) == 600 and max(sizes) < 120
+    assert cut.collect() and sorted(cut.select("doc_id", "decon.*").collect()) == sorted(whole)
+    assert len(whole[0]["items"]) == 300 and whole[2].n_hit == 27 and whole[1].n_hit == 0
+    assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # not one task process a pass
+
+
 def test_decontamination_cut_spans_removes_the_passage(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     d = spark.createDataFrame([(1, f"Before, it. {passage.upper()}! After"), (2, "clean"), (3, None)], "doc_id int, text string")
