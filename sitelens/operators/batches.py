@@ -127,7 +127,7 @@ def plan_batches(requests: DataFrame, max_count: int = RQ.MAX_PER_BATCH,
         change = np.flatnonzero(np.append(True, leave[1:] != leave[:-1]))
         return pd.DataFrame({"block": block_no, "entry": first + change, "leave": first + leave[change]})
 
-    # one row for each distinct answer: a small part of 1 / width of the requests
+    # one row for each distinct answer: at most max_count of width requests, all to one task
     walk = rows.groupBy("block").applyInPandas(passages, "block long, entry long, leave long")
     entries = walk.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_walked, "block long, entry long")
 
