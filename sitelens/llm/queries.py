@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import (chat_format, decontamination, html_crf, license_scan, packing, quality_classifier, quality_rules,
-                          sharding, simhash, suffix_dedup)
+                          sharding, simhash, spelling_variants, suffix_dedup)
+from sitelens.llm.common import written
 from sitelens.sources.tables import table
 
 QUERIES: dict = {}
@@ -162,3 +163,38 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_crf.extracted(pages, html_crf.fitted(), carry_html=False)
     return out.select("page_id", "url", F.col("main.text").alias("text"),
                       F.char_length("main.text").cast("bigint").alias("n_chars"))
+
+
+#: unsigned crc32 of a list of byte values, table driven (the table is a column ``tab``)
+_CRC_TABLE = ("list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), "
+              "lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))")
+_CRC = ("xor(list_reduce(list_prepend(4294967295::bigint, {0}), "
+        "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)")
+_BYTES = ("list_transform(range(length(hex(encode({0}))) // 2), lambda i: "
+          "16 * (strpos('0123456789ABCDEF', hex(encode({0}))[(2 * i + 1)]) - 1) + strpos('0123456789ABCDEF', hex(encode({0}))[(2 * i + 2)]) - 1)")
+OP13 = r"""
+with recursive t as (select %s as tab),
+runs as (select coalesce(doc_id::varchar, 'null') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[a-z\x{C0}-\x{FF}]+')) as w from documents),
+f as (select id, w, count(*) as k from runs group by all),
+h as (select w, k, %s as h from (select *, %s as bytes from (select *, id || ':' || w as s from f)), t),
+c as (select case when h %% 199 = 0 then w[:(h %% length(w))] || w[(h %% length(w)) + 2:] else w end as word, k from h),
+v as (select word, sum(k)::bigint as n from c where length(word) >= 6 group by word having sum(k) >= 5),
+d as (select word, length(word) as l, p, word[:p - 1] || word[p + 1:] as cut from v, unnest(range(1, length(word) + 1)) as u(p)),
+near as (select distinct a.word as a, b.word as b from d a join d b on a.p = b.p and a.l = b.l and a.cut = b.cut and a.word <> b.word
+         union select distinct a.word, v.word from d a join v on a.cut = v.word
+         union select distinct v.word, a.word from d a join v on a.cut = v.word),
+best as (select a, count(*) as n_near, arg_min(struct_pack(w := b, n := v.n), struct_pack(m := -v.n, w := encode(b))) as top from near join v on b = v.word group by a),
+o as (select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when top.n >= 5 * v.n then top.w end as form,
+      case when top.n >= 5 * v.n then top.n end as form_n from v left join best on v.word = a),
+r as (select word, word as root from o where form is null union all select o.word, r.root from r join o on o.form = r.word)
+select word, form, root, n, n_near, form_n from o join r using (word)
+""" % (_CRC_TABLE, _CRC.format("bytes"), _BYTES.format("s"))
+
+
+@query("op13_spelling_variants", OP13)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its one-edit neighbours, its form and its root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = written(spelling_variants.count_words(docs, min_length=6, min_count=5, thin_every=199), "words")
+    return spelling_variants.variants(words, spelling_variants.neighbours(words), ratio=5)
