@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import (chat_format, decontamination, html_crf, license_scan, packing, quality_classifier, quality_rules,
-                          sharding, simhash, spelling_variants, suffix_dedup)
+from sitelens.llm import (chat_format, decontamination, html_crf, language_masks, license_scan, packing, prefix_trie,
+                          quality_classifier, quality_rules, sharding, simhash, spelling_variants, suffix_dedup)
 from sitelens.llm.common import written
 from sitelens.sources.tables import table
 
@@ -198,3 +198,66 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = written(spelling_variants.count_words(docs, min_length=6, min_count=5, thin_every=199), "words")
     return spelling_variants.variants(words, spelling_variants.neighbours(words), ratio=5)
+
+
+OP11 = r"""
+with recursive t as (select %s as tab),
+src as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos,
+        coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id %% 100 as base, %s %% 6 as h
+      from (select distinct conv_id, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint) as bytes from src), t),
+heads as (select c.conv_id, pos, role, text from c join src on src.conv_id = c.base and src.pos < c.h),
+rebuilt as (select * from heads
+            union all select src.conv_id, 1000000000 + pos, role, text from src join c on c.conv_id = src.conv_id where pos >= h),
+p as (select c.conv_id, coalesce(list(struct_pack(r := role, x := text) order by pos) filter (pos is not null), []) as path
+      from c left join rebuilt using (conv_id) group by c.conv_id),
+every as (select conv_id, list_slice(path, 1, d) as node, d = len(path) as ends from p, lateral (select unnest(range(0, len(path) + 1)) as d)),
+n as (select node, min(conv_id) as conv_id, len(any_value(node)) as depth, count(*) as n_convs,
+      sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from every group by node),
+k as (select list_slice(node, 1, depth - 1) as up, count(*) as n_children from n where depth > 0 group by all),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k on k.up = n.node),
+s as (select list_slice(node, 1, d) as up, sum(case when n_children = 0 then 1 else 0 end) as n_leaves,
+      sum((n_convs - 1) * case when depth > 0 then length(node[depth].x) else 0 end) as saved from m, lateral (select unnest(range(0, depth + 1)) as d) group by all)
+select m.conv_id, m.depth::bigint as depth, u.conv_id as parent_conv_id, m.n_convs::bigint as n_convs, m.n_children::bigint as n_children,
+  n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, m.ends_sha256
+from m join s on s.up = m.node left join n u on m.depth > 0 and u.node = list_slice(m.node, 1, m.depth - 1)
+""" % (_CRC_TABLE, _CRC.format("bytes"))
+
+
+def rebuilt_turns(turns: DataFrame, heads: int = 6, group: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Numbered turns and conversations where each conversation c starts with the first h = crc32(c) mod ``heads``
+    turns of conversation c - c mod ``group`` and goes on with its own turns after its first h."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads
+    of = F.col("conv_id") - F.col("conv_id") % group
+    convs = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("base", of).withColumn("h", h)
+    base = turns.filter((F.col("conv_id") == of) & (F.col("pos") < heads))
+    first = convs.select("conv_id", "base", "h").join(
+        base.select(F.col("conv_id").alias("base"), "pos", "turn_id", "chars"), "base").filter("pos < h")
+    shift = convs.select("conv_id", "base", "h").join(
+        convs.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n")), "base", "left")
+    shift = shift.select("conv_id", "h", F.least("h", F.coalesce("base_n", F.lit(0))).alias("taken"))
+    own = turns.join(shift, "conv_id").filter("pos >= h").withColumn("pos", F.col("pos") - F.col("h") + F.col("taken"))
+    cols = ["conv_id", "pos", "turn_id", "chars"]
+    return first.select(*cols).unionByName(own.select(*cols)), convs.select("conv_id")
+
+
+@query("op11_prefix_trie", OP11)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over the rebuilt conversations."""
+    turns = written(prefix_trie.numbered(table(spark, sf_dir, "conversations")), "numbered")
+    return prefix_trie.prefix_trie(*rebuilt_turns(turns))
+
+
+def left_out(doc_id, parts: int = 3, held: int = 1):
+    """True for the documents whose crc32(id) mod ``parts`` is ``held``: never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == held, F.lit(False))
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; those with crc32(id) mod 3 = 1 are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held = left_out(F.col("doc_id"))
+    model = language_masks.train(docs.filter(~held).select("text", "lang"))
+    out = language_masks.identified(docs.select("doc_id", "text"), model, carry_text=False)
+    return out.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
