@@ -68,6 +68,16 @@ def q_registry_scan(spark, sf_dir):
     return R.parse_company(FS.read_register(spark, path))
 
 
+@query("registry_array_scan", f"""SELECT CAST(row_number() OVER (ORDER BY seq) - 1 AS BIGINT) AS seq,
+  business_id, name, website, company_form, status FROM ({PARSED_SQL})""")
+def q_registry_array_scan(spark, sf_dir):
+    """A1: the register as one-line documents ``{"total_scanned": .., "companies": [...]}`` without
+    positions, found by its head, read in splits, numbered by place, parsed (C4)."""
+    path = shared_path(spark, "register-document")
+    FS.write_json_document(FX.registry_nested(spark, sf_dir), path, member="companies", head={"total_scanned": 0})
+    return R.parse_company(FS.read_register(spark, path))
+
+
 # ---- C5 / D3 / manifest -------------------------------------------------------------
 
 @query("homepage_normalise", O.with_views(

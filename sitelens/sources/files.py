@@ -9,11 +9,16 @@ row per site in a columnar table.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.functions.text import is_blank, text_true, trim_ws
+from sitelens.functions.text import text_true, trim_ws
+from sitelens.sources.json_items import head_of, json_items, layout_of
 
 REGISTER_RECORD = (
     "seq BIGINT, businessId STRUCT<value:STRING>, "
@@ -67,48 +72,31 @@ def read_csv_by_header(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def json_layout(spark: SparkSession, path: str, layout: str = "auto") -> str:
-    """``lines``, ``array`` or ``object`` (one document holding ``companies``), by the first characters."""
-    if layout != "auto":
-        return layout
-    head = _first_line(spark, path).replace(" ", "")
-    if head.startswith("["):
-        return "array"
-    return "object" if head == "{" or head.startswith(('{"companies"', '{"total_scanned"')) else "lines"
+    """``lines``, ``array`` or ``object`` (one document holding ``companies``); ``auto`` reads the
+    first bytes of the first file, never more."""
+    return layout_of(head_of(spark, path)) if layout == "auto" else layout
 
 
 def read_json_records(spark: SparkSession, path: str, ddl: str, layout: str = "auto") -> DataFrame:
     """Records of ``ddl`` from JSON lines, a top-level array or an object
     ``{"companies": [...]}``; ``seq`` is the position unless the records have one.
 
-    Lines are splittable; the two single-document layouts are one task each, so
-    land them once as Parquet and read that.
+    All layouts are read in splits by many tasks (:mod:`sitelens.sources.json_items`).
     """
     layout = json_layout(spark, path, layout)
     fields = [f.name for f in T.StructType.fromDDL(ddl) if f.name != "seq"]
     if layout == "lines":
         raw = in_file_order(spark.read.schema(ddl).json(path), "_at")
         return raw.select(F.coalesce("seq", "_at").alias("seq"), *fields)
-    records = T.ArrayType(T.StructType.fromDDL(ddl))
-    if layout == "object":
-        whole = spark.read.schema(T.StructType([T.StructField("companies", records)])).option("multiLine", True).json(path)
-        x = whole.select(F.posexplode("companies").alias("_at", "r"))
-    elif layout == "array":
-        text = spark.read.text(path, wholetext=True)
-        x = text.select(F.posexplode(F.from_json("value", records)).alias("_at", "r"))
-    else:
+    if layout not in ("array", "object"):
         raise ValueError(layout)
-    return x.select(F.coalesce(F.col("r.seq"), F.col("_at").cast("bigint")).alias("seq"), *[f"r.{f}" for f in fields])
+    items = json_items(spark, path, "companies" if layout == "object" else None)
+    x = items.select("pos", F.from_json("item", ddl).alias("r"))
+    return x.select(F.coalesce("r.seq", "pos").alias("seq"), *[f"r.{f}" for f in fields])
 
 
 # ---- A1 register --------------------------------------------------------------
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    """First non-blank line of a JSON file, trimmed (reads one line, not the file)."""
-    line = (spark.read.text(path).filter(~is_blank("value"))
-            .select(trim_ws("value").alias("v")).limit(1).collect())
-    return line[0]["v"] if line else "["
-
-
 def read_register(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
     """A1: register records in any of the layouts of :func:`read_json_records`."""
     return read_json_records(spark, path, REGISTER_RECORD, layout)
@@ -124,6 +112,29 @@ def write_register_lines(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
+def write_json_document(records: DataFrame, path: str, order: str = "seq", member: str | None = None,
+                        head: dict | None = None) -> None:
+    """``records`` without ``order``, in its order, as JSON documents of one line: an array, or an
+    object with the fields of ``head`` and the array under ``member``.  One document a file; a
+    file holds a range of ``order`` and files are read back in that order."""
+    opening = "[" if member is None else json.dumps(head or {})[:-1] + (", " if head else "") + json.dumps(member) + ": ["
+    closing = "]" if member is None else "]}"
+    ordered = records.repartitionByRange(order).sortWithinPartitions(order)
+    texts = ordered.select(F.to_json(F.struct(*[c for c in records.columns if c != order])).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = opening
+        for b in batches:
+            rows = []
+            for v in b.column(0).to_pylist():
+                rows.append(lead + v)
+                lead = ", "
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([closing if lead == ", " else opening + closing])], names=["value"])
+
+    texts.mapInArrow(run, "value string").write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 # ---- A2 manifest / B1 ---------------------------------------------------------
 
 def write_manifest(kept: DataFrame, csv_path: str | None = None, json_path: str | None = None,
