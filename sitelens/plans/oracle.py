@@ -104,7 +104,7 @@ def with_views(body: str, *names: str, extra: str | None = None) -> str:
         parts.append(extra.strip().strip(",").strip())
     if not parts:
         return body.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body.strip()
 
 
 # ---- expression twins --------------------------------------------------------
@@ -183,18 +183,46 @@ def url_depth(e: str) -> str:
     return f"CAST(len(list_filter(string_split({url_path(e)}, '/'), lambda s: s <> '')) AS INTEGER)"
 
 
-def main_text(e: str) -> str:
-    t = f"regexp_replace({e}, {q(H.BODY_HEAD_RE)}, '')"
-    t = f"regexp_replace({t}, {q(H.COMMENT_RE)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {q(H.DROP_BLOCK_RE)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {q(H.AD_BLOCK_RE)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {q(H.BREAK_RE)}, chr(10), 'g')"
-    t = f"regexp_replace({t}, {q(H.TAG_RE)}, '', 'g')"
-    for ent, ch in H.ENTITIES:
-        t = f"replace({t}, {q(ent)}, {q(ch)})"
-    t = f"regexp_replace({t}, ' *\\n[ \\n]*', chr(10), 'g')"
-    t = f"regexp_replace({t}, '^[ \\n]+|[ \\n]+$', '', 'g')"
-    return t
+def _in(e: str, names) -> str:
+    return f"{e} IN ({', '.join(q(n) for n in names)})"
+
+
+#: ``page_text(seq, text)``: main text by a walk over the pieces between '<', one row a page and step.
+PAGE_TEXT = f"""parts AS MATERIALIZED (SELECT seq, string_split(html, '<') AS p FROM site_pages WHERE html IS NOT NULL),
+walk AS (
+  SELECT seq, 1 AS i, '' AS raw, '' AS skip, 0 AS depth, []::VARCHAR[] AS inside, []::VARCHAR[] AS around, p[1] AS shown FROM parts
+  UNION ALL
+  SELECT seq, i + 1,
+    CASE WHEN quiet THEN raw WHEN opens_comment THEN '!--' WHEN opens_raw THEN n ELSE '' END,
+    CASE WHEN quiet OR plain THEN skip WHEN body THEN '' WHEN starts THEN n WHEN free OR leaves THEN '' ELSE skip END,
+    CASE WHEN quiet OR plain THEN depth WHEN body OR leaves THEN 0 WHEN starts THEN 1 WHEN same AND opens THEN depth + 1
+         WHEN same AND closes THEN depth - 1 ELSE depth END,
+    CASE WHEN quiet OR plain THEN inside WHEN body OR starts OR leaves THEN [] WHEN held AND opens THEN list_prepend(n, inside)
+         WHEN held AND closes AND list_contains(inside, n) THEN inside[list_position(inside, n) + 1:] ELSE inside END,
+    CASE WHEN quiet OR plain THEN around WHEN body THEN [] WHEN starts THEN around
+         WHEN (held AND leaves) OR (free AND holds AND closes AND list_contains(around, n)) THEN around[list_position(around, n) + 1:]
+         WHEN free AND holds AND opens THEN list_prepend(n, around) ELSE around END,
+    CASE WHEN quiet OR opens_comment OR opens_raw THEN shown WHEN plain THEN CASE WHEN skip = '' THEN shown || after ELSE shown END
+         WHEN body THEN after WHEN starts THEN shown || chr(10)
+         WHEN free OR leaves THEN shown || CASE WHEN {_in('n', H.BREAKS)} THEN chr(10) ELSE '' END || after ELSE shown END
+  FROM (SELECT *, held AND closes AND NOT list_contains(inside, n) AND list_contains(around, n) OR same AND closes AND depth = 1 AS leaves, drops AND free AS starts
+    FROM (SELECT *, NOT free AND n = skip AS same, NOT free AND n <> skip AND holds AS held
+      FROM (SELECT *, skip = '' OR (skip = 'head' AND opens AND NOT {_in('n', H.HEAD_TAGS)}) AS free, opens AND n = 'body' AS body
+        FROM (SELECT *, n <> '' AND NOT closes AS opens, {_in('n', H.CONTAINERS)} AS holds,
+            n <> '' AND NOT closes AND ({_in('n', H.DROPPED)} OR ({_in('n', H.AD_TAGS)} AND list_has_any(string_split(
+              lower(split_part(split_part(tag, 'class="', 2), '"', 1)), ' '), [{', '.join(q(c) for c in H.AD_CLASSES)}]))) AS drops
+          FROM (SELECT *, raw <> '' AND NOT ends_raw AS quiet, raw = '' AND starts_with(x, '!--') AND NOT contains(x, '-->') AS opens_comment,
+              raw = '' AND NOT closes AND {_in('n', H.RAW)} AS opens_raw, (raw <> '' AND ends_raw) OR n = '' AS plain
+            FROM (SELECT *, split_part(x, '>', 1) AS tag, starts_with(x, '/') AS closes,
+                CASE WHEN raw = '!--' THEN contains(x, '-->') ELSE starts_with(lower(x), '/' || raw) END AS ends_raw,
+                CASE WHEN contains(x, '-->') AND (raw = '!--' OR starts_with(x, '!--')) THEN substr(x, strpos(x, '-->') + 3)
+                     WHEN contains(x, '>') THEN substr(x, strpos(x, '>') + 1) ELSE '' END AS after,
+                lower(regexp_extract(x, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) AS n
+              FROM (SELECT w.*, e.p[i + 1] AS x FROM walk w JOIN parts e USING (seq) WHERE i < len(e.p))))))))
+),
+page_text AS (SELECT seq, regexp_replace(regexp_replace(t, ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS text FROM (
+  SELECT seq, replace(replace(replace(replace(replace(replace(replace(shown, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '),
+    '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM walk JOIN parts USING (seq) WHERE i = len(p)))"""
 
 
 def page_title(e: str) -> str:

@@ -19,8 +19,9 @@ LANGS = ("en", "de")
 LANGS_SQL = ", ".join(O.q(x) for x in LANGS)
 BATCH_OFFSET, BATCH_LIMIT = 10, 20
 
-EXTRACT_CTE = f"""ex AS (SELECT seq, url, domain, {O.page_title('html')} AS title, {O.page_language('html')} AS language,
-  {O.main_text('html')} AS text FROM site_pages),
+EXTRACT_CTE = f"""{O.PAGE_TEXT},
+ex AS (SELECT seq, url, domain, {O.page_title('html')} AS title, {O.page_language('html')} AS language,
+  text FROM site_pages LEFT JOIN page_text USING (seq)),
 ext AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'extraction_failed' END AS error FROM ex),
 home AS (SELECT domain, seq, url FROM site_pages QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq) = 1)"""
 
