@@ -6,23 +6,26 @@
   files arrive appends only keys never seen before.
 * L2 ``collect_when_complete``: results arrive part by part; a domain is
   emitted once all its parts are in (``ok``, or ``error`` when a part failed),
-  and as ``error`` when the batch has ended without them.
-  ``applyInPandasWithState`` keyed by domain; state = the parts seen so far
-  (bounded by one document), then a flag.
+  and as ``error`` when its timer fires without them.
+  ``transformWithStateInPandas`` keyed by domain; list state = the parts seen so
+  far (bounded by one document), then a flag, both with a time to live.
 * L3 ``progress``: counters written per micro-batch.
 
-Every query runs with ``trigger(availableNow=True)`` (one poll, like the
-reference's ``--collect`` without ``--wait``) and a checkpoint in the shared
-folder, so a lost executor or driver restart resumes from the last commit.
+Every query reads what there is and ends (one poll), and keeps a checkpoint in the
+shared folder, so a lost executor or driver restart resumes from the last commit;
+L2 can also poll on until nothing is open.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -61,60 +64,114 @@ def resumable_log(spark: SparkSession, source_dir: str, schema: str, key: str, l
     q.awaitTermination()
 
 
-STATE_SCHEMA = "parts array<int>, texts array<string>, errored boolean, n_parts int, done boolean"
 OUT_SCHEMA = "domain_id long, status string, parts int, chars_out long, text_md5 string"
+PART_STATE = "part int, text string, ok boolean"
+SEEN_STATE = "n_parts int, done boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: How long a finished domain is remembered, so that what comes late or again changes nothing.
+REMEMBERED_MS = 30 * 24 * 3600 * 1000
 
-def _collector():
-    import hashlib
 
-    def emit(domain_id, parts, texts, errored, n_parts):
-        text = None if errored else "\n".join(t for _, t in sorted(zip(parts, texts)))
-        return pd.DataFrame({"domain_id": [domain_id], "status": ["error" if errored else "ok"], "parts": [n_parts],
-                             "chars_out": [None if errored else len(text)],
-                             "text_md5": [None if errored else hashlib.md5(text.encode("utf-8")).hexdigest()]})
+class Collector(StatefulProcessor):
+    """The parts of a domain as list state until all are in or its timer fires.
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts, texts, errored, n_parts, done = state.get if state.exists else ([], [], False, 0, False)
-        if done:  # emitted before: what comes late or again changes nothing
+    The timer is set when the first part of a domain arrives.  Parts and the
+    finished flag have a time to live, so state does not grow for ever.
+    """
+
+    def __init__(self, wait_ms: int, remembered_ms: int = REMEMBERED_MS) -> None:
+        self.wait_ms, self.remembered_ms = wait_ms, remembered_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", PART_STATE, ttlDurationMs=self.remembered_ms)
+        self.seen = handle.getValueState("seen", SEEN_STATE, ttlDurationMs=self.remembered_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n_parts, done = self.seen.get() if self.seen.exists() else (None, False)
+        if done:
             return
-        parts, texts = list(parts), list(texts)
-        for pdf in pdfs:
-            for part, text, rtype, n in zip(pdf["part"], pdf["text"], pdf["result_type"], pdf["n_parts"]):
+        if n_parts is None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        held = {p: (t, ok) for p, t, ok in self.parts.get()}
+        fresh = {}
+        for pdf in rows:
+            for part, text, kind, n in zip(pdf["part"], pdf["text"], pdf["result_type"], pdf["n_parts"]):
                 n_parts = int(n)
-                if int(part) in parts:  # a part counts once, however often it is sent
-                    continue
-                errored = errored or rtype != "succeeded"
-                parts.append(int(part))
-                texts.append((text or "") if rtype == "succeeded" else "")
-        if len(parts) >= n_parts:
-            state.update(([], [], False, n_parts, True))
-            yield emit(int(key[0]), parts, texts, errored, n_parts)
+                if int(part) not in held:  # a part counts once, however often it is sent
+                    ok = kind == "succeeded"
+                    held[int(part)] = fresh[int(part)] = ((text or "") if ok else "", ok)
+        if len(held) >= n_parts:
+            self._finish(n_parts)
+            yield _collected(int(key[0]), n_parts, held if all(ok for _, ok in held.values()) else None)
         else:
-            state.update((parts, texts, errored, n_parts, False))
-    return fn
+            for part, (text, ok) in fresh.items():
+                self.parts.appendValue((part, text, ok))
+            self.seen.update((n_parts, False))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n_parts, done = self.seen.get() if self.seen.exists() else (None, True)
+        if not done:
+            self._finish(n_parts)
+            yield _collected(int(key[0]), n_parts, None)
+
+    def _finish(self, n_parts: int) -> None:
+        self.parts.clear()
+        self.seen.update((n_parts, True))
+
+    def close(self) -> None:
+        pass
+
+
+def _collected(domain_id: int, n_parts: int, held: dict | None) -> pd.DataFrame:
+    text = None if held is None else "\n".join(held[p][0] for p in sorted(held))
+    return pd.DataFrame({"domain_id": [domain_id], "status": ["error" if text is None else "ok"], "parts": [n_parts],
+                         "chars_out": pd.array([None if text is None else len(text)], dtype="Int64"),
+                         "text_md5": [None if text is None else hashlib.md5(text.encode("utf-8")).hexdigest()]})
 
 
 def collect_when_complete(spark: SparkSession, source_dir: str, schema: str, out_dir: str, checkpoint: str,
-                          ended: bool = False) -> None:
-    """L2: emit each domain once all of its parts have arrived.
+                          wait_s: float = 60.0, until_done: bool = False, poll_s: float = 0.5) -> None:
+    """L2: emit each domain once all of its parts have arrived, and as ``error`` when ``wait_s`` have
+    passed since its first part and some are still missing.
 
-    ``ended``: no more parts will come, so domains that still miss one are
-    emitted as ``error``, as the batch form reports them.
+    One call reads what there is and leaves; timers live in the checkpoint and fire in the
+    next call.  ``until_done`` polls on and ends by itself once every timer had its time.
     """
-    stream = spark.readStream.schema(schema).json(source_dir)
-    out = stream.groupBy("domain_id").applyInPandasWithState(
-        _collector(), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.foreachBatch(_append_to(out_dir)).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if ended:
-        seen = spark.read.schema(schema).json(source_dir).groupBy("domain_id").agg(F.max("n_parts").cast("int").alias("parts"))
-        done = spark.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/epoch=*").select("domain_id")
-        rest = seen.join(done, "domain_id", "left_anti").select(
-            "domain_id", F.lit("error").alias("status"), "parts", F.lit(None).cast("bigint").alias("chars_out"),
-            F.lit(None).cast("string").alias("text_md5"))
-        rest.write.mode("overwrite").parquet(f"{out_dir}/ended")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, ROCKSDB)  # list state, timers and time to live need it
+    try:
+        out = spark.readStream.schema(schema).json(source_dir).groupBy("domain_id").transformWithStateInPandas(
+            Collector(int(wait_s * 1000)), OUT_SCHEMA, "append", "ProcessingTime")
+        q = (out.writeStream.foreachBatch(_append_to(out_dir)).option("checkpointLocation", checkpoint)
+             .trigger(processingTime=f"{int(poll_s * 1000)} milliseconds").start())
+    finally:
+        spark.conf.set(store, before)
+    try:
+        _until_quiet(q, wait_s if until_done else None)
+    finally:
+        q.stop()
+
+
+def _until_quiet(q: StreamingQuery, wait_s: float | None) -> None:
+    """Return after a batch without new rows; with ``wait_s`` after one that began so long after the
+    first such batch (timers are set in batches with rows, so all of them have fired)."""
+    since = None
+    while True:
+        if q.exception() is not None:
+            raise q.exception()
+        p = q.lastProgress
+        if p is not None:
+            at = pd.Timestamp(p["timestamp"]).timestamp()
+            if p["numInputRows"]:
+                since = None
+            elif wait_s is None or (since is not None and at > since + wait_s):
+                return
+            elif since is None:
+                since = at
+        time.sleep(0.05)
 
 
 def progress(spark: SparkSession, source_dir: str, schema: str, value: str, checkpoint: str, out_dir: str,

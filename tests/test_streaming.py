@@ -40,20 +40,42 @@ def test_progress_counts_every_micro_batch(spark):
     assert got["n"] == 105 and got["rows"] == 1200 and got["s"] == sum(range(1200))
 
 
-def test_collector_counts_a_part_once_and_reports_the_incomplete(spark):
-    schema = "domain_id long, part long, n_parts long, result_type string, text string"
-    base = tempfile.mkdtemp(prefix="sitelens-collect-")
+COLLECT = "domain_id long, part long, n_parts long, result_type string, text string"
+
+
+def collector(spark, name):
+    base = tempfile.mkdtemp(prefix=f"sitelens-{name}-")
     src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
 
-    def send(*rows, ended=False):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
-        S.collect_when_complete(spark, src, schema, out, ckpt, ended)
+    def send(*rows, **how):
+        if rows:
+            spark.createDataFrame(rows, COLLECT).coalesce(1).write.mode("append").json(src)
+        S.collect_when_complete(spark, src, COLLECT, out, ckpt, poll_s=0.1, **how)
+        got = spark.read.schema(S.OUT_SCHEMA).parquet(f"{out}/*").collect()
+        return sorted((r.domain_id, r.status, r.parts, r.chars_out) for r in got)
+
+    return send
+
+
+def test_collector_counts_a_part_once_over_restarts(spark):
+    send = collector(spark, "collect")
+    got = send((1, 0, 2, "errored", None), (1, 0, 2, "errored", None), (2, 1, 2, "succeeded", "b"), (3, 0, 2, "succeeded", "x"),
+               wait_s=3600.0)
+    assert got == []  # every domain still misses a part
+    got = send((2, 0, 2, "succeeded", "a"), (2, 0, 2, "succeeded", "z"), wait_s=3600.0)
+    assert got == [(2, "ok", 2, 3)]
+    got = send((2, 1, 2, "succeeded", "late"), (1, 1, 2, "succeeded", "y"), wait_s=3600.0)
+    assert got == [(1, "error", 2, None), (2, "ok", 2, 3)]
+
 
-    send((1, 0, 2, "errored", None), (1, 0, 2, "errored", None), (2, 1, 2, "succeeded", "b"), (3, 0, 2, "succeeded", "x"))
-    send((2, 0, 2, "succeeded", "a"), (2, 0, 2, "succeeded", "z"))
-    send((2, 1, 2, "succeeded", "late"), (1, 1, 2, "succeeded", "y"), ended=True)
-    got = sorted((r.domain_id, r.status, r.chars_out) for r in spark.read.schema(S.OUT_SCHEMA).parquet(f"{out}/*").collect())
-    assert got == [(1, "error", None), (2, "ok", 3), (3, "error", None)]
+def test_collector_timers_survive_a_restart(spark):
+    send = collector(spark, "timers")
+    assert send((1, 0, 2, "succeeded", "a"), (2, 0, 1, "succeeded", "b"), (3, 0, 3, "succeeded", "c"), wait_s=4.0) == [(2, "ok", 1, 1)]
+    # the timers of 1 and 3 were set by the run before; the part that comes in time still counts
+    got = send((1, 1, 2, "succeeded", "d"), wait_s=4.0, until_done=True)
+    assert got == [(1, "ok", 2, 3), (2, "ok", 1, 1), (3, "error", 3, None)]
+    # late parts, also the last missing ones, change nothing
+    assert send((3, 1, 3, "succeeded", "x"), (3, 2, 3, "succeeded", "y"), (1, 0, 2, "succeeded", "z"), wait_s=0.0, until_done=True) == got
 
 
 def test_resumable_log_takes_the_first_of_a_micro_batch(spark):
