@@ -76,9 +76,9 @@ def first_level_links(home: DataFrame, pages_html: DataFrame, max_subpages: int
     de-dup are keyed by (domain, canonical), the cap by domain over at most one
     page's links.
     """
-    h = home.join(pages_html.select("seq", "html"), "seq")
-    x = h.select("domain", F.col("url").alias("home_url"),
-                 F.posexplode(H.links("html")).alias("pos", "href"))
+    # only the links of a page go through the join, not its html
+    h = home.join(pages_html.select("seq", H.links("html").alias("hrefs")), "seq")
+    x = h.select("domain", F.col("url").alias("home_url"), F.posexplode("hrefs").alias("pos", "href"))
     # staged columns: each step is referenced several times by the next, so
     # Catalyst keeps them as separate projections instead of inlining copies
     x = x.withColumn("_res", U.resolve_link(F.col("href"), F.col("home_url"))).filter(F.col("_res").isNotNull())
@@ -216,11 +216,12 @@ def scrape_index(pages: DataFrame, reach: DataFrame, cached: DataFrame | None =
             "domain", "url", F.col("url").alias("final_url"), F.lit(True).alias("ok"),
             F.col("chars").cast("bigint").alias("chars"), F.lit("cached").alias("reason"))
         todo = todo.join(cached, "domain", "left_anti")
-    ex = extract_pages(pages.select("seq", "url", "domain", "html")).select("seq", "text")
+    # the text stays with its page: only its size goes through the join
+    size = let(H.main_text("html"), lambda t: F.when(is_blank(t), F.lit(0)).otherwise(F.length(t)))
+    ex = pages.select("seq", size.cast("bigint").alias("chars"))
     main = todo.join(home.select("domain", "seq", F.col("url").alias("final_url")), "domain").join(ex, "seq")
-    empty = is_blank("text")
-    out = main.select("domain", "url", "final_url", (~empty).alias("ok"),
-                      F.when(empty, F.lit(0)).otherwise(F.length("text")).cast("bigint").alias("chars"),
+    empty = F.col("chars") == 0
+    out = main.select("domain", "url", "final_url", (~empty).alias("ok"), "chars",
                       F.when(empty, F.lit("empty_extract")).otherwise(F.lit("ok")).alias("reason"))
     if cached is not None:
         out = out.unionByName(hit)
