@@ -31,18 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import bound_batches, free_name, quoted, utf8, written
+from sitelens.llm.common import bound_batches, free_name, gathered, quoted, utf8, written
 
 SIZE = 2048
 END_ID = 1
 KEPT_WORDS = 400_000
 #: Texts whose words are looked up together.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 23
 
 #: The normalizer and splitter that word-by-word encoding relies on (fixed values of the vocabulary file).
 WORDWISE = {
@@ -75,8 +75,14 @@ class Encoder:
             self.model.pre_tokenizer = WhitespaceSplit()
             self.ends = np.zeros(1 + max(model["vocab"].values()), bool)
             self.ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
-            # the same splitter, with a mark between words
-            self.split = regex.compile(WORDWISE["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n").findall
+            # the same splitter with a mark between words, for the characters that are not odd
+            plain = sorted({x for c in range(0x21, 0x250) for x in chr(c) + chr(c).lower()})
+            kinds = {k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k) for k in "LN"}
+            pattern = WORDWISE["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            for written_so, class_ in ((r"[\p{L}]", f"[{kinds['L']}]"), (r"[\p{N}]", f"[{kinds['N']}]"),
+                                       (r"\p{L}", kinds["L"]), (r"\p{N}", kinds["N"])):
+                pattern = pattern.replace(written_so, class_)
+            self.split = re.compile(pattern + r"|\n").findall
             self.letters = byte_letters()
             del self.letters[32]  # parts hold no blank: it separates them
             self.odd = re.compile("(?m)^.*[^\x21-\x7e\xa1-\u024f\n].*$").findall
@@ -88,17 +94,29 @@ class Encoder:
         if not self.wordwise:
             lines = [t.decode("utf-8", "replace") for t in texts]
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(lines, add_special_tokens=False)]
-        split = [t.split() for t in texts]
-        seen = set().union(*split) if split else set()
-        new = seen.difference(self.words.memory)
+        if not texts:
+            return []
+        # every distinct word of the group is looked up once, its ids are then put in place by number
+        lists = pc.ascii_split_whitespace(as_strings(pa.array(texts, pa.binary())))
+        coded = lists.flatten().dictionary_encode()
+        words = as_binary(coded.dictionary).to_numpy(zero_copy_only=False).tolist()
+        known = self.words.memory
+        new = [w for w in words if w not in known]
         if new:
-            self.words.used(seen.difference(new))
-            self._learn(list(new))
-        get = self.words.memory.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+            self.words.used(set(words).difference(new))
+            self._learn(new)
+        found = list(map(known.__getitem__, words))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        each = size[which]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        out = ids[np.repeat(first[which] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+        ends = 4 * upto[lists.offsets.to_numpy()]
         self.words.shrink()
         self.parts.shrink()
-        return out
+        return [out[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _learn(self, words: list[bytes]) -> None:
         text = b"\n".join(words).decode("utf-8", "replace")
@@ -134,6 +152,15 @@ class Encoder:
         del known["\n"]
 
 
+def as_strings(a: pa.Array) -> pa.Array:
+    """A binary array as strings, bytes as they are (white space is looked for among ASCII bytes only)."""
+    return pa.Array.from_buffers(pa.string(), len(a), a.buffers())
+
+
+def as_binary(a: pa.Array) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(a), a.buffers())
+
+
 class Memory:
     """A dict that forgets, when it holds too much, what was not met again since the last time."""
 
@@ -209,7 +236,7 @@ def tokenized(docs: DataFrame, vocabulary_path: str, text_col: str = "text", siz
                     yield from encoder.encode_all(group)
                     group, held = [], 0
             yield from encoder.encode_all(group)
-        for b in batches:
+        for b in gathered(batches, GROUP_BYTES):
             owner, start, length, total, ids, number = [], [], [], [], [], []
             for row, got in enumerate(encoded(b.column(b.num_columns - 1))):
                 got += end

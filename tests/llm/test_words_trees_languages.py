@@ -291,3 +291,26 @@ def test_sample_keeps_small_languages_whole(spark):
     assert set(small.languages) == {"rare", "common"}
     got = {r.language.lang for r in language_masks.identified(docs.limit(5), small).collect()}
     assert got <= {"rare", "common"}
+
+
+# --- packing: ids of odd texts --------------------------------------------------------
+
+def test_grouped_word_ids_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sitelens.llm import packing
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    whole, encoder = Tokenizer.from_str(vocabulary), packing.Encoder(vocabulary)
+    whole.encode_special_tokens = True
+    rng = random.Random(1)
+    chars = [chr(c) for c in range(1, 0x260)] + list("ⱥⱦ \x0b\x1c　́日本İß’ſ😀<|>") + [" "] * 120 + list("abcdefghij'st") * 10
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(300))) for _ in range(400)]
+    texts += ["", "  ", "<|endoftext|>", " ȺȾ Ⱥa1 İx don't CAN'T we'll", "İ̇", "a" * 5000, "á"]
+    for at in range(0, len(texts), 37):
+        some = texts[at:at + 37]
+        for text, ids in zip(some, encoder.encode_all([t.encode() for t in some])):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert encoder.encode_all([]) == []
