@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import requests as RQ
 from sitelens.functions.text import is_blank, trim_ws
 from sitelens.operators.ordering import global_ordinal, key_running_total
+from sitelens.sources.tables import landed
 
 
 def translate_requests(work: DataFrame, model: str = RQ.TRANSLATE_DEFAULT_MODEL,
@@ -102,11 +103,12 @@ def plan_batches(requests: DataFrame, max_count: int = RQ.MAX_PER_BATCH,
     next request would push its size over ``max_size`` (a single oversized
     request still gets its own batch): exactly the serial fold, at any size.
     Blocks of ordinals first tell, for each place where a batch may enter them,
-    where it leaves (few distinct answers: later entries fall in step with
-    earlier ones); one walk along these answers gives each block its real entry,
-    and the blocks number their batches from there.  Only ``(ordinal, size)``
-    travel, each to its block and the first ``max_count`` of a block to the one
-    before as well.  Returns ``ordinal, batch_no, batch_id``.
+    where it leaves; these passages are composed pairwise (2, 4, 8 ... blocks)
+    until one is left, then real entries are handed back down the same pairs, and
+    the blocks number their batches from there.  No task sees more than a block's
+    requests or the passages of two blocks.  Only ``(ordinal, size)`` travel, each
+    to its block and the first ``max_count`` of a block to the one before as well.
+    Returns ``ordinal, batch_no, batch_id``.
     """
     width = max(block, max_count)
     r = requests.select(F.col("ordinal").cast("bigint").alias("ordinal"), F.col("size").cast("bigint").alias("size"))
@@ -127,9 +129,8 @@ def plan_batches(requests: DataFrame, max_count: int = RQ.MAX_PER_BATCH,
         change = np.flatnonzero(np.append(True, leave[1:] != leave[:-1]))
         return pd.DataFrame({"block": block_no, "entry": first + change, "leave": first + leave[change]})
 
-    # one row for each distinct answer: at most max_count of width requests, all to one task
-    walk = rows.groupBy("block").applyInPandas(passages, "block long, entry long, leave long")
-    entries = walk.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_walked, "block long, entry long")
+    last = r.agg(F.max("ordinal")).first()[0]
+    entries = _entries(rows.groupBy("block").applyInPandas(passages, PASSAGE), 0 if last is None else last // width + 1)
 
     def labelled(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
@@ -151,16 +152,38 @@ def plan_batches(requests: DataFrame, max_count: int = RQ.MAX_PER_BATCH,
     return out.withColumn("batch_id", F.format_string("b%08d", "batch_no"))
 
 
-def _walked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The real entry of each block, from the entry of the first."""
+#: Of every entry at ``entry`` or later (up to the next row's), where it leaves the block.
+PASSAGE = "block long, entry long, leave long"
+
+
+def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The passage through two neighbouring blocks (or one, at the end) as one block of the next level."""
     pdf = pdf.sort_values(["block", "entry"])
-    at, out = None, []
-    for block, own in pdf.groupby("block", sort=True):
-        entry = own["entry"].to_numpy()
-        at = int(entry[0]) if at is None else at
-        out.append((block, at))
-        at = int(own["leave"].to_numpy()[np.searchsorted(entry, at, side="right") - 1])
-    return pd.DataFrame(out, columns=["block", "entry"])
+    block = pdf["block"].to_numpy()
+    entry, leave = pdf["entry"].to_numpy(), pdf["leave"].to_numpy()
+    left, right = block % 2 == 0, block % 2 == 1
+    if right.any():
+        leave = leave[right][np.searchsorted(entry[right], leave[left], side="right") - 1]
+        entry = entry[left]
+    change = np.flatnonzero(np.append(True, leave[1:] != leave[:-1]))
+    return pd.DataFrame({"block": int(block[0]) // 2, "entry": entry[change], "leave": leave[change]})
+
+
+def _entries(passages: DataFrame, blocks: int) -> DataFrame:
+    """``(block, entry)``: where the first batch that begins in each of ``blocks`` blocks begins."""
+    spark = passages.sparkSession
+    levels, sizes = [landed(passages, "passages")], [blocks]
+    while sizes[-1] > 1:
+        up = levels[-1].groupBy(F.floor(F.col("block") / 2)).applyInPandas(_composed, PASSAGE)
+        levels.append(landed(up, "passages"))
+        sizes.append((sizes[-1] + 1) // 2)
+    entries = spark.range(1).select(F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("entry"))
+    for level, size in zip(reversed(levels[:-1]), reversed(sizes[:-1])):
+        left = entries.select((F.col("block") * 2).alias("block"), F.col("entry").alias("at"))
+        through = level.join(left, "block").filter(F.col("entry") <= F.col("at"))
+        right = through.groupBy((F.col("block") + 1).alias("block")).agg(F.max_by("leave", "entry").alias("entry"))
+        entries = landed(left.withColumnRenamed("at", "entry").unionByName(right.filter(F.col("block") < size)), "entries")
+    return entries
 
 
 # ---- E6 / J18 / F11 / J20 / F12 / F13 ------------------------------------------------------
