@@ -17,6 +17,7 @@ from sitelens.functions import urls as U
 from sitelens.functions.bind import let
 from sitelens.functions.text import contains_any, is_blank, is_junk
 from sitelens.operators.ordering import first_per_key
+from sitelens.operators.registry import registered_domain
 
 MAX_SUBPAGES = 25
 MAX_DEPTH = 0
@@ -66,11 +67,12 @@ def homepages(pages: DataFrame) -> DataFrame:
 
 
 def first_level_links(home: DataFrame, pages_html: DataFrame, max_subpages: int = MAX_SUBPAGES,
-                      max_depth: int = MAX_DEPTH) -> DataFrame:
+                      max_depth: int = MAX_DEPTH, suffixes: DataFrame | None = None) -> DataFrame:
     """M1 + D9 + C8 + G6: same-site links of each homepage in document order,
     resolved and cleaned, assets and the home page itself dropped, optional depth
     limit, canonical (no trailing ``/``) de-dup keeping the first stored form,
-    first ``max_subpages``.
+    first ``max_subpages``.  ``suffixes``: a link is on the same site if its registered
+    domain by these public-suffix rules is the home page's (default: the host rule).
 
     All per-page work stays inside the page's own row group: the explode and the
     de-dup are keyed by (domain, canonical), the cap by domain over at most one
@@ -87,13 +89,17 @@ def first_level_links(home: DataFrame, pages_html: DataFrame, max_subpages: int
     def keep(v):
         link, home = v["link"], v["home"]
         canon = U.canonical(link)
-        ok = ((U.site_key(link) == U.site_key(home)) & ~U.is_asset(link) & (canon != F.lit(""))
-              & (canon != U.canonical(U.clean_url(home))))
+        ok = ~U.is_asset(link) & (canon != F.lit("")) & (canon != U.canonical(U.clean_url(home)))
+        if suffixes is None:
+            ok = ok & (U.site_key(link) == U.site_key(home))
         if max_depth and max_depth > 0:
             ok = ok & (U.url_depth(link) <= max_depth)
         return ok
     # one predicate over a bound (link, home) pair: the link expression is not copied per use
     x = x.filter(let(F.struct(F.col("link").alias("link"), F.col("home_url").alias("home")), keep))
+    if suffixes is not None:
+        x = registered_domain(registered_domain(x, "link", suffixes, "_site"), "home_url", suffixes, "_home_site")
+        x = x.filter("_site = _home_site")
     x = x.withColumn("canon", U.canonical(F.col("link")))
     firsts = x.groupBy("domain", "canon").agg(F.min_by("link", "pos").alias("url"), F.min("pos").alias("pos"))
     capped = firsts.groupBy("domain").agg(

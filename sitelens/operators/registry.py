@@ -106,10 +106,10 @@ def dedupe_companies(companies: DataFrame, order_col: str = "seq") -> DataFrame:
     return first_per_key(c, "business_id", order_col)
 
 
-def manifest(companies: DataFrame) -> DataFrame:
+def manifest(companies: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Bulk path (D4, C5, C6, G2, G4): the first record per id that *qualifies*
     (id, website, homepage), its site key, and ``shared_site`` = an earlier kept
-    row has the same key.
+    row has the same key.  ``suffixes``: public-suffix rules for the key (default: the host rule).
 
     Shuffles: one on ``business_id`` (partial ``min_by``), one on ``domain``
     (partial ``min``), and a join back on ``domain`` whose skew AQE splits.
@@ -117,9 +117,9 @@ def manifest(companies: DataFrame) -> DataFrame:
     q = (companies
          .withColumn("homepage", normalise_homepage("website"))
          .filter((F.coalesce(F.col("business_id"), F.lit("")) != "") & ~is_blank("website")
-                 & F.col("homepage").isNotNull())
-         .withColumn("domain", site_key("homepage"))
-         .select("seq", "business_id", "name", "company_form", "status", "homepage", "domain"))
+                 & F.col("homepage").isNotNull()))
+    q = with_site(q, "homepage", "domain", suffixes).select(
+        "seq", "business_id", "name", "company_form", "status", "homepage", "domain")
     kept = first_per_key(q, "business_id", "seq")
     first_seq = kept.groupBy("domain").agg(F.min("seq").alias("_first_seq"))
     out = kept.join(first_seq, "domain")
@@ -149,40 +149,57 @@ def sampling_frame(companies: DataFrame, forms=("BUILDING",), status: str = "Reg
 
 # ---- C6 registered domain (public-suffix join) ----------------------------
 
-def registered_domain(urls: DataFrame, url_col: str, suffixes: DataFrame) -> DataFrame:
-    """C6 with a public-suffix table: every dotted suffix of the host is joined
-    with the (small, fixed) suffix list; the longest match plus one label is the
-    registered domain; no match or a bare suffix falls back to the host rule.
+def suffix_rules(rules: DataFrame, col: str = "suffix") -> DataFrame:
+    """Public-suffix rules as ``(rule)``: lower case, without comments (``//``), blanks and leading dots."""
+    r = F.lower(F.regexp_extract(F.col(col), r"^\s*([^\s]*)", 1))
+    r = F.regexp_replace(r, r"^(!?)[.]+", "$1")
+    return rules.select(r.alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("//")).distinct()
 
-    The suffix table is broadcast: it is a fixed list (the full public list is
-    ~10k rows), never data-derived.
+
+def registered_domain(urls: DataFrame, url_col: str, suffixes: DataFrame, name: str = "registered_domain") -> DataFrame:
+    """C6 with public-suffix rules: ``urls`` with the registered domain of each url's host.
+
+    Rules are plain (``co.uk``), wildcard (``*.ck``: any one label before) or exceptions
+    (``!www.ck``: this is no suffix).  Every dotted ending of a distinct host asks for the three
+    rules that could match it, in one equality join on the reversed labels' ending; an exception
+    prevails, else the longest match.  The registered domain is the suffix and one label more; a
+    host without a rule, or one that is a suffix itself, falls back to the host rule.  The rules
+    are not hinted: the optimizer broadcasts them while they are small.
     """
-    host = F.lower(host_of(F.col(url_col)))
-    x = urls.withColumn("_host", host).withColumn("_labels", F.split(F.col("_host"), r"\."))
-    x = x.withColumn("_n", F.size("_labels"))
-    cand = x.select(url_col, "_host", "_labels", "_n",
-                    F.explode(F.sequence(F.lit(2), F.greatest(F.col("_n"), F.lit(2)))).alias("_i"))
-    cand = cand.withColumn("_suffix", F.array_join(F.slice("_labels", F.col("_i"), F.col("_n")), "."))
-    hit = cand.join(suffixes.select(F.col("suffix").alias("_suffix")), "_suffix")
-    best = hit.groupBy(url_col).agg(F.min("_i").alias("_i"), F.first("_labels").alias("_labels"),
-                                    F.first("_n").alias("_n"))
-    reg = best.select(url_col, F.array_join(F.slice("_labels", F.col("_i") - 1, F.col("_n") - F.col("_i") + 2),
-                                            ".").alias("registered_domain"))
-    out = urls.join(reg, url_col, "left")
-    return out.withColumn("registered_domain",
-                          F.coalesce(F.col("registered_domain"), site_key(F.col(url_col))))
+    base = urls.withColumn("_host", F.lower(host_of(F.col(url_col))))
+    hosts = base.select("_host").distinct().withColumn("_labels", F.split("_host", r"\."))
+    ending = F.array_join(F.slice("_labels", F.col("_i"), F.size("_labels")), ".")
+    behind = F.array_join(F.slice("_labels", F.col("_i") + 1, F.size("_labels")), ".")
+    cand = hosts.select("_host", F.explode(F.sequence(F.lit(1), F.size("_labels"))).alias("_i"), "_labels").select(
+        "_host", F.explode(F.array(
+            F.struct(ending.alias("rule"), F.col("_i").alias("at"), F.lit(False).alias("exception")),
+            F.struct(F.concat(F.lit("*."), behind).alias("rule"), F.col("_i").alias("at"), F.lit(False).alias("exception")),
+            F.struct(F.concat(F.lit("!"), ending).alias("rule"), (F.col("_i") + 1).alias("at"), F.lit(True).alias("exception")))).alias("c"))
+    hit = cand.select("_host", "c.*").join(suffix_rules(suffixes, suffixes.columns[0]), "rule")
+    best = hit.groupBy("_host").agg(F.coalesce(F.max(F.when(F.col("exception"), F.col("at"))), F.min("at")).alias("_at"))
+    labels = F.split("_host", r"\.")
+    best = best.filter("_at > 1").select("_host", F.array_join(F.slice(labels, F.col("_at") - 1, F.size(labels)), ".").alias("_reg"))
+    out = base.join(best, "_host", "left")
+    return out.withColumn(name, F.coalesce("_reg", site_key(F.col(url_col)))).drop("_host", "_reg")
+
+
+def with_site(df: DataFrame, url_col: str, name: str = "domain", suffixes: DataFrame | None = None) -> DataFrame:
+    """``df`` with the site key of ``url_col``: the registered domain if rules are given, else the host rule."""
+    return df.withColumn(name, site_key(url_col)) if suffixes is None else registered_domain(df, url_col, suffixes, name)
 
 
 # ---- E7 / E8 -----------------------------------------------------------------
 
-def company_site(companies: DataFrame, site_results: DataFrame | None = None) -> DataFrame:
+def company_site(companies: DataFrame, site_results: DataFrame | None = None,
+                 suffixes: DataFrame | None = None) -> DataFrame:
     """E7 + G5 (search path): deduped companies with a website, each attributed
     to its site; the site record carries the first company's homepage;
     ``shared_site`` = an earlier output record has the same domain (nulls equal).
+    ``suffixes``: public-suffix rules for the key.
     """
     d = dedupe_companies(companies)
     d = has_website(d).withColumn("_hp", normalise_homepage("website")).filter(F.col("_hp").isNotNull())
-    d = d.withColumn("domain", site_key("_hp"))
+    d = with_site(d, "_hp", "domain", suffixes)
     site_first = first_per_key(d.select("domain", "seq", "_hp"), "domain", "seq")
     site_first = site_first.select("domain", F.col("seq").alias("_first_seq"), F.col("_hp").alias("homepage"))
     out = d.join(site_first, d["domain"].eqNullSafe(site_first["domain"])).drop(site_first["domain"])

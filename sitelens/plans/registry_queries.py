@@ -147,6 +147,30 @@ def q_site_key(spark, sf_dir):
     return p.join(reg, "url", "left").select("seq", "url", "registered_domain")
 
 
+def _suffix_key(url: str) -> str:
+    """The registered domain by :data:`FX.SUFFIX_RULES`, rule by rule."""
+    h = f"lower(regexp_extract({url}, '^https?://([^/?#:]+)', 1))"
+    tail = lambda n: f"array_to_string(string_split({h}, '.')[-{n}:], '.')"
+    some = lambda n: f"len(string_split({h}, '.')) >= {n}"
+    return (f"(CASE WHEN {tail(3)} = 'thther.example.org' THEN {tail(3)} "
+            f"WHEN {tail(2)} = 'example.org' AND {some(4)} THEN {tail(4)} WHEN {tail(2)} = 'example.org' AND {some(3)} THEN {O.site_key(url)} "
+            f"WHEN {tail(2)} = 'example.net' AND {some(3)} THEN {tail(3)} WHEN {tail(2)} = 'example.net' THEN {O.site_key(url)} "
+            f"WHEN {tail(1)} IN ('com', 'net', 'org') AND {some(2)} THEN {tail(2)} ELSE {O.site_key(url)} END)")
+
+
+@query("site_key_rules", O.with_views(f"SELECT seq, url, {_suffix_key('url')} AS registered_domain FROM site_pages", "site_pages"))
+def q_site_key_rules(spark, sf_dir):
+    """C6 by plain, wildcard and exception rules."""
+    return R.registered_domain(FX.site_pages(spark, sf_dir).select("seq", "url"), "url", FX.suffix_rules(spark))
+
+
+@query("manifest_registered", O.with_views("SELECT * FROM manifest", "registry", extra=KEPT_CTE.replace(
+    O.site_key("homepage"), _suffix_key("homepage"))))
+def q_manifest_registered(spark, sf_dir):
+    """C6 in the manifest: sites told apart by their registered domain."""
+    return R.manifest(FX.registry(spark, sf_dir), FX.suffix_rules(spark))
+
+
 @query("safe_key", O.with_views(r"""
 SELECT seq, domain, regexp_replace(domain, '[^A-Za-z0-9._-]', '_', 'g') AS safe_name,
   coalesce(nullif(substring(regexp_replace(domain, '[^A-Za-z0-9._-]', '_', 'g'), 1, 120), ''), 'site') AS crawl_name

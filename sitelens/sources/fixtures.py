@@ -231,3 +231,11 @@ PUBLIC_SUFFIXES = ("com", "net", "org", "fi", "se", "co.uk")
 
 def public_suffix(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in PUBLIC_SUFFIXES], "suffix string")
+
+
+#: Rules of all three kinds over the hosts of the given pages.
+SUFFIX_RULES = ("// rules", "com", "net", "org", "example.net", "*.example.org", "!thther.example.org")
+
+
+def suffix_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in SUFFIX_RULES], "suffix string")

@@ -4,12 +4,15 @@ idempotence of the resume algebra and batch = stream."""
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import requests as RQ
 from sitelens.operators import batches as B
+from sitelens.operators import pages as P
+from sitelens.operators import registry as R
 from sitelens.operators import resume as RS
 from sitelens.operators.ordering import global_ordinal, key_ordinal, key_running_total
 from sitelens.sources.tables import table
@@ -114,6 +117,65 @@ def test_batch_plan_equals_the_serial_fold(spark, max_count, max_size, block):
 
 
 
+def test_batch_plan_at_the_default_limits(spark):
+    """Full batches never fall in step; no task of the composition holds more than two blocks' passages."""
+    rnd = random.Random(5)
+    n = 3 * B.BLOCK + 12_345
+    sizes = [rnd.choice([100, 5000, 9000, 20_000]) for _ in range(n)]
+    df = spark.createDataFrame(pd.DataFrame({"ordinal": range(n), "size": sizes}))
+    got = {r.ordinal: r.batch_no for r in B.plan_batches(df).collect()}
+    assert [got[i] for i in range(n)] == serial_next_fit(sizes, B.RQ.MAX_PER_BATCH, B.RQ.MAX_BYTES_PER_BATCH)
+    counted = spark.createDataFrame(pd.DataFrame({"ordinal": range(n), "size": 1}))
+    assert {(r.batch_no, r.n) for r in B.plan_batches(counted).groupBy("batch_no").agg(F.count("*").alias("n")).collect()} == \
+        {(k, min(20_000, n - k * 20_000)) for k in range(-(-n // 20_000))}
+
+
+def test_composed_passages(spark):
+    left = pd.DataFrame({"block": 4, "entry": [40, 43], "leave": [50, 53]})
+    right = pd.DataFrame({"block": 5, "entry": [50, 52, 53], "leave": [60, 61, 61]})
+    got = B._composed(pd.concat([right, left]))
+    assert got.values.tolist() == [[2, 40, 60], [2, 43, 61]]
+    assert B._composed(left).values.tolist() == [[2, 40, 50], [2, 43, 53]]
+
+
+def brute_registered(host, rules):
+    labels = host.split(".")
+    found = []
+    for r in rules:
+        exception, parts = r.startswith("!"), r.lstrip("!").split(".")
+        if len(parts) <= len(labels) and all(p in ("*", x) for p, x in zip(parts[::-1], labels[::-1])):
+            found.append((exception, len(parts)))
+    if not found:
+        return None
+    exception, size = max(found)
+    size -= exception
+    return ".".join(labels[-size - 1:]) if len(labels) > size else None
+
+
+def test_public_suffix_rules(spark):
+    rnd = random.Random(6)
+    names = ["a", "b", "uk", "co", "ck", "www", "jp", "kobe"]
+    rules = ["uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!a.kobe.jp", "b.co.uk"]
+    hosts = sorted({".".join(rnd.choice(names) for _ in range(rnd.randint(1, 5))) for _ in range(400)}) + ["10.0.0.1"]
+    urls = spark.createDataFrame([(f"https://{h.upper()}:8080/x?{i}", h) for i, h in enumerate(hosts)], "url string, host string")
+    listed = spark.createDataFrame([(r,) for r in ["// comment", "", " UK  comment", *rules[1:-1], ".b.co.uk"]], "suffix string")
+    for r in R.registered_domain(urls, "url", listed).collect():
+        assert r.registered_domain == (brute_registered(r.host, rules) or r.host.removeprefix("www.")), r.host
+
+
+def test_links_and_companies_by_registered_domain(spark):
+    rules = spark.createDataFrame([("fi",), ("co.uk",)], "suffix string")
+    page = "<body><a href='http://shop.firma.fi/a'>x</a><a href='http://firma.fi/b'>y</a><a href='http://other.fi/c'>z</a></body>"
+    pages = spark.createDataFrame([(1, "http://www.firma.fi/", "firma.fi", page)], "seq long, url string, domain string, html string")
+    links = lambda s: sorted(r.url for r in P.first_level_links(P.homepages(pages), pages, suffixes=s).collect())
+    assert links(rules) == ["http://firma.fi/b", "http://shop.firma.fi/a"] and links(None) == ["http://firma.fi/b"]
+    rows = [(1, "1", "n", "http://shop.firma.fi", None, "r"), (2, "2", "m", "www.firma.fi", None, "r"), (3, "3", "k", "x.co.uk", None, "r")]
+    c = spark.createDataFrame(rows, "seq long, business_id string, name string, website string, company_form string, status string")
+    for made in (R.manifest(c, rules), R.company_site(c, suffixes=rules)):
+        got = sorted((r.seq, r.domain, r.shared_site) for r in made.collect())
+        assert got == [(1, "firma.fi", False), (2, "firma.fi", True), (3, "x.co.uk", False)]
+
+
 def test_resume_idempotent(spark):
     todo = spark.createDataFrame([(f"d{i}", i) for i in range(50)], "domain string, seq long")
     done = spark.createDataFrame([("d1",), ("d2",)], "domain string")
