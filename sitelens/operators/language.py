@@ -1,123 +1,95 @@
-"""Language identification (O1) as a Spark job: a character-trigram naive
-Bayes model trained on labelled text.
-
-Training counts the trigrams of whole texts per language (map-side in each
-task) and gives add-one log-probabilities.  A text's sample is scored in its
-row: every language gets ``sum(logp - logp_unseen) + grams * logp_unseen``; the
-best score wins (ties by language code); no known gram -> null ("unknown").
-
-The model travels with the tasks while it has at most ``MAX_MODEL_ROWS`` rows
-(checked); a larger one is joined to the texts' grams instead, with the same
-scores.
+"""Language identification (O1) in the JVM: naive Bayes over 1- to 3-character
+substrings hashed into a fixed number of buckets.
+
+Training counts the buckets of whole texts per language (partial sums in each
+task).  Every bucket that occurs gets one row of add-one log-probabilities, one
+number a language; a bucket that never occurs has the same probability in all
+texts of a language, known from its total.  A text's grams meet the weights by
+bucket and are summed per row: at most ``BUCKETS`` rows, so the optimizer may send
+them to the tasks, whatever the corpus.  The best score wins (ties: the smaller
+code); a text without any gram that occurred gives null ("unknown").
+
+Everything is expressions and joins: no Python worker runs.  Texts are cut into
+overlapping pieces first, because reading a character of a long string costs its
+position.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.bind import let
 from sitelens.functions.text import trim_ws
 
 SAMPLE_CHARS = 5000
-MAX_MODEL_ROWS = 1_000_000
-_BITS, _MASK = 21, (1 << 21) - 1
+#: A prime, and the factors of a gram's three characters and its size (fixed values of our hash).
+BUCKETS = 262_139
+FACTORS, SIZE_FACTOR = (73_856_093, 19_349_663, 83_492_791), 50_331_653
+#: Positions of one piece; it holds two characters more.
+PIECE = 64
 
 
-def sample(text, sample_chars: int = SAMPLE_CHARS):
-    """The text to be detected: its first characters, lower-cased."""
-    return F.lower(F.substring(trim_ws(text), 1, sample_chars))
+@dataclass(frozen=True)
+class LanguageModel:
+    """``weights``: (bucket, w) with ``w[i]`` the gain of ``languages[i]`` over an unseen bucket;
+    ``unseen[i]``: the log-probability of one."""
 
+    languages: list[str]
+    unseen: list[float]
+    weights: DataFrame
 
-def trigrams(s) -> F.Column:
-    """All overlapping 3-character substrings of ``s`` as an array, built in
-    linear time: the characters are split once and zipped with their shifted
-    copies."""
-    def grams(c):
-        pairs = F.zip_with(c, F.slice(c, 2, F.size(c)), lambda a, b: F.concat(a, b))
-        triples = F.zip_with(pairs, F.slice(c, 3, F.size(c)), lambda ab, x: F.concat(ab, x))
-        return F.filter(triples, lambda g: g.isNotNull())
-    return let(F.split(s, ""), grams)
 
-
-def gram_codes(text: str) -> np.ndarray:
-    """Each trigram as one integer of three code points."""
-    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-    return (c[:-2] << (2 * _BITS)) | (c[1:-1] << _BITS) | c[2:]
+def sample(text, sample_chars: int = SAMPLE_CHARS) -> Column:
+    """The text to be detected: its first characters, lower-cased."""
+    return F.lower(F.substring(trim_ws(text), 1, sample_chars))
 
 
-def _gram(code: int) -> str:
-    return chr(code >> (2 * _BITS)) + chr(code >> _BITS & _MASK) + chr(code & _MASK)
+def buckets(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep`` and ``bucket`` of every substring of 1 to 3 characters of column ``text``; a row whose
+    text is null or empty stays with a null bucket."""
+    piece = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))
+    x = df.select(*keep, F.explode_outer(piece).alias("_p"))
+    size = F.char_length("_p")
+    x = x.select(*keep, "_p", size.alias("_n"), F.explode_outer(F.when(size > 0, F.sequence(F.lit(1), F.least(size, F.lit(PIECE))))).alias("_i"))
+    a, b, c = (F.ascii(F.substr("_p", F.col("_i") + k, F.lit(1))).cast("bigint") * f for k, f in enumerate(FACTORS))
+    grams = [F.when(F.col("_i") + k <= F.col("_n"), (v + SIZE_FACTOR * (k + 1)) % BUCKETS) for k, v in enumerate((a, a + b, a + b + c))]
+    x = x.select(*keep, F.explode(F.array(*grams)).alias("bucket"), (F.col("_i").isNull()).alias("_none"))
+    return x.filter(F.col("bucket").isNotNull() | F.col("_none")).drop("_none")
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """Model rows: lang, gram, logp, logp_unseen, from all trigrams of all texts."""
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
+    """The model of all grams of all labelled texts.  The driver gets one row a language."""
     s = labelled.select(F.col(lang).alias("lang"), F.lower(trim_ws(F.col(text))).alias("_s"))
-    s = s.filter(F.col("lang").isNotNull() & (F.length("_s") >= 3))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts: dict[str, list[np.ndarray]] = {}
-            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                texts.setdefault(x, []).append(gram_codes(t))
-            for x, codes in texts.items():
-                code, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * len(code), pa.string()), pa.array([_gram(c) for c in code.tolist()], pa.string()),
-                     pa.array(n.astype(np.int64))], names=["lang", "gram", "cnt"])
-
-    counts = (s.mapInArrow(count, "lang string, gram string, cnt bigint")
-               .groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")))
-    tot = counts.groupBy("lang").agg(F.sum("cnt").alias("_tot"), F.count(F.lit(1)).alias("_k"))
-    denom = (F.col("_tot") + F.col("_k")).cast("double")
-    return counts.join(tot, "lang").select("lang", "gram", F.log((F.col("cnt") + 1) / denom).alias("logp"),
-                                           F.log(F.lit(1.0) / denom).alias("logp_unseen"))
-
-
-def identify(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text",
-             max_model_rows: int = MAX_MODEL_ROWS) -> DataFrame:
-    """Predicted language per document (null when no gram of the model occurs)."""
-    rows = model.limit(max_model_rows + 1).collect()
-    if len(rows) > max_model_rows:
-        return _identify_by_join(docs, model, key, text)
-    langs = sorted({r["lang"] for r in rows})
-    codes = np.array(sorted({int(gram_codes(r["gram"])[0]) for r in rows}), np.int64)
-    gain = np.zeros((len(codes) + 1, len(langs)))
-    known = np.zeros((len(codes) + 1, len(langs)), bool)
-    unseen = np.zeros(len(langs))
-    for r in rows:
-        at, x = int(np.searchsorted(codes, gram_codes(r["gram"])[0])), langs.index(r["lang"])
-        gain[at, x], known[at, x], unseen[x] = r["logp"] - r["logp_unseen"], True, r["logp_unseen"]
-
-    def best(t: str) -> str | None:
-        g = gram_codes(t) if t and len(t) >= 3 else np.zeros(0, np.int64)
-        if not len(g) or not len(codes):
-            return None
-        at = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
-        at = np.where(codes[at] == g, at, len(codes))
-        score = np.where(known[at].any(0), gain[at].sum(0) + len(g) * unseen, -np.inf)
-        return langs[int(score.argmax())] if np.isfinite(score.max()) else None
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = pa.array([best(t) for t in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), got], names=[key, "lang_id"])
-
-    s = docs.select(key, sample(F.col(text)).alias("_s"))
-    return s.mapInArrow(score, f"`{key}` {s.schema[key].dataType.simpleString()}, lang_id string")
-
-
-def _identify_by_join(docs: DataFrame, model: DataFrame, key: str, text: str) -> DataFrame:
-    s = docs.select(key, sample(F.col(text)).alias("_s")).filter(F.length("_s") >= 3)
-    totals = s.select(key, (F.length("_s") - 2).alias("_n"))
-    g = s.select(key, F.explode(trigrams(F.col("_s"))).alias("gram"))
-    part = g.join(model, "gram").groupBy(key, "lang").agg(F.sum(F.col("logp") - F.col("logp_unseen")).alias("_s"),
-                                                          F.first("logp_unseen").alias("_u"))
-    scored = part.join(totals, key).withColumn("score", F.col("_s") + F.col("_n") * F.col("_u"))
-    # highest score, ties broken by the smaller language code
-    won = scored.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("lang_id"))
-    return docs.select(key).join(won, key, "left")
+    s = s.filter(F.col("lang").isNotNull() & (F.length("_s") > 0))
+    counts = buckets(s, "_s", "lang").groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    total = {r["lang"]: r["n"] for r in s.groupBy("lang").agg(F.sum(_grams(F.char_length("_s"))).alias("n")).collect()}
+    languages = sorted(total)
+    each = [F.max(F.when(F.col("lang") == x, F.col("n"))) for x in languages]
+    # log((n + 1) / (total + buckets)) less that of n = 0
+    gain = [F.log1p(F.coalesce(n, F.lit(0)).cast("double")) for n in each]
+    weights = counts.groupBy("bucket").agg(F.array(*gain).alias("w") if gain else F.array().cast("array<double>").alias("w"))
+    unseen = [-math.log(total[x] + BUCKETS) for x in languages]
+    return LanguageModel(languages, unseen, weights)
+
+
+def _grams(n) -> Column:
+    """How many grams a text of ``n`` characters has."""
+    return F.greatest(n, F.lit(0)) + F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))
+
+
+def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, lang_id)``, one row a document (null when no gram of the model occurs)."""
+    if not model.languages:
+        return docs.select(key, F.lit(None).cast("string").alias("lang_id"))
+    s = docs.select(F.monotonically_increasing_id().alias("_row"), key, sample(F.col(text)).alias("_s"))
+    s = s.withColumn("_of", _grams(F.coalesce(F.char_length("_s"), F.lit(0))))
+    known = buckets(s, "_s", "_row", key, "_of").join(model.weights, "bucket", "left")
+    sums = [F.sum(F.col("w")[i]).alias(f"_{i}") for i in range(len(model.languages))]
+    scored = known.groupBy("_row", key, "_of").agg(*sums)
+    scores = F.array(*[F.col(f"_{i}") + F.col("_of") * F.lit(u) for i, u in enumerate(model.unseen)])
+    best = F.array_position(scores, F.array_max(scores)).cast("int")
+    names = F.array(*[F.lit(x) for x in model.languages])
+    return scored.select(key, F.when(F.col("_0").isNotNull(), F.element_at(names, best)).alias("lang_id"))

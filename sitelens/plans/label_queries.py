@@ -190,20 +190,27 @@ def _sample_sql(e: str) -> str:
     return f"lower(substring({O.trim_ws(e)}, 1, {LG.SAMPLE_CHARS}))"
 
 
+def _grams_sql(source: str, key: str) -> str:
+    """Buckets of all substrings of 1 to 3 characters of ``s``, character by character."""
+    a, b, c = LG.FACTORS
+    code = lambda k: f"unicode(substring(s, i + {k}, 1))"
+    parts = ((0, f"{code(0)} * {a}"), (1, f"{code(0)} * {a} + {code(1)} * {b}"), (2, f"{code(0)} * {a} + {code(1)} * {b} + {code(2)} * {c}"))
+    return " UNION ALL ".join(
+        f"SELECT {key}, (CAST({e.replace(' * ', '::BIGINT * ')} AS BIGINT) + {LG.SIZE_FACTOR * (k + 1)}) % {LG.BUCKETS} AS bucket "
+        f"FROM {source}, LATERAL (SELECT unnest(range(1, length(s) + 1 - {k})) AS i)" for k, e in parts)
+
+
 LANGID_CTE = f"""whole AS (SELECT lang, lower({O.trim_ws('text')}) AS s FROM documents WHERE lang IS NOT NULL),
-top AS (SELECT lang, substring(s, i, 3) AS gram, count(*) AS cnt FROM whole,
-  LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i) WHERE length(s) >= 3 GROUP BY 1, 2),
+top AS (SELECT lang, bucket, count(*) AS cnt FROM ({_grams_sql('whole', 'lang')}) GROUP BY 1, 2),
+tot AS (SELECT lang, sum(cnt) AS t FROM top GROUP BY lang),
+seen AS (SELECT DISTINCT bucket FROM top),
 samp AS (SELECT doc_id, {_sample_sql('text')} AS s FROM documents),
-grams AS (SELECT doc_id, substring(s, i, 3) AS gram FROM samp, LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i)
-  WHERE length(s) >= 3),
-tot AS (SELECT lang, sum(cnt) AS t, count(*) AS k FROM top GROUP BY lang),
-model AS (SELECT top.lang, top.gram, ln((top.cnt + 1) / CAST(tot.t + tot.k AS DOUBLE)) AS logp,
-  ln(1.0 / CAST(tot.t + tot.k AS DOUBLE)) AS logp_unseen FROM top JOIN tot USING (lang)),
-dcounts AS (SELECT doc_id, gram, count(*) AS cnt FROM grams GROUP BY doc_id, gram),
-dtot AS (SELECT doc_id, sum(cnt) AS n FROM dcounts GROUP BY doc_id),
-part AS (SELECT c.doc_id, m.lang, sum(c.cnt * (m.logp - m.logp_unseen)) AS s, any_value(m.logp_unseen) AS u
-  FROM dcounts c JOIN model m USING (gram) GROUP BY c.doc_id, m.lang),
-scored AS (SELECT p.doc_id, p.lang, p.s + t.n * p.u AS score FROM part p JOIN dtot t USING (doc_id)),
+grams AS (SELECT doc_id, bucket, count(*) AS cnt FROM ({_grams_sql('samp', 'doc_id')}) GROUP BY 1, 2),
+many AS (SELECT doc_id, sum(cnt) AS n FROM grams GROUP BY doc_id),
+hit AS (SELECT DISTINCT doc_id FROM grams JOIN seen USING (bucket)),
+part AS (SELECT g.doc_id, m.lang, sum(g.cnt * ln(m.cnt + 1)) AS s FROM grams g JOIN top m USING (bucket) GROUP BY g.doc_id, m.lang),
+scored AS (SELECT h.doc_id, t.lang, coalesce(p.s, 0) - m.n * ln(t.t + {LG.BUCKETS}) AS score
+  FROM hit h JOIN many m USING (doc_id) JOIN tot t ON true LEFT JOIN part p ON p.doc_id = h.doc_id AND p.lang = t.lang),
 best AS (SELECT doc_id, lang AS lang_id FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)"""
 
 

@@ -191,16 +191,48 @@ def test_verdict_truthiness(spark):
     assert [got[i] for i in range(len(bodies))] == list(bodies.values())
 
 
-def test_language_scores_agree_with_and_without_a_travelling_model(spark):
+def brute_language(train, texts):
+    import math
+    from collections import Counter
+
+    from sitelens.operators import language as LG
+
+    def grams(t):
+        t = (t or "").strip().lower()
+        return Counter((sum(ord(c) * f for c, f in zip(t[i:i + n], LG.FACTORS)) + LG.SIZE_FACTOR * n) % LG.BUCKETS
+                       for n in (1, 2, 3) for i in range(len(t) - n + 1))
+
+    counts = {}
+    for lang, t in train:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    counts = {k: v for k, v in counts.items() if v}
+    seen = set().union(*counts.values())
+    for t in texts:
+        g = grams((t or "").strip()[:LG.SAMPLE_CHARS])
+        score = {x: sum(n * math.log((c[b] + 1) / (sum(c.values()) + LG.BUCKETS)) for b, n in g.items()) for x, c in counts.items()}
+        yield min(score, key=lambda x: (-score[x], x)) if seen & set(g) else None
+
+
+def test_language_labels_equal_brute_force(spark):
+    import random
+    import re
+
     from sitelens.operators import language as LG
-    train = spark.createDataFrame([("en", "the cat and the dog"), ("fi", "kissa ja koira ja talo"), (None, "xx yy"), ("en", None)],
-                                  "lang string, text string")
-    docs = spark.createDataFrame([(1, "The dog"), (2, "koira talo"), (3, "qqq zzz"), (4, None), (5, ""), (6, "ab")],
-                                 "doc_id int, text string")
-    model = LG.train(train)
-    fast = {r.doc_id: r.lang_id for r in LG.identify(docs, model).collect()}
-    joined = {r.doc_id: r.lang_id for r in LG.identify(docs, model, max_model_rows=0).collect()}
-    assert fast == joined == {1: "en", 2: "fi", 3: None, 4: None, 5: None, 6: None}
+    rng = random.Random(4)
+    vocabulary = {"en": "the cat and dog was here with", "fi": "kissa ja koira talo yö äiti", "xx": "日本 語 \U0001F600 ß"}
+    train = [(x, " ".join(rng.choice(w.split()) for _ in range(40))) for x, w in vocabulary.items() for _ in range(5)]
+    train += [(None, "qqq zzz"), ("en", None), ("zz", " "), ("en", "")]
+    texts = ["The dog", "koira talo", "QQQ ZZZ", None, "", "  ", "ab", "日", "x" * 200 + " the cat", "the " * 3000 + "talo " * 3000, "the dog", "the dog"]
+    texts += [" ".join(rng.choice(" ".join(vocabulary.values()).split()) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    model = LG.train(spark.createDataFrame(train, "lang string, text string"))
+    out = LG.identify(spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id int, text string"), model)
+    got = sorted((r.doc_id, r.lang_id or "") for r in out.collect())  # ids repeat, rows stay apart
+    assert got == sorted((i // 2, x or "") for i, x in enumerate(brute_language(train, texts)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("EvalPython|InPandas|InArrow|ArrowEval", plan)
+    none = LG.train(spark.createDataFrame([], "lang string, text string"))
+    assert [r.lang_id for r in LG.identify(spark.createDataFrame([(1, "a")], "doc_id int, text string"), none).collect()] == [None]
 
 
 def test_shared_folder_is_never_machine_local_on_a_cluster():
