@@ -10,6 +10,7 @@ from sitelens.plans import oracle as O
 from sitelens.plans.catalog import query
 from sitelens.plans.page_queries import REACH_EXTRA, _reach
 from sitelens.session import shared_path
+from sitelens.sources import append_log as AL
 from sitelens.sources import files as FS
 from sitelens.sources import fixtures as FX
 
@@ -126,3 +127,50 @@ def classify_work(spark, sf_dir):
 def q_preferred_source(spark, sf_dir):
     w = classify_work(spark, sf_dir)
     return w.select("domain", "seq", "source", F.length("text").cast("bigint").alias("text_chars"))
+
+
+LOG_SCHEMA = "seq bigint, domain string, ok string, reason string, chars bigint"
+
+
+def outcome_log(spark, sf_dir):
+    """Scrape outcomes appended by three runs: odd rows, even rows with retries of every fifth,
+    and a run that was killed before its commit.  The second run is sent twice."""
+    log = shared_path(spark, "outcomes")
+    rows = FX.scrape_log(spark, sf_dir)
+    retries = FX.done_log(spark, sf_dir).withColumn("reason", F.lit("retry"))
+    AL.append(rows.filter("seq % 2 = 1"), log, "first")
+    for _ in range(2):
+        AL.append(rows.filter("seq % 2 = 0 and seq % 5 <> 0").unionByName(retries), log, "second")
+    AL.write_run(rows, log, "killed")
+    return AL.read(spark, log, LOG_SCHEMA)
+
+
+LOGGED_CTE = """logged AS (SELECT seq, domain, ok, reason, chars, 1 AS log_seq FROM scrape_log WHERE seq % 2 = 1
+  UNION ALL SELECT seq, domain, ok, CASE WHEN seq % 5 = 0 THEN 'retry' ELSE reason END, chars, 2 FROM scrape_log WHERE seq % 2 = 0 OR seq % 5 = 0)"""
+
+
+@query("append_log", O.with_views("SELECT seq, domain, ok, reason, chars, CAST(log_seq AS BIGINT) AS log_seq FROM logged",
+                                  "scrape_log", extra=LOGGED_CTE))
+def q_append_log(spark, sf_dir):
+    return outcome_log(spark, sf_dir).select("seq", "domain", "ok", "reason", "chars", "log_seq")
+
+
+@query("log_latest", O.with_views("""SELECT domain, ok, reason, chars FROM logged
+QUALIFY row_number() OVER (PARTITION BY domain ORDER BY log_seq DESC, seq DESC) = 1""", "scrape_log", extra=LOGGED_CTE))
+def q_log_latest(spark, sf_dir):
+    """G3 over the log: the last outcome of each domain, by run."""
+    return AL.latest(outcome_log(spark, sf_dir), "domain", "seq").select("domain", "ok", "reason", "chars")
+
+
+@query("status_log", O.with_views("""SELECT DISTINCT concat('d', CAST(r.domain_id AS VARCHAR), '.example') AS domain FROM batch_requests_log r
+WHERE r.batch_id IN (SELECT batch_id FROM manifest_status_log GROUP BY batch_id HAVING arg_max(status, event_seq) <> 'collected')""",
+    "batch_requests_log", "manifest_status_log"))
+def q_status_log(spark, sf_dir):
+    """Batches submitted, then collected, as events of a log; what is in flight (E3) by their last."""
+    log = shared_path(spark, "status")
+    events = FX.manifest_status_log(spark, sf_dir)
+    for no, status in ((1, "submitted"), (2, "collected")):
+        AL.append_status(events.filter(F.col("event_seq") == no).select("batch_id"), log, f"run-{no}", status)
+    req = FX.batch_requests_log(spark, sf_dir).withColumn(
+        "domain", F.concat(F.lit("d"), F.col("domain_id").cast("string"), F.lit(".example")))
+    return RS.in_flight(req, AL.status_events(spark, log))
