@@ -3,15 +3,19 @@
 A page becomes the sequence of its leaf blocks: runs of text between block-level
 tags, in page order, with character references decoded and white space turned
 into single spaces.  Each block has features from its ancestors (tags, words of
-class, id and role) and its text (length, share of linked characters, sentence
-marks).  A chain with two labels (main text or not) scores block features and
+class, id and role), its text (length, share of linked characters, sentence
+marks) and its place in the page (how near it stands to the element that holds
+most of the unlinked text, how linked its surroundings are, before or after the
+main heading).  A chain with two labels (main text or not) scores block features and
 label changes; it is trained on labelled pages by gradient steps on the
 conditional log-likelihood (forward-backward), and the best labelling of a page
 is found by Viterbi.  Kept blocks are joined by blank lines.
 
 The labelled pages come from :func:`labelled_pages`: page layouts composed by
 rule (menus, banners, adverts, forms, sidebars, comments around articles in
-many containers) whose blocks carry their label by construction.
+many containers and styles: paragraphs, plain divs, tables, lists of links and
+definitions, preformatted text, a single block) whose blocks carry their label by
+construction.
 
 Pages are independent: parsing and decoding run where the page is, whole, with
 memory for one batch.  Defined cases: a null or blank page has no text;
@@ -51,6 +55,8 @@ BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th section article "
     "header footer nav aside main form fieldset legend blockquote pre figure figcaption address hr details summary "
     "menu center option dialog hgroup search".split())
+#: Their elements are closed by a slash.
+FOREIGN = frozenset(("svg", "math"))
 #: Opening a tag closes these open siblings, up to the container that bounds them.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -60,7 +66,7 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    path: tuple[tuple[str, tuple[str, ...], int], ...]  # tag, words of its names, number of the element
     linked: int
 
 
@@ -93,8 +99,8 @@ def raw_end(page: str, tag: str, at: int, nested: bool) -> tuple[int, bool]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    hidden = links = 0
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    hidden = links = number = 0
     parts: list[str] = []
     linked = 0
     place: tuple = ()
@@ -141,6 +147,13 @@ def blocks(page: str) -> list[Block]:
         block = tag in BLOCK
         if block:
             flush()
+            if hidden and tag != "option":  # a list of choices left open ends where a block begins or ends
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == "select":
+                        pop(k)
+                        break
+                    if stack[k][0] in BLOCK and stack[k][0] != "option":
+                        break
         if close:
             if tag == "br":
                 parts.append(" ")
@@ -170,8 +183,8 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in bounds:
                     break
-        if attributes.rstrip().endswith("/") and tag not in BLOCK:
-            continue
+        if attributes.endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _, _ in stack)):
+            continue  # elsewhere a slash closes nothing
         if tag in RAW:
             end, nested = raw_end(page, tag, m.end(), nested)
             tokens = TOKEN.finditer(page, end)
@@ -179,22 +192,65 @@ def blocks(page: str) -> list[Block]:
         names = ()
         if "=" in attributes:
             names = tuple(sorted({w.lower() for _, a, b, c in ATTRIBUTE.findall(attributes) for w in NAME.findall(a or b or c)}))
-        stack.append((tag, names))
+        number += 1
+        stack.append((tag, names, number))
         hidden += tag in HIDDEN
         links += tag == "a"
     flush()
     return out
 
 
+def core_levels(page: list[Block]) -> list[int]:
+    """How many levels above the core a block meets it (0: inside).  The core is found from the
+    page down: the child that holds over half of the unlinked text, while it has two blocks."""
+    free = [len(b.text) - b.linked for b in page]
+    ids = [[n for t, _, n in b.path if t in BLOCK] for b in page]
+    inside, core, depth = range(len(page)), [], 0
+    while True:
+        text: dict[int, int] = {}
+        count: dict[int, int] = {}
+        for i in inside:
+            if len(ids[i]) > depth:
+                n = ids[i][depth]
+                text[n] = text.get(n, 0) + free[i]
+                count[n] = count.get(n, 0) + 1
+        best = max(text, key=text.__getitem__, default=None)
+        if best is None or count[best] < 2 or 2 * text[best] <= sum(free[i] for i in inside):
+            break
+        core.append(best)
+        inside = [i for i in inside if len(ids[i]) > depth and ids[i][depth] == best]
+        depth += 1
+    out = []
+    for own in ids:
+        same = 0
+        while same < len(core) and same < len(own) and own[same] == core[same]:
+            same += 1
+        out.append(len(core) - same)
+    return out
+
+
 def features(page: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
     n = len(page)
+    levels = core_levels(page)
+    whole = max(1, sum(len(b.text) - b.linked for b in page))
+    around: dict[int, list[int]] = {}
+    for b in page:
+        for t, _, k in b.path:
+            if t in BLOCK:
+                sums = around.setdefault(k, [0, 0, 0])
+                sums[0] += len(b.text)
+                sums[1] += b.linked
+                sums[2] += 1
+    heading = next((i for i, b in enumerate(page) if any(t == "h1" for t, _, _ in b.path)), None)
     for i, b in enumerate(page):
         words = b.text.count(" ") + 1
-        share = b.linked / max(1, len(b.text))
-        f = {"bias", f"words:{min(7, int(math.log2(words)))}", f"linked:{min(4, int(share * 5))}",
-             f"marks:{min(3, sum(map(b.text.count, '.!?')))}"}
+        share = min(4, int(b.linked / max(1, len(b.text)) * 5))
+        level = min(3, levels[i])
+        f = {"bias", f"words:{min(7, int(math.log2(words)))}", f"linked:{share}",
+             f"marks:{min(3, sum(map(b.text.count, '.!?')))}", f"core:{level}", f"core:{level}:{share}",
+             "h1:" + ("none" if heading is None else "before" if i < heading else "after")}
         if b.text[-1] in ".!?:…\"'»”)":
             f.add("closed")
         if "©" in b.text or "®" in b.text:
@@ -203,9 +259,14 @@ def features(page: list[Block]) -> list[list[str]]:
             f.add("first")
         if i == n - 1:
             f.add("last")
+        holders = [k for t, _, k in b.path if t in BLOCK]
+        group = next((around[k] for k in reversed(holders) if around[k][2] > 1), None)
+        if group:  # the smallest element that holds other blocks too
+            f.add(f"group:{min(4, int(group[1] / max(1, group[0]) * 5))}")
+            f.add(f"size:{min(4, int((group[0] - group[1]) / whole * 5))}")
         if b.path:
-            f.add("in:" + next((t for t, _ in reversed(b.path) if t in BLOCK), "body"))
-        for tag, names in b.path:
+            f.add("in:" + next((t for t, _, _ in reversed(b.path) if t in BLOCK), "body"))
+        for tag, names, _ in b.path:
             if tag in BLOCK and tag not in ("html", "body"):
                 f.add("under:" + tag)
             f.update("name:" + w for w in names)
@@ -289,10 +350,15 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate
 
 # --- labelled pages -------------------------------------------------------------
 
-def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
+#: How an article is written, and in what it stands.
+STYLES = ("paragraphs", "divs", "links", "table", "definitions", "preformatted", "single")
+PLAIN = ("", "txt", "inner", "col", "box", "c1", "wrap", "left", "container")
+
+
+def labelled_pages(count: int = 480, seed: int = 5, styles: tuple[str, ...] = STYLES) -> list[tuple[str, list[int]]]:
     """Pages composed by rule, with the label of each leaf block."""
     rng = random.Random(seed)
-    return [_page(rng) for _ in range(count)]
+    return [_page(rng, styles) for _ in range(count)]
 
 
 def _words(rng: random.Random, low: int, high: int) -> str:
@@ -303,7 +369,8 @@ def _sentences(rng: random.Random, low: int, high: int) -> str:
     return " ".join(_words(rng, 3, 18).capitalize() + rng.choice("...!?") for _ in range(rng.randint(low, high)))
 
 
-def _page(rng: random.Random) -> tuple[str, list[int]]:
+def _page(rng: random.Random, styles: tuple[str, ...]) -> tuple[str, list[int]]:
+    style = rng.choice(styles) if rng.random() < 0.6 else "paragraphs" if "paragraphs" in styles else rng.choice(styles)
     parts: list[str] = []
     labels: list[int] = []
 
@@ -359,15 +426,44 @@ def _page(rng: random.Random) -> tuple[str, list[int]]:
             inside(tag, name, lambda: [inside(inner, "comment" if inner != "p" else "", lambda: block(
                 _sentences(rng, 1, 4), 0)) for _ in range(rng.randint(1, 4))])
 
+    def paragraph() -> None:
+        if style == "divs":
+            block(rng.choice(("<div>{}</div>", "<div class=x>{}</div>", "<div>{}<br>")).format(_sentences(rng, 1, 6)), 1)
+            if parts[-1].endswith("<br>"):
+                parts.append("</div>")
+        else:
+            block(rng.choice(("<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<p><b>{}<br>", "<p><em>{}</em></p>"))
+                  .format(_words(rng, 1, 5) + "." if rng.random() < 0.15 else _sentences(rng, 1, 7)), 1)
+
+    def special() -> None:
+        if style == "links":
+            inside("ul", "", lambda: [block(f'<li><a href="/z">{_words(rng, 1, 9)}</a>{rng.choice(("", " " + _words(rng, 1, 6)))}</li>', 1)
+                                      for _ in range(rng.randint(2, 6))])
+        elif style == "table":
+            inside("table", "", lambda: [[parts.append("<tr>"), [block(f"<{t}>{_words(rng, 1, 5)}</{t}>", 1) for t in ("th", "td", "td")],
+                                          parts.append("</tr>")] for _ in range(rng.randint(2, 5))])
+        elif style == "definitions":
+            inside("dl", "", lambda: [[block(f"<dt>{_words(rng, 1, 3)}</dt>", 1), block(f"<dd>{_words(rng, 2, 12)}</dd>", 1)]
+                                      for _ in range(rng.randint(2, 5))])
+        elif style == "preformatted":
+            block(f"<pre>{_words(rng, 2, 8)}\n  {_words(rng, 2, 30)}</pre>", 1)
+        else:
+            paragraph()
+
     def article() -> None:
         def fill():
+            if style == "single":
+                block(rng.choice(("<p>{}</p>", "<pre>{}</pre>", "{}", "<div>{}</div>")).format(
+                    rng.choice((_words(rng, 2, 9), _sentences(rng, 1, 2)))), 1)
+                return
             if rng.random() < 0.85:
                 block(f"<h1>{_words(rng, 2, 12)}</h1>", 1)
             for _ in range(rng.randint(1, 9)):
                 k = rng.random()
-                if k < 0.68:
-                    block(rng.choice(("<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<p><b>{}<br>", "<p><em>{}</em></p>"))
-                          .format(_words(rng, 1, 5) + "." if rng.random() < 0.15 else _sentences(rng, 1, 7)), 1)
+                if k < 0.18:
+                    special()
+                elif k < 0.68:
+                    paragraph()
                 elif k < 0.78:
                     block(f"<h2>{_words(rng, 1, 8)}</h2>", 1)
                 elif k < 0.88:
@@ -378,35 +474,39 @@ def _page(rng: random.Random) -> tuple[str, list[int]]:
                     block(f'<p>{_sentences(rng, 1, 2)} <a href="/y">{_words(rng, 1, 3)}</a> {_sentences(rng, 1, 2)}</p>', 1)
                 if rng.random() < 0.06:
                     noise("ad")
-        tag, name = rng.choice((("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article body"),
-                                ("div", "entry-content"), ("section", "story"), ("div", "post"), ("div", "main text")))
+        named = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article body"),
+                 ("div", "entry-content"), ("section", "story"), ("div", "post"), ("div", "main text"))
+        # one block tells by its container only; longer articles also stand in containers that tell nothing
+        tag, name = rng.choice(named) if style == "single" or rng.random() < 0.65 else ("div", rng.choice(PLAIN))
         inside(tag, name, fill)
 
+    bare = rng.random() < (0.5 if style == "single" else 0.15)  # no header, menu or footer
+    alone = bare and rng.random() < 0.5  # nothing else at all
     parts.append('<!DOCTYPE html><html lang="xx"><head><meta charset="utf-8"><title>t</title><style>p{a:b}</style>'
                  '<script>var t="</p>";</script></head><body>')
-    if rng.random() < 0.35:
+    if not bare and rng.random() < 0.35:
         inside(*rng.choice((("header", ""), ("header", "site-header"), ("div", "header"))),
                lambda: (block(f"<div>{_words(rng, 1, 4)}</div>", 0), menu() if rng.random() < 0.5 else None))
-    if rng.random() < 0.85:
+    if not bare and rng.random() < 0.9:
         menu()
     for kind in ("notice", "ad", "form"):
-        if rng.random() < (0.6 if kind == "ad" else 0.25):
+        if not alone and rng.random() < (0.6 if kind == "ad" else 0.25):
             noise(kind)
-    before = rng.random() < 0.3
+    before = not alone and rng.random() < 0.3
     if before:
         noise("sidebar")
     wrapper = rng.random() < 0.3
     if wrapper:
-        parts.append(rng.choice(('<div class="wrapper">', '<div id="page">', "<div>", '<main id="main">')))
+        parts.append(rng.choice(('<div class="wrapper">', '<div id="page">', "<div>", '<main id="main">', "<div id=wrap>", "<div class=outer>")))
     article()
     for kind in ("ad", "comments", "form", "notice"):
-        if rng.random() < 0.25:
+        if not alone and rng.random() < 0.25:
             noise(kind)
     if wrapper:
         parts.append("</div>")
-    if not before and rng.random() < 0.3:
+    if not before and not alone and rng.random() < 0.3:
         noise("sidebar")
-    if rng.random() < 0.9:
+    if not bare and rng.random() < 0.9:
         tag, name = rng.choice((("footer", ""), ("footer", ""), ("footer", "site-footer"), ("div", "footer")))
         inside(tag, name, lambda: (block(f"<p>{rng.choice(('&copy; ', ''))}{_sentences(rng, 1, 3)}</p>" if rng.random() < 0.5 else
                                          f"{rng.choice(('&copy; ', ''))}{_sentences(rng, 1, 3)}", 0),
@@ -416,10 +516,10 @@ def _page(rng: random.Random) -> tuple[str, list[int]]:
     return "".join(parts), labels
 
 
-def fitted(count: int = 240, seed: int = 5) -> Chain:
+def fitted(count: int = 480, seed: int = 5, styles: tuple[str, ...] = STYLES) -> Chain:
     """The chain trained on the labelled pages (a few seconds, on the driver)."""
     data = []
-    for page, labels in labelled_pages(count, seed):
+    for page, labels in labelled_pages(count, seed, styles):
         got = blocks(page)
         if len(got) != len(labels):
             raise AssertionError("a labelled page parses into other blocks")
