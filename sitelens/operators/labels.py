@@ -7,7 +7,7 @@ skew-safe ``key_ordinal``; per-class counts are a two-row table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import requests as RQ
@@ -98,6 +98,41 @@ def train_forest(train: DataFrame, vocab_size: int, min_df: float, trees: int =
     return pipe.fit(train.select("doc_id", "text", F.col("label").cast("double").alias("label")))
 
 
+def predictors(docs: DataFrame, label: str = "label", text: str = "text", top: int = 20, min_docs: int = 1) -> DataFrame:
+    """O5 without a model: the ``top`` terms whose presence tells most about a 0/1 label.
+
+    One aggregate of (term, label) with partial sums gives every term's contingency table:
+    ``positive`` and ``negative`` documents that hold it.  ``chi2`` (ties: smaller term) orders
+    them; ``mutual_info`` is in nats; ``share`` is the term's share of positive documents.  Terms
+    of a document count once, no (document, term) table is made, and the top is a TakeOrdered.
+    Rows with a null label are left out; without both labels all scores are 0.
+    """
+    d = docs.filter(F.col(label).isNotNull()).select((F.col(label) == 1).alias("_y"), text)
+    terms = d.select("_y", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), TOKEN_SPLIT))).alias("term"))
+    table = terms.filter(F.col("term") != "").groupBy("term").agg(
+        F.count_if(F.col("_y")).cast("double").alias("a"), F.count_if(~F.col("_y")).cast("double").alias("b"))
+    sizes = d.agg(F.count_if(F.col("_y")).cast("double").alias("p"), F.count_if(~F.col("_y")).cast("double").alias("q"))
+    both = sizes.select(F.struct("p", "q")).scalar()
+    x = table.filter(F.col("a") + F.col("b") >= min_docs).select(
+        "term", "a", "b", (both.getField("p") - F.col("a")).alias("c"), (both.getField("q") - F.col("b")).alias("d"))
+    x = x.withColumn("n", F.col("a") + F.col("b") + F.col("c") + F.col("d"))
+
+    def part(k: str, row: tuple[str, str], col: tuple[str, str]) -> Column:
+        """One cell's k/n * ln(k n / (row col)), 0 for an empty cell."""
+        v, r, c = F.col(k), F.col(row[0]) + F.col(row[1]), F.col(col[0]) + F.col(col[1])
+        return F.when(v > 0, v / F.col("n") * F.log(v * F.col("n") / (r * c))).otherwise(0.0)
+
+    ad, bc = F.col("a") * F.col("d"), F.col("b") * F.col("c")
+    margins = (F.col("a") + F.col("b")) * (F.col("c") + F.col("d")) * (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
+    chi2 = F.coalesce(F.try_divide(F.col("n") * (ad - bc) * (ad - bc), margins), F.lit(0.0))
+    info = (part("a", ("a", "b"), ("a", "c")) + part("b", ("a", "b"), ("b", "d"))
+            + part("c", ("c", "d"), ("a", "c")) + part("d", ("c", "d"), ("b", "d")))
+    out = x.select("term", F.col("a").cast("bigint").alias("positive"), F.col("b").cast("bigint").alias("negative"),
+                   F.round(chi2, 6).alias("chi2"), F.round(info, 9).alias("mutual_info"),
+                   F.round(F.col("a") / (F.col("a") + F.col("b")), 6).alias("share"))
+    return out.orderBy(F.desc("chi2"), "term").limit(top)
+
+
 def feature_importance(model, spark, top: int = 20) -> DataFrame:
     """Global feature importance of the forest joined to the vocabulary."""
     vocab = model.stages[1].vocabulary

@@ -92,6 +92,26 @@ def q_feature_importance(spark, sf_dir):
     return L.feature_importance(model, spark)
 
 
+PREDICTOR_CTE = CORPUS_CTE + f""",
+pt AS (SELECT DISTINCT doc_id, label, unnest(regexp_split_to_array(lower(text), {O.q(L.TOKEN_SPLIT)})) AS term FROM split WHERE split = 'train'),
+tot AS (SELECT CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS p, CAST(count(*) FILTER (WHERE label <> 1) AS DOUBLE) AS q FROM split WHERE split = 'train'),
+cell AS (SELECT term, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE label <> 1) AS DOUBLE) AS b
+  FROM pt WHERE term <> '' GROUP BY term),
+tab AS (SELECT term, a, b, p - a AS c, q - b AS d, p + q AS n FROM cell, tot)"""
+
+
+@query("predictors", O.with_views("""
+SELECT term, CAST(a AS BIGINT) AS positive, CAST(b AS BIGINT) AS negative,
+  round(coalesce(n * (a * d - b * c) * (a * d - b * c) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 0), 6) AS chi2,
+  round((CASE WHEN a > 0 THEN a / n * ln(a * n / ((a + b) * (a + c))) ELSE 0 END) + (CASE WHEN b > 0 THEN b / n * ln(b * n / ((a + b) * (b + d))) ELSE 0 END)
+    + (CASE WHEN c > 0 THEN c / n * ln(c * n / ((c + d) * (a + c))) ELSE 0 END) + (CASE WHEN d > 0 THEN d / n * ln(d * n / ((c + d) * (b + d))) ELSE 0 END), 9) AS mutual_info,
+  round(a / (a + b), 6) AS share
+FROM tab ORDER BY chi2 DESC, term LIMIT 20""", "rater_codes", extra=PREDICTOR_CTE))
+def q_predictors(spark, sf_dir):
+    """The terms of the training split that tell most about the label."""
+    return L.predictors(split(spark, sf_dir).filter(F.col("split") == "train"), top=20)
+
+
 @query("model_accuracy")
 def q_model_accuracy(spark, sf_dir):
     model, s = _forest(spark, sf_dir)
