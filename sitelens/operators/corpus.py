@@ -44,6 +44,32 @@ def symbol_summary(counts: DataFrame) -> DataFrame:
         F.count_if(F.col("chars") == 0).cast("bigint").alias("empty"))
 
 
+#: Rank error of a sketch of size K: about 1.65 % at 200 (99 % of the time), falling as 1/K.
+SKETCH_K = 200
+
+
+def length_sketches(counts: DataFrame, part: list[str], value: str = "chars", k: int = SKETCH_K) -> DataFrame:
+    """F7, mergeable: one quantile sketch (KLL) of ``value`` and the exact count, sum, min and max per
+    partition of the corpus.  The table is a few KB a partition: it is kept beside the data, a new
+    partition adds a row, and :func:`merged_distribution` never reads the corpus again."""
+    v = F.col(value).cast("bigint")
+    return counts.groupBy(*part).agg(
+        F.kll_sketch_agg_bigint(v, k).alias("sketch"), F.count(v).cast("bigint").alias("files"), F.sum(v).alias("total"),
+        F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def merged_distribution(sketches: DataFrame, quantiles=(0.25, 0.5, 0.75, 0.99), keys=()) -> DataFrame:
+    """The distribution over all partitions (or by ``keys``): exact files, mean, min, max and estimated
+    quantiles ``q25``, ``q50`` ... from the merged sketches."""
+    merged = sketches.groupBy(*keys).agg(
+        F.kll_merge_agg_bigint("sketch").alias("_s"), F.sum("files").cast("bigint").alias("files"),
+        F.sum("total").alias("_t"), F.min("least").alias("min_chars"), F.max("most").alias("max_chars"))
+    return merged.select(*keys, "files", F.round(F.try_divide(F.col("_t").cast("double"), F.col("files").cast("double")), 6).alias("mean_chars"),
+                         "min_chars", "max_chars",
+                         *[F.when(F.col("files") > 0, F.kll_sketch_get_quantile_bigint("_s", F.lit(q))).alias(f"q{round(q * 100)}")
+                           for q in quantiles])
+
+
 def text_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text",
                  token_counter=None) -> DataFrame:
     """J1 + J4 + J6 per document: Char_clean, Words_clean, Tokens of the cleaned text.

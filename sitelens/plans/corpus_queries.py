@@ -8,7 +8,8 @@ from sitelens.functions import text as TX
 from sitelens.operators import corpus as C
 from sitelens.plans import oracle as O
 from sitelens.plans.catalog import query
-from sitelens.sources.tables import table
+from sitelens.sources import exports as EX
+from sitelens.sources.tables import landed, table
 
 CONTEXT_LIMIT = 8192
 MAX_INPUT_CHARS = 16000
@@ -65,6 +66,24 @@ def q_symbol_summary(spark, sf_dir):
     return C.symbol_summary(C.symbol_counts(_docs(spark, sf_dir, "text")))
 
 
+SKETCHED = (0.25, 0.5, 0.75, 0.99)
+
+
+@query("length_sketch", f"""SELECT count(*) AS files, round(avg(length(text)), 6) AS mean_chars, CAST(min(length(text)) AS BIGINT) AS min_chars,
+  CAST(max(length(text)) AS BIGINT) AS max_chars, {", ".join(f"true AS q{round(q * 100)}_close" for q in SKETCHED)} FROM documents""")
+def q_length_sketch(spark, sf_dir):
+    """F7 by sketches kept per source and merged: exact totals, and whether each estimated quantile's
+    rank is within 2 % of the one asked for (checked against all lengths)."""
+    counts = _docs(spark, sf_dir, "text", "source").select("source", TX.char_count("text").alias("chars"))
+    merged = C.merged_distribution(landed(C.length_sketches(counts, ["source"]), "sketches"), SKETCHED)
+    ask = merged.select(F.struct(*merged.columns)).scalar()
+    names = [f"q{round(q * 100)}" for q in SKETCHED]
+    ranks = counts.agg(*[F.struct(F.avg((F.col("chars") < ask.getField(n)).cast("double")).alias("low"),
+                                  F.avg((F.col("chars") <= ask.getField(n)).cast("double")).alias("high")).alias(n) for n in names])
+    close = [((F.col(n)["low"] <= q + 0.02) & (F.col(n)["high"] >= q - 0.02)).alias(f"{n}_close") for n, q in zip(names, SKETCHED)]
+    return ranks.select(*[ask.getField(c).alias(c) for c in ("files", "mean_chars", "min_chars", "max_chars")], *close)
+
+
 @query("text_length_summary", f"""
 WITH {LABELS_CTE}, {LENGTHS_CTE},
 long AS (SELECT 'Char_clean' AS variable, Char_clean AS value FROM lengths
@@ -75,6 +94,20 @@ def q_text_length_summary(spark, sf_dir):
     return C.text_length_summary(C.text_lengths(_english(spark, sf_dir)))
 
 
+@query("summary_table", f"""
+WITH {LABELS_CTE}, {LENGTHS_CTE},
+long AS (SELECT 2 AS line_no, 'Char_clean' AS variable, '{EX.DEFINITIONS['Char_clean']}' AS d, Char_clean AS value FROM lengths
+  UNION ALL SELECT 3, 'Words_clean', '{EX.DEFINITIONS['Words_clean']}', Words_clean FROM lengths
+  UNION ALL SELECT 4, 'Tokens', '{EX.DEFINITIONS['Tokens']}', Tokens FROM lengths)
+SELECT 0 AS line_no, concat(rpad('Variable', 13, ' '), rpad('Definition', 43, ' '), '    Mean      Std    Min      Max') AS line
+UNION ALL SELECT 1, repeat('-', 89)
+UNION ALL SELECT line_no, concat(rpad(variable, 13, ' '), rpad(d, 43, ' '), lpad(printf('%.0f', avg(value)), 8, ' '), ' ', lpad(printf('%.0f', stddev_samp(value)), 8, ' '), ' ',
+  lpad(CAST(min(value) AS VARCHAR), 6, ' '), ' ', lpad(CAST(max(value) AS VARCHAR), 8, ' ')) FROM long GROUP BY line_no, variable, d""")
+def q_summary_table(spark, sf_dir):
+    """The text-length summary as lines of a table."""
+    return EX.summary_table(C.text_length_summary(C.text_lengths(_english(spark, sf_dir))))
+
+
 @query("token_estimate", f"""SELECT doc_id, CAST(ceil(length({O.clean_text('text')}) / 4) AS BIGINT) AS tokens
 FROM documents""")
 def q_token_estimate(spark, sf_dir):
