@@ -71,6 +71,29 @@ def q_collect_stream(spark, sf_dir):
                                                                 "text_md5")
 
 
+STEP_ROWS = 1000
+
+
+@query("progress_steps", f"""
+SELECT min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS rows, round(sum(value), 4) AS value_sum, bool_or(handed) AS handed
+FROM (SELECT event_id, value, true AS handed, (row_number() OVER (ORDER BY event_id) - 1) // {STEP_ROWS} AS step FROM events) GROUP BY step""")
+def q_progress_steps(spark, sf_dir):
+    """L3: the counters of every 1000 rows of the ``events`` log, observed as they stream by;
+    ``handed``: a listener was handed the same counters."""
+    base = shared_path(spark, "progress-steps")
+    src = f"{base}/in"
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    events.coalesce(1).sortWithinPartitions("event_id").write.option("maxRecordsPerFile", STEP_ROWS).parquet(src)
+    taken = {}
+    steps = S.observed_steps(
+        spark, src, "event_id long, value double",
+        {"first_id": F.min("event_id"), "last_id": F.max("event_id"), "rows": F.count(F.lit(1)), "value_sum": F.round(F.sum("value"), 4)},
+        f"{base}/checkpoint", f"{base}/out", lambda step, counters: taken.update({step: counters}))
+    handed = spark.createDataFrame([(k, v["rows"]) for k, v in taken.items()], "step long, seen long")
+    return steps.join(handed, "step", "left").select("first_id", "last_id", "rows", "value_sum",
+                                                     F.coalesce(F.col("seen") == F.col("rows"), F.lit(False)).alias("handed"))
+
+
 @query("progress_counters", """SELECT CAST(count(*) AS BIGINT) AS rows, round(sum(value), 4) AS value_sum FROM events""")
 def q_progress_counters(spark, sf_dir):
     """L3: totals of the per micro-batch row counts and value sums over the ``events`` log."""

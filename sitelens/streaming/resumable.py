@@ -19,13 +19,16 @@ L2 can also poll on until nothing is open.
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -174,6 +177,64 @@ def _until_quiet(q: StreamingQuery, wait_s: float | None) -> None:
         time.sleep(0.05)
 
 
+class StepCounters(StreamingQueryListener):
+    """Hands the observed counters of every micro-batch to ``take`` as they come."""
+
+    def __init__(self, name: str, take: Callable[[int, dict], None]) -> None:
+        self.name, self.take = name, take
+        self.ended = threading.Event()  # set after the counters of the last step
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None and event.progress.numInputRows:
+            self.take(event.progress.batchId, row.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def observed_steps(spark: SparkSession, source_dir: str, schema: str, counters: dict[str, Column], checkpoint: str,
+                   out_dir: str, take: Callable[[int, dict], None] | None = None) -> DataFrame:
+    """L3: copy a file stream to ``out_dir`` and count every step of it (one file a step; files of N rows
+    make steps of N rows) without a second pass: the counters are observed on the rows as they
+    go by.  Returns ``step`` and the counters, one row a step, in a table under ``out_dir``; ``take``
+    gets each step's counters as it ends.
+
+    The counters of a step are written with its rows under the step's number, so a step that is
+    repeated after a failure replaces itself.
+    """
+    name = f"steps-{uuid.uuid4().hex[:8]}"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    observed = stream.observe(name, *[c.alias(k) for k, c in counters.items()])
+    listener = StepCounters(name, take) if take else None
+
+    def sink(batch: DataFrame, step: int) -> None:
+        seen = Observation(f"{name}-{step}")
+        batch.observe(seen, *[c.alias(k) for k, c in counters.items()]).write.mode("overwrite").parquet(f"{out_dir}/rows/step={step}")
+        spark.createDataFrame([(step, *[seen.get[k] for k in counters])], kinds).coalesce(1).write.mode("overwrite").parquet(
+            f"{out_dir}/counters/no={step}")
+
+    kinds = T.StructType([T.StructField("step", T.LongType()), *spark.createDataFrame([], schema).agg(
+        *[c.alias(k) for k, c in counters.items()]).schema])
+    if listener:
+        spark.streams.addListener(listener)
+    try:
+        q = observed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if listener:
+            listener.ended.wait(60)  # events come from another thread
+    finally:
+        if listener:
+            spark.streams.removeListener(listener)
+    return spark.read.schema(kinds).parquet(f"{out_dir}/counters/no=*")
+
+
 def progress(spark: SparkSession, source_dir: str, schema: str, value: str, checkpoint: str, out_dir: str,
              max_files_per_trigger: int = 1) -> DataFrame:
     """L3: per micro-batch counters (rows, sum of ``value``).
