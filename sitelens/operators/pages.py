@@ -177,26 +177,28 @@ def reachability(probes: DataFrame, homepages_df: DataFrame | None = None) -> Da
     ``http_<status>``, tls ``ok`` (secure) or ``insecure-retry`` (relaxed).
     Without one the domain failed: reason of the first error, or of the last
     error when the first was a TLS error (quirk q2 kept); tls ``n/a``.
+    ``message``, if the log has one, goes into the reasons that show it (J12).
     A single ``groupBy(domain)`` with partial ``min_by``/``max_by``.
     """
     st = F.col("http_status")
     decisive = st.isNotNull() & ~((F.col("method") == "HEAD") & st.isin(*DEFERRED_HEAD))
     err = F.col("error_kind").isNotNull()
-    p = probes.withColumn("_d", decisive).withColumn("_e", err)
+    message = F.col("message") if "message" in probes.columns else F.lit(None).cast("string")
+    p = probes.withColumn("_d", decisive).withColumn("_e", err).withColumn("_err", F.struct(F.col("error_kind").alias("k"), message.alias("m")))
     big = F.lit(1 << 30)
     g = p.groupBy("domain").agg(
         F.min_by(F.struct("http_status", "ctx"), F.when(F.col("_d"), F.col("attempt_no")).otherwise(big)
                  ).alias("dec"),
         F.max(F.col("_d").cast("int")).alias("has_dec"),
-        F.min_by("error_kind", F.when(F.col("_e"), F.col("attempt_no")).otherwise(big)).alias("first_err"),
-        F.max_by("error_kind", F.when(F.col("_e"), F.col("attempt_no")).otherwise(-big)).alias("last_err"))
+        F.min_by("_err", F.when(F.col("_e"), F.col("attempt_no")).otherwise(big)).alias("first_err"),
+        F.max_by("_err", F.when(F.col("_e"), F.col("attempt_no")).otherwise(-big)).alias("last_err"))
     ok = F.col("has_dec") == 1
     status = F.when(ok, F.col("dec.http_status"))
-    kind = F.when(F.col("first_err") == "tls_error", F.coalesce(F.col("last_err"), F.col("first_err"))) \
-        .otherwise(F.col("first_err"))
+    shown = F.when(F.col("first_err.k") == "tls_error", F.col("last_err")).otherwise(F.col("first_err"))
+    kind = shown["k"]
     reason = (F.when(ok & (status < 400), F.lit("ok"))
               .when(ok, F.concat(F.lit("http_"), status.cast("string")))
-              .when(kind.isNotNull(), failure_reason(kind))
+              .when(kind.isNotNull(), failure_reason(kind, shown["m"]))
               .otherwise(F.lit("no_response")))
     tls = (F.when(ok & (F.col("dec.ctx") == "secure"), F.lit("ok")).when(ok, F.lit("insecure-retry"))
            .otherwise(F.lit("n/a")))

@@ -71,9 +71,11 @@ def has_website(companies: DataFrame) -> DataFrame:
 
 
 def search(companies: DataFrame, name: str | None = None, company_form: str | None = None,
-           status: str | None = None, max_companies: int | None = 200) -> DataFrame:
+           status: str | None = None, max_companies: int | None = 200, location: str | None = None,
+           main_business_line: str | None = None, post_code: str | None = None) -> DataFrame:
     """D5 + H4: optional predicates (null = no filter); name is a case-insensitive
-    substring, the others are equality.  ``max_companies`` caps the result in
+    substring, location a case-insensitive equality, the others are equality (columns
+    ``location``, ``business_line``, ``post_code`` of the companies).  ``max_companies`` caps the result in
     register order (the cap is the feature of the search)."""
     out = companies
     if name is not None:
@@ -82,6 +84,12 @@ def search(companies: DataFrame, name: str | None = None, company_form: str | No
         out = out.filter(F.col("company_form") == company_form)
     if status is not None:
         out = out.filter(F.col("status") == status)
+    if location is not None:
+        out = out.filter(F.lower("location") == location.lower())
+    if main_business_line is not None:
+        out = out.filter(F.col("business_line") == main_business_line)
+    if post_code is not None:
+        out = out.filter(F.col("post_code") == post_code)
     if max_companies:
         out = out.orderBy("seq").limit(max_companies)
     return out

@@ -13,6 +13,8 @@ from sitelens.operators.ordering import first_per_key
 from sitelens.plans import oracle as O
 from sitelens.plans.catalog import query
 from sitelens.plans.registry_queries import KEPT_CTE
+from sitelens.session import shared_path
+from sitelens.sources import exports as EX
 from sitelens.sources import fixtures as FX
 
 LANGS = ("en", "de")
@@ -168,6 +170,23 @@ def q_reachability(spark, sf_dir):
     return _reach(spark, sf_dir).select("domain", "accessible", "status", "reason", "tls", "homepage", "final_url")
 
 
+SAID_CTE = """probe_said AS (SELECT seq, domain, attempt_no, ctx, method, http_status,
+  CASE WHEN error_kind = 'dns_error' AND seq % 12 = 0 THEN 'url_error' WHEN error_kind = 'timeout' THEN 'IncompleteRead' ELSE error_kind END AS error_kind,
+  CASE WHEN error_kind IS NOT NULL THEN concat('cannot reach ', domain, ' after some attempts') END AS message FROM probe_log)"""
+SAID_REACH = REACH_CTE.replace("FROM probe_log)", "FROM probe_said)").replace(
+    "le.error_kind AS last_err", "le.error_kind AS last_err, CASE WHEN fe.error_kind = 'tls_error' THEN le.message ELSE fe.message END AS msg").replace(
+    "THEN 'url_error:'", "THEN concat('url_error:', substring(coalesce(k.msg, ''), 1, 40))").replace(
+    "THEN concat(k.kind, ':')", "THEN concat(k.kind, ':', substring(coalesce(k.msg, ''), 1, 40))")
+
+
+@query("reachability_messages", O.with_views("SELECT domain, accessible, status, reason, tls FROM reach", "site_pages", "probe_log",
+                                             extra=EXTRACT_CTE + ",\n" + SAID_CTE + ",\n" + SAID_REACH))
+def q_reachability_messages(spark, sf_dir):
+    """Reasons with the first 40 characters of the error's message."""
+    out = P.reachability(FX.probe_log_messages(spark, sf_dir), P.homepages(FX.site_pages(spark, sf_dir)))
+    return out.select("domain", "accessible", "status", "reason", "tls")
+
+
 @query("latest_result", O.with_views("""
 SELECT domain, arg_max(attempt_no, attempt_no) AS attempt_no, arg_max(ctx, attempt_no) AS ctx,
   arg_max(method, attempt_no) AS method FROM probe_log GROUP BY domain""", "probe_log"))
@@ -217,6 +236,35 @@ def q_scrape_index(spark, sf_dir):
     return _scrape(spark, sf_dir)
 
 
+@query("scrape_cached", O.with_views("""
+SELECT s.domain, s.url, CASE WHEN h.seq % 3 = 0 THEN s.url ELSE s.final_url END AS final_url, h.seq % 3 = 0 OR s.ok AS ok,
+  CASE WHEN h.seq % 3 = 0 THEN CAST(strlen(h.url) AS BIGINT) ELSE s.chars END AS chars, CASE WHEN h.seq % 3 = 0 THEN 'cached' ELSE s.reason END AS reason
+FROM scrape s JOIN home h USING (domain)""", "site_pages", "probe_log", extra=REACH_EXTRA + ",\n" + SCRAPE_CTE))
+def q_scrape_cached(spark, sf_dir):
+    """M3 with texts on file: a third of the domains is reported as cached with its stored size."""
+    pages = FX.site_pages(spark, sf_dir)
+    cached = P.homepages(pages).filter("seq % 3 = 0").select("domain", F.octet_length("url").cast("bigint").alias("chars"))
+    return P.scrape_index(pages, _reach(spark, sf_dir), cached)
+
+
+@query("site_documents", O.with_views("""
+SELECT m.domain, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts, CAST(m.n AS INTEGER) AS n_companies, m.first_id, s.homepage,
+  s.main_title, CAST(s.main_chars AS BIGINT) AS main_chars, s.subpage_count, s.site_error
+FROM (SELECT domain, count(*) AS n, arg_min(business_id, seq) AS first_id FROM manifest GROUP BY domain) m LEFT JOIN (
+  SELECT domain, homepage, main_title, main_chars, subpage_count, nullif(site_error, '') AS site_error FROM site_result) s USING (domain)""",
+    "site_pages", "registry", extra=SITE_EXTRA + "," + KEPT_CTE))
+def q_site_documents(spark, sf_dir):
+    """A document a site with its companies and pages, written as JSON lines and read again."""
+    pages = FX.site_pages(spark, sf_dir)
+    sites = EX.nested_sites(P.site_page_rows(pages), P.site_results(pages))
+    path = shared_path(spark, "site-documents")
+    EX.write_site_documents(EX.site_documents(R.manifest(FX.registry(spark, sf_dir)), sites), path)
+    d = spark.read.schema(EX.SITE_DOCUMENT).json(path)
+    return d.select("domain", "part", "n_parts", F.size("companies").alias("n_companies"), F.col("companies")[0]["businessId"].alias("first_id"),
+                    "homepage", F.col("main_page.title").alias("main_title"), F.length("main_page.text").cast("bigint").alias("main_chars"),
+                    "subpage_count", F.col("error").alias("site_error"))
+
+
 @query("orphan_domains", O.with_views("""
 SELECT s.domain FROM scrape s WHERE s.ok AND s.domain NOT IN (SELECT domain FROM manifest)""",
     "site_pages", "probe_log", "registry", extra=REACH_EXTRA + ",\n" + SCRAPE_CTE + "," + KEPT_CTE))

@@ -194,6 +194,17 @@ def q_company_search(spark, sf_dir):
     return R.search(FX.registry(spark, sf_dir), **SEARCH)
 
 
+PLACE = dict(location="nation_1", main_business_line="BUILDING", post_code="00003", max_companies=50)
+
+
+@query("search_places", O.with_views("""SELECT r.*, n.n_name AS location, c.c_mktsegment AS business_line, lpad(CAST(c.c_custkey % 7 AS VARCHAR), 5, '0') AS post_code
+FROM registry r JOIN customer c ON c.c_custkey = r.seq JOIN nation n ON n.n_nationkey = c.c_nationkey
+WHERE lower(n.n_name) = 'nation_1' AND c.c_mktsegment = 'BUILDING' AND c.c_custkey % 7 = 3 ORDER BY r.seq LIMIT 50""", "registry"))
+def q_search_places(spark, sf_dir):
+    """Search by location, line of business and post code."""
+    return R.search(FX.registry_places(spark, sf_dir), **PLACE)
+
+
 def _id_file(spark, sf_dir):
     """A8 input: ids of deregistered companies, one per line, padded, with blanks."""
     reg = FX.registry(spark, sf_dir)

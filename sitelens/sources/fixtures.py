@@ -239,3 +239,21 @@ SUFFIX_RULES = ("// rules", "com", "net", "org", "example.net", "*.example.org",
 
 def suffix_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SUFFIX_RULES], "suffix string")
+
+
+def registry_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat register with each company's place (its nation), line of business and post code."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    p = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("seq"), F.col("n_name").alias("location"), F.col("c_mktsegment").alias("business_line"),
+        F.lpad((F.col("c_custkey") % 7).cast("string"), 5, "0").alias("post_code"))
+    return registry(spark, sf_dir).join(p, "seq")
+
+
+def probe_log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempt log with error messages and kinds that show them."""
+    message = F.concat(F.lit("cannot reach "), F.col("domain"), F.lit(" after some attempts"))
+    kind = (F.when((F.col("error_kind") == "dns_error") & (F.col("seq") % 12 == 0), "url_error")
+            .when(F.col("error_kind") == "timeout", "IncompleteRead").otherwise(F.col("error_kind")))
+    return probe_log(spark, sf_dir).withColumn("message", F.when(kind.isNotNull(), message)).withColumn("error_kind", kind)
