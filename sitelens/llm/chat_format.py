@@ -2,7 +2,8 @@
 
 A log holds events ``(conv_id, seq, kind, msg, role, text)``:
 
-* ``message``  - a whole message ``msg`` with its role and text;
+* ``message``  - a whole message ``msg`` with its role and text; if there is one of that
+  number, a further one of the same number, and what follows is about that;
 * ``delta``    - ``text`` is appended to message ``msg`` (made empty if new);
 * ``edit``     - the text of message ``msg`` becomes ``text``;
 * ``regenerate`` - the text of message ``msg`` is discarded, and so are all
@@ -20,10 +21,11 @@ with ``\\`` written ``\\\\`` and ``<|`` written ``<\\|`` inside roles and texts
 control string of the template inside a text.
 
 Spark spreads conversations over tasks and sorts each partition with spill;
-the fold reads the sorted stream.  Open messages are kept only as long as an
-event can still change them: a log that announces ``closed`` messages (the
-plain turn table, where every event is a whole message) is rendered row by row,
-so even a conversation with a third of all rows is never held in memory.
+the fold reads the sorted stream.  A log is ``closed`` if no event goes back to an
+earlier message (the plain turn table, streamed answers without later edits): the
+same fold then hands a message on as soon as the next one begins, so even a
+conversation with a third of all rows is held one message at a time.  An open log
+is held a conversation at a time.  Both give the same messages.
 
 Defined cases: a null text is empty; a null role is the empty role; rows with a
 null ``conv_id`` form one conversation of their own; equal rows stay separate
@@ -74,32 +76,42 @@ def read_turn(rendered: str) -> tuple[str, str]:
     return unescape(m[1], True), unescape(m[2])
 
 
+def _place(msg: int | None) -> tuple[bool, int]:
+    """Order of message numbers, null first."""
+    return msg is not None, msg or 0
+
+
 class Fold:
-    """Messages of one conversation; a dict keeps the order of first mention."""
+    """Messages of one conversation by number and, under one number, by their order."""
 
     def __init__(self) -> None:
-        self.messages: dict[int, list] = {}
+        self.messages: dict[tuple, list] = {}
+        self.copies: dict[int | None, int] = {}
 
-    def apply(self, kind: str, msg: int, role: str, text: str) -> None:
+    def apply(self, kind: str, msg: int | None, role: str, text: str) -> None:
         m = self.messages
         if kind == "message":
-            m[msg] = [role, [text]]
+            self.copies[msg] = self.copies.get(msg, -1) + 1
+        elif kind in ("delta", "edit"):
+            self.copies.setdefault(msg, 0)
+        at = (*_place(msg), self.copies.get(msg, 0))
+        if kind == "message":
+            m[at] = [role, [text]]
         elif kind == "delta":
-            at = m.setdefault(msg, [role, []])
-            at[0] = at[0] or role
-            at[1].append(text)
+            own = m.setdefault(at, [role, []])
+            own[0] = own[0] or role
+            own[1].append(text)
         elif kind == "edit":
-            if msg in m:
-                m[msg][1] = [text]
-            else:
-                m[msg] = [role, [text]]
+            m.setdefault(at, [role, []])[1] = [text]
         elif kind == "regenerate":
-            for later in [k for k in m if k > msg]:
+            for later in [k for k in m if k[:2] > at[:2]]:
                 del m[later]
-            if msg in m:
-                m[msg][1] = []
+            if at in m:
+                m[at][1] = []
         elif kind == "delete":
-            m.pop(msg, None)
+            for own in [k for k in m if k[:2] == at[:2]]:
+                del m[own]
+            self.copies.pop(msg, None)
         else:
             raise ValueError(f"unknown event kind {kind!r}")
 
@@ -123,8 +135,8 @@ def format_events(events: DataFrame, closed: bool = False) -> DataFrame:
     one partition).  ``loss_start``/``loss_end`` span the text under the loss
     mask inside ``rendered`` in code points (null: nothing).
 
-    ``closed``: every event is a whole message of its own, in final order, so the
-    fold closes each message at once and rows are rendered as they stream by.
+    ``closed``: events come message by message, so the fold hands each on when the
+    next begins; an event for an earlier message is an error.
     """
     spark = events.sparkSession
     bound_batches(spark)
@@ -136,6 +148,7 @@ def format_events(events: DataFrame, closed: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = ()
+        opened = None
         fold, number = Fold(), 0
         out: list[tuple] = []
 
@@ -160,6 +173,7 @@ def format_events(events: DataFrame, closed: bool = False) -> DataFrame:
                 if len(out) >= 512:
                     yield from flush()
             fold.messages = {}
+            fold.copies = {}
 
         for b in batches:
             c = [b.column(i).to_pylist() for i in range(6)]
@@ -167,12 +181,13 @@ def format_events(events: DataFrame, closed: bool = False) -> DataFrame:
                 if now == () or conv != now:
                     if now != ():
                         yield from end()
-                    now, number = conv, 0
-                if closed and kind != "message":
-                    raise ValueError(f"a closed log holds messages only, not {kind!r}")
-                fold.apply(kind, msg, role, text)
-                if closed:
+                    now, number, opened = conv, 0, None
+                if closed and opened is not None and (kind == "message" or _place(msg) != opened):
+                    if _place(msg) < opened:
+                        raise ValueError(f"a closed log goes back to message {msg}")
                     yield from end()
+                opened = _place(msg)
+                fold.apply(kind, msg, role, text)
             yield from flush()
         if now != ():
             yield from end()
