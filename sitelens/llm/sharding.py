@@ -114,7 +114,7 @@ def shuffle_shards(df: DataFrame, shards: int = 24, seed: int = 7, settled: bool
     matrix = communication_matrix(sizes, shards, seed)
     total = sum(sizes)
     dealt = spark.sparkContext.broadcast(matrix)
-    pid, idx = free_name(df, "__pid"), free_name(df, "__idx")
+    pid, idx, order, bucket, ahead, rank = (free_name(df, f"__{x}") for x in ("pid", "idx", "key", "bucket", "off", "rank"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -151,14 +151,14 @@ def shuffle_shards(df: DataFrame, shards: int = 24, seed: int = 7, settled: bool
                                T.StructField(pid, T.IntegerType()), T.StructField(idx, T.LongType())])
         buckets = max(1, -(-total // (shards * bucket_rows)))
         key = F.xxhash64(F.lit(seed), F.col(pid), F.col(idx))
-        return (rows.mapInArrow(deal, schema).withColumn("__key", key)
-                    .withColumn("__bucket", F.pmod(F.shiftrightunsigned(F.col("__key"), 20), F.lit(buckets)).cast("int")))
+        return (rows.mapInArrow(deal, schema).withColumn(order, key)
+                    .withColumn(bucket, F.pmod(F.shiftrightunsigned(F.col(order), 20), F.lit(buckets)).cast("int")))
 
     # bucket counts from the narrowest view of the same rows: the deal depends on positions alone
-    counts = placed(df.select(F.lit(True).alias("__row"))).groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    rank = Window.partitionBy("shard", "__bucket").orderBy("__key", pid, idx)
-    out = placed(df).join(offsets, ["shard", "__bucket"]).withColumn("__rank", F.row_number().over(rank))
+    counts = placed(df.select(F.lit(True).alias("__row"))).groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", bucket, F.coalesce(F.sum("n").over(w), F.lit(0)).alias(ahead))
+    inside = Window.partitionBy("shard", bucket).orderBy(order, pid, idx)
+    out = placed(df).join(offsets, ["shard", bucket]).withColumn(rank, F.row_number().over(inside))
     return out.select(*[quoted(c) for c in df.columns], "shard",
-                      (F.col("__off") + F.col("__rank") - 1).cast("bigint").alias("slot"))
+                      (F.col(ahead) + F.col(rank) - 1).cast("bigint").alias("slot"))

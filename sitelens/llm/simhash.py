@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import bound_batches, map_texts, quoted, without, written
+from sitelens.llm.common import free_name, bound_batches, map_texts, quoted, without, written
 from sitelens.llm.components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -258,10 +258,10 @@ def _dealt_anew(rows: DataFrame, max_bits: int) -> DataFrame:
 
 # --- classes --------------------------------------------------------------------
 
-def _classed(hashed: DataFrame, id_col: str, max_bits: int, max_group: int) -> tuple[DataFrame, DataFrame]:
-    """(fp, root) of every fingerprint of a written table with ``__fp``, and the
+def _classed(hashed: DataFrame, id_col: str, fp: str, max_bits: int, max_group: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of every fingerprint of a written table with column ``fp``, and the
     classes (root, component_id, rows)."""
-    nodes = written(hashed.groupBy(F.col("__fp").alias("fp"))
+    nodes = written(hashed.groupBy(F.col(fp).alias("fp"))
                     .agg(F.min(quoted(id_col)).alias("low"), F.count(F.lit(1)).alias("rows")), "simhash-nodes")
     roots = components(links(nodes, max_bits, max_group))
     labelled = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left") \
@@ -273,17 +273,18 @@ def _classed(hashed: DataFrame, id_col: str, max_bits: int, max_group: int) -> t
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", result: str = "simhash",
             shingle: int = 3, max_bits: int = 2, max_group: int = MAX_GROUP, carry_text: bool = True) -> DataFrame:
     """``df`` with the struct column ``result``: ``fingerprint`` (16 hex digits),
-    ``component_id`` (smallest id of the class) and ``rows`` (rows of the class)."""
+    ``component_id`` (smallest id of the class) and ``rows`` (rows of the class).
+    Columns of ``df`` keep their values whatever their names are."""
     bare = without(df, result)
-    hashed = fingerprints(bare, text_col, "__simhash", shingle, carry_text)
-    carried = [quoted(c) for c in hashed.columns if c != "__simhash"]
+    sim, fp = free_name(bare, "__simhash"), free_name(bare, "__fp")
+    hashed = fingerprints(bare, text_col, sim, shingle, carry_text)
+    carried = [quoted(c) for c in hashed.columns if c != sim]
     # written once: fingerprints are not computed again for the nodes, the join and each retry
-    stored = written(hashed.select(*carried, F.col("__simhash.fp").alias("__fp")), "simhash-fp")
-    labelled, tops = _classed(stored, id_col, max_bits, max_group)
-    named = labelled.join(tops, "root").select(F.col("fp").alias("__fp"), "component_id", "rows")
-    return stored.join(named, "__fp").select(*carried, F.struct(
-        F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"),
-        F.col("component_id"), F.col("rows")).alias(result))
+    stored = written(hashed.select(*carried, F.col(f"{sim}.fp").alias(fp)), "simhash-fp")
+    labelled, tops = _classed(stored, id_col, fp, max_bits, max_group)
+    named = labelled.join(tops, "root").select(F.col("fp").alias(fp), F.struct(
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "rows").alias(result))
+    return stored.join(named, fp).select(*carried, quoted(result))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -296,14 +297,16 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     content hash, and one join brings them back to the rows.
     """
     cols = [quoted(c) for c in df.columns]
-    row = [F.xxhash64(F.lit(s), *cols).alias(k) for s, k in ((1, "__k1"), (2, "__k2"))]
-    narrow = fingerprints(df.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"), *row),
+    k1, k2 = free_name(df, "__k1"), free_name(df, "__k2")
+    hashes = [F.xxhash64(F.lit(s), *cols) for s in (1, 2)]
+    narrow = fingerprints(df.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"),
+                                    *[h.alias(k) for h, k in zip(hashes, ("__h1", "__h2"))]),
                           "__text", "__simhash", shingle, carry_text=False)
-    stored = written(narrow.select("__id", "__k1", "__k2", F.col("__simhash.fp").alias("__fp")), "simhash-fp")
-    labelled, _ = _classed(stored, "__id", max_bits, max_group)
+    stored = written(narrow.select("__id", "__h1", "__h2", F.col("__simhash.fp").alias("__fp")), "simhash-fp")
+    labelled, _ = _classed(stored, "__id", "__fp", max_bits, max_group)
     best = (stored.join(labelled, F.col("__fp") == F.col("fp")).groupBy("root")
                   .agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("i"),
-                                      F.col("__k1"), F.col("__k2"))).alias("m")))
-    keep = best.select("m.__k1", "m.__k2")
-    out = df.select(*cols, *row).join(keep, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
-    return out.select(*cols)
+                                      F.col("__h1"), F.col("__h2"))).alias("m")))
+    keep = best.select(F.col("m.__h1").alias(k1), F.col("m.__h2").alias(k2))
+    out = df.select(*cols, *[h.alias(k) for h, k in zip(hashes, (k1, k2))])
+    return out.join(keep, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*cols)
