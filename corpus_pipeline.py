@@ -19,7 +19,7 @@ from sitelens.llm.common import free_name, quoted, written
 from sitelens.llm.queries import packed_digest
 from sitelens.sources.tables import table
 
-ORACLE_SQL = None  # trained scores, XXH64 and the tokenizer are beyond SQL; tests/llm compares with brute force
+ORACLE_SQL = None  # trained scores, XXH64 and the tokenizer are beyond SQL; tests/llm/test_pipeline.py has brute force a stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
