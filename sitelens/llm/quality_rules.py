@@ -133,15 +133,6 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
-def _bounded(counts: Counter, heavy: int) -> Counter:
-    """Take the count of the (heavy + 1)th word off every word; the rest goes.
-    (An approximation; :func:`references` counts exactly.)"""
-    if len(counts) <= heavy:
-        return counts
-    off = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -heavy - 1)[-heavy - 1])
-    return Counter({w: c - off for w, c in counts.items() if c > off})
-
-
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON,
                held: int = HELD) -> dict[str, tuple[list[bytes], np.ndarray, np.ndarray]]:
     """Language -> (common words, their counts and the count of all others, class

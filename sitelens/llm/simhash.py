@@ -36,12 +36,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import free_name, bound_batches, map_texts, quoted, without, written
+from sitelens.llm.common import bound_batches, free_name, map_texts, quoted, without, written
 from sitelens.llm.components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -54,6 +53,8 @@ GOLAY = 0b110001110101
 
 def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
     """Majority bits of the shingle hashes of one text (UTF-8, A-Z lower-cased)."""
+    from xxhash import xxh64_intdigest
+
     words = data.lower().split()
     if not words:
         return 0
@@ -65,7 +66,7 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = [joined[a:b] for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1:].tolist())]
-    one = xxhash.xxh64_intdigest
+    one = xxh64_intdigest
     counts = np.zeros(64, np.int64)
     for at in range(0, len(spans), 1 << 16):
         h = np.array([one(s, seed) for s in spans[at:at + (1 << 16)]], "<u8")

@@ -423,12 +423,6 @@ def test_rules_keep_language_and_reject_noise(spark):
     assert all(out[i] for i in range(40)) and not any(out[i] for i in range(100, 105))
 
 
-def test_bounded_counts_keep_the_heavy_words():
-    c = Counter({f"w{i}": 1 for i in range(100)} | {"big": 50, "mid": 7})
-    b = quality_rules._bounded(c, 5)
-    assert b["big"] == 49 and b["mid"] == 6 and len(b) <= 5
-
-
 def test_references_count_words_exactly(spark):
     rare = " ".join(f"w{i}" for i in range(25_000))
     rows = [(0, rare + " the" * 50, "en"), (1, "the of " * 30, "en"), (2, "le la " * 7 + "le", "fr"), (3, rare, "en")]
