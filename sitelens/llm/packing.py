@@ -40,9 +40,9 @@ from sitelens.llm.common import bound_batches, free_name, gathered, quoted, utf8
 
 SIZE = 2048
 END_ID = 1
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_PARTS = 400_000, 100_000
 #: Texts whose words are looked up together.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 
 #: The normalizer and splitter that word-by-word encoding relies on (fixed values of the vocabulary file).
 WORDWISE = {
@@ -68,7 +68,7 @@ class Encoder:
         model = spec["model"]
         self.wordwise = (all(spec.get(k) == v for k, v in WORDWISE.items()) and model.get("end_of_word_suffix") == "</w>"
                          and model.get("type") == "BPE")
-        self.words, self.parts = Memory(KEPT_WORDS), Memory(KEPT_WORDS)
+        self.words, self.parts = Memory(KEPT_WORDS), Memory(KEPT_PARTS)
         if self.wordwise:
             # the same merges; the parts arrive split, lower-cased and in byte letters
             self.model = Tokenizer(self.whole.model)
