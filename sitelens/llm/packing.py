@@ -40,7 +40,7 @@ from sitelens.llm.common import bound_batches, free_name, gathered, quoted, utf8
 
 SIZE = 2048
 END_ID = 1
-KEPT_WORDS, KEPT_PARTS = 400_000, 100_000
+KEPT_WORDS, KEPT_PARTS = 400_000, 200_000
 #: Texts whose words are looked up together.
 GROUP_BYTES = 1 << 22
 
@@ -101,11 +101,14 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         words = as_binary(coded.dictionary).to_numpy(zero_copy_only=False).tolist()
         known = self.words.memory
-        new = [w for w in words if w not in known]
-        if new:
+        found = list(map(known.get, words))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        if holes:
+            new = [words[i] for i in holes]
             self.words.used(set(words).difference(new))
             self._learn(new)
-        found = list(map(known.__getitem__, words))
+            for i, w in zip(holes, new):
+                found[i] = known[w]
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first = np.cumsum(size) - size
@@ -119,25 +122,46 @@ class Encoder:
         return [out[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _learn(self, words: list[bytes]) -> None:
+        known, held = self.words.memory, self.parts.memory
+        plain = [w for w in words if w.isalpha() and w.islower()]  # a to z: one part each, as it stands
+        if plain:
+            names = b"\n".join(plain).decode().split("\n")
+            fresh = [n for n in names if n not in held]
+            made = dict(zip(fresh, self._encoded(fresh)))
+            known.update(zip(plain, [made.get(n) or held[n] for n in names]))
+            words = [w for w in words if w not in known]
         text = b"\n".join(words).decode("utf-8", "replace")
         odd = set(self.odd(text))  # rare scripts, marks and blanks: the library's own steps
         if odd:
             for w in words:
                 if (t := w.decode("utf-8", "replace")) in odd:
-                    ids = self.whole.encode(t, add_special_tokens=False).ids
-                    self.words.memory[w] = np.array(ids, "<u4").tobytes()
-            words = [w for w in words if w not in self.words.memory]
+                    known[w] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            words = [w for w in words if w not in known]
             text = b"\n".join(words).decode("utf-8")
         if not words:
             return
         parts = self.split(unicodedata.normalize("NFC", text).lower())
         distinct = set(parts)
         distinct.discard("\n")
-        fresh = list(distinct.difference(self.parts.memory))
+        fresh = []
+        here = {"\n": b"\xff\xff\xff\xff"}  # ids fit in three bytes, so this is none: it marks the end of a word
+        for p in distinct:
+            ids = held.get(p) or known.get(p.encode())
+            if ids is None:
+                fresh.append(p)
+            else:
+                here[p] = ids
         self.parts.used(distinct.difference(fresh))
-        known = self.parts.memory
-        for at in range(0, len(fresh), 1024):
-            some = fresh[at:at + 1024]
+        made = dict(zip(fresh, self._encoded(fresh)))
+        held.update(made)
+        here.update(made)
+        known.update(zip(words, b"".join(map(here.__getitem__, parts)).split(b"\xff\xff\xff\xff")))
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, not remembered."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 1024):
+            some = parts[at:at + 1024]
             line = " ".join(some).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -145,11 +169,8 @@ class Encoder:
                 raise RuntimeError("a word without an end token")
             raw = ids.tobytes()
             ends = (4 * cuts).tolist()
-            known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        # ids fit in three bytes, so four bytes of ones are no id: they mark the end of a word
-        known["\n"] = b"\xff\xff\xff\xff"
-        self.words.memory.update(zip(words, b"".join(map(known.__getitem__, parts)).split(b"\xff\xff\xff\xff")))
-        del known["\n"]
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
 
 def as_strings(a: pa.Array) -> pa.Array:
