@@ -40,9 +40,9 @@ from sitelens.llm.common import bound_batches, free_name, gathered, quoted, utf8
 
 SIZE = 2048
 END_ID = 1
-KEPT_WORDS, KEPT_PARTS = 400_000, 200_000
+KEPT_WORDS, KEPT_PARTS = 400_000, 100_000
 #: Texts whose words are looked up together.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 3 << 20
 
 #: The normalizer and splitter that word-by-word encoding relies on (fixed values of the vocabulary file).
 WORDWISE = {
@@ -115,7 +115,11 @@ class Encoder:
         which = coded.indices.to_numpy()
         each = size[which]
         upto = np.concatenate(([0], np.cumsum(each)))
-        out = ids[np.repeat(first[which] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+        kind = np.int32 if upto[-1] < 1 << 31 else np.int64
+        place = np.arange(upto[-1], dtype=kind)
+        place += np.repeat((first[which] - upto[:-1]).astype(kind), each)
+        out = ids[place].tobytes()
+        del place
         ends = 4 * upto[lists.offsets.to_numpy()]
         self.words.shrink()
         self.parts.shrink()
