@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text as TX
 from sitelens.operators import reports as RP
+from sitelens.operators.ordering import global_ordinal
 from sitelens.plans import oracle as O
 from sitelens.plans.catalog import query
 from sitelens.session import shared_path
@@ -83,13 +84,16 @@ def q_progress_steps(spark, sf_dir):
     base = shared_path(spark, "progress-steps")
     src = f"{base}/in"
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    events.coalesce(1).sortWithinPartitions("event_id").write.option("maxRecordsPerFile", STEP_ROWS).parquet(src)
+    step = F.floor(F.col("ordinal") / STEP_ROWS).alias("_step")
+    placed = global_ordinal(events, ["event_id", "value"]).select("event_id", "value", step)
+    # a step is one file, written by one task; many tasks share the steps
+    placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_step").write.partitionBy("_step").parquet(src)
     taken = {}
     steps = S.observed_steps(
-        spark, src, "event_id long, value double",
+        spark, f"{src}/*", "event_id long, value double",
         {"first_id": F.min("event_id"), "last_id": F.max("event_id"), "rows": F.count(F.lit(1)), "value_sum": F.round(F.sum("value"), 4)},
-        f"{base}/checkpoint", f"{base}/out", lambda step, counters: taken.update({step: counters}))
-    handed = spark.createDataFrame([(k, v["rows"]) for k, v in taken.items()], "step long, seen long")
+        f"{base}/checkpoint", f"{base}/out", lambda step, counters: taken.update({step: counters["rows"]}))
+    handed = spark.createDataFrame(list(taken.items()), "step long, seen long")
     return steps.join(handed, "step", "left").select("first_id", "last_id", "rows", "value_sum",
                                                      F.coalesce(F.col("seen") == F.col("rows"), F.lit(False)).alias("handed"))
 

@@ -25,7 +25,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -178,19 +178,19 @@ def _until_quiet(q: StreamingQuery, wait_s: float | None) -> None:
 
 
 class StepCounters(StreamingQueryListener):
-    """Hands the observed counters of every micro-batch to ``take`` as they come."""
+    """Hands the observed counters of a micro-batch's steps to ``take``, in order, as the micro-batch ends."""
 
-    def __init__(self, name: str, take: Callable[[int, dict], None]) -> None:
-        self.name, self.take = name, take
+    def __init__(self, take: Callable[[int, dict], None]) -> None:
+        self.take = take
+        self.observed: dict[int, list[dict]] = {}  # by micro-batch, until its end is reported
         self.ended = threading.Event()  # set after the counters of the last step
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        row = event.progress.observedMetrics.get(self.name)
-        if row is not None and event.progress.numInputRows:
-            self.take(event.progress.batchId, row.asDict())
+        for counters in self.observed.pop(event.progress.batchId, ()):
+            self.take(counters.pop("step"), counters)
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -199,33 +199,57 @@ class StepCounters(StreamingQueryListener):
         self.ended.set()
 
 
+#: Files, and so steps, of one micro-batch.
+STEPS_A_BATCH = 1000
+
+
 def observed_steps(spark: SparkSession, source_dir: str, schema: str, counters: dict[str, Column], checkpoint: str,
-                   out_dir: str, take: Callable[[int, dict], None] | None = None) -> DataFrame:
+                   out_dir: str, take: Callable[[int, dict], None] | None = None, steps_a_batch: int = STEPS_A_BATCH) -> DataFrame:
     """L3: copy a file stream to ``out_dir`` and count every step of it (one file a step; files of N rows
-    make steps of N rows) without a second pass: the counters are observed on the rows as they
-    go by.  Returns ``step`` and the counters, one row a step, in a table under ``out_dir``; ``take``
-    gets each step's counters as it ends.
-
-    The counters of a step are written with its rows under the step's number, so a step that is
-    repeated after a failure replaces itself.
+    make steps of N rows; a file without rows is none).  Steps are numbered from 0 in the order the
+    files came.  Returns ``step`` and the counters, one row a step, in a table under ``out_dir``; ``take``
+    gets each step's counters as its micro-batch ends.
+
+    A micro-batch takes up to ``steps_a_batch`` files and counts them in one aggregate by file, so its fixed
+    costs are shared by many steps and the driver holds the counters of one micro-batch.  Rows and
+    counters are written under the micro-batch's number, so one that is repeated after a failure
+    replaces itself.
     """
-    name = f"steps-{uuid.uuid4().hex[:8]}"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-    observed = stream.observe(name, *[c.alias(k) for k, c in counters.items()])
-    listener = StepCounters(name, take) if take else None
-
-    def sink(batch: DataFrame, step: int) -> None:
-        seen = Observation(f"{name}-{step}")
-        batch.observe(seen, *[c.alias(k) for k, c in counters.items()]).write.mode("overwrite").parquet(f"{out_dir}/rows/step={step}")
-        spark.createDataFrame([(step, *[seen.get[k] for k in counters])], kinds).coalesce(1).write.mode("overwrite").parquet(
-            f"{out_dir}/counters/no={step}")
-
+    name = uuid.uuid4().hex[:8]
+    file, at, listed = f"_file_{name}", f"_at_{name}", f"steps_{name}"
     kinds = T.StructType([T.StructField("step", T.LongType()), *spark.createDataFrame([], schema).agg(
         *[c.alias(k) for k, c in counters.items()]).schema])
+    spark.createDataFrame([], kinds).write.mode("overwrite").parquet(f"{out_dir}/counters/no=-1")  # a table even without a step
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", steps_a_batch).parquet(source_dir)
+    stream = stream.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_modification_time").alias(at))
+    listener = StepCounters(take) if take else None
+    ended: dict[int, int] = {}  # steps up to the end of a micro-batch
+
+    def before(no: int) -> int:
+        """Steps of all micro-batches before ``no``; read from the table at the first of a run only."""
+        if no - 1 not in ended:
+            ended[no - 1] = spark.read.schema("step long, no long").parquet(f"{out_dir}/counters").filter(F.col("no") < no).count()
+        return ended.pop(no - 1)
+
+    def sink(batch: DataFrame, no: int) -> None:
+        first = before(no)
+        each = batch.groupBy(file, at).agg(*[c.alias(k) for k, c in counters.items()])
+        order = Window.orderBy(at, file)  # one row a file of this micro-batch
+        each = each.select((F.row_number().over(order) + F.lit(first - 1)).cast("bigint").alias("step"), *counters, file)
+        seen = Observation(f"{listed}_{no}")
+        each.observe(seen, F.collect_list(F.struct("step", *counters)).alias(listed)).coalesce(1).write.mode("overwrite").parquet(
+            f"{out_dir}/counters/no={no}")
+        steps = seen.get[listed]
+        ended[no] = first + len(steps)
+        if listener:
+            listener.observed[no] = sorted((r.asDict() for r in steps), key=lambda c: c["step"])
+        numbers = spark.read.schema(T.StructType([kinds["step"], T.StructField(file, T.StringType())])).parquet(f"{out_dir}/counters/no={no}")
+        batch.join(F.broadcast(numbers), file).drop(file, at).write.mode("overwrite").parquet(f"{out_dir}/rows/no={no}")
+
     if listener:
         spark.streams.addListener(listener)
     try:
-        q = observed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
         if listener:
             listener.ended.wait(60)  # events come from another thread

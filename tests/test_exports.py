@@ -132,3 +132,18 @@ def test_observed_steps_resume(spark, tmp_path):
     assert [(r.step, r["rows"]) for r in steps] == taken == [(0, 10), (1, 10), (2, 10), (3, 7)]
     assert sorted(r.low for r in steps) == [0, 10, 20, 30] and Counter(r.low for r in steps)[30] == 1
     assert spark.read.parquet(f"{out}/rows").count() == 37
+
+
+def test_observed_steps_share_micro_batches(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    counters = {"rows": F.count(F.lit(1)), "low": F.min("id")}
+    taken = []
+    run = lambda: S.observed_steps(spark, src, "id long", counters, ckpt, out, lambda k, c: taken.append((k, c["rows"], c["low"])), 4)
+    spark.range(0, 90).coalesce(1).write.option("maxRecordsPerFile", 10).parquet(src)
+    run()
+    spark.range(90, 105).coalesce(1).write.option("maxRecordsPerFile", 10).mode("append").parquet(src)
+    steps = [tuple(r) for r in run().orderBy("step").collect()]
+    assert steps == taken and [s[0] for s in steps] == list(range(11)) and sorted(s[2] for s in steps) == list(range(0, 105, 10))
+    rows = spark.read.parquet(f"{out}/rows")
+    assert rows.groupBy("step").agg(F.count("*"), F.min("id")).orderBy("step").collect() == steps
+    assert [r.no for r in rows.select("no").distinct().orderBy("no").collect()] == [0, 1, 2, 3]  # not one a file
