@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _append_to(path: str):
@@ -43,26 +42,19 @@ def resumable_log(spark: SparkSession, source_dir: str, schema: str, key: str, l
                   checkpoint: str, max_files_per_trigger: int | None = None, order: str = "seq") -> None:
     """L1: append every key's first outcome to ``log_dir``; earlier keys are skipped.
 
-    Inside a micro-batch the outcome with the smallest ``order`` counts.  The
-    state is the done-set itself (one flag a key), so it lasts as long as the log.
+    Inside a micro-batch the outcome with the smallest ``order`` counts (nulls last).  The state is the
+    done-set itself, so it lasts as long as the log: one aggregate row a key, which holds the first and
+    the last micro-batch (by its logged time) that had the key.  A key is new while they are the same.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-
-    def first(_, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in pdfs:
-            row = pdf.sort_values(order, kind="stable").head(1)
-            if best is None or row[order].iloc[0] < best[order].iloc[0]:
-                best = row
-        if not state.exists and best is not None:
-            state.update((True,))
-            yield best
-
-    stream = reader.parquet(source_dir).groupBy(key).applyInPandasWithState(
-        first, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
-    q = (stream.writeStream.foreachBatch(_append_to(log_dir)).option("checkpointLocation", checkpoint)
+    stream = reader.parquet(source_dir)
+    stream = stream.select(F.struct(*stream.columns).alias("_row"), F.col(key).alias("_key"),
+                           F.struct(F.col(order).isNull(), F.col(order)).alias("_rank"), F.current_timestamp().alias("_now"))
+    seen = stream.groupBy("_key").agg(F.min_by("_row", "_rank").alias("_row"), F.min("_now").alias("_first"), F.max("_now").alias("_last"))
+    new = seen.filter(F.col("_first") == F.col("_last")).select("_row.*")
+    q = (new.writeStream.outputMode("update").foreachBatch(_append_to(log_dir)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 

@@ -85,3 +85,15 @@ def test_resumable_log_takes_the_first_of_a_micro_batch(spark):
     S.resumable_log(spark, f"{base}/in", SCHEMA, "domain", f"{base}/log", f"{base}/ckpt")
     got = spark.read.schema(SCHEMA).parquet(f"{base}/log").collect()
     assert sorted((r.seq, r.domain, r.ok) for r in got) == [(1, "b", "x"), (2, "a", "True")]
+
+
+def test_resumable_log_keeps_its_done_set_without_python_workers(spark):
+    """Keys are told apart in the state store; a key sent again and again, or null, is logged once."""
+    base = tempfile.mkdtemp(prefix="sitelens-done-")
+    src, log, ckpt = f"{base}/in", f"{base}/log", f"{base}/ckpt"
+    for k in range(4):
+        rows = [(10 - k, "a", str(k)), (None, "b", str(k)), (k, "b", f"{k}!"), (k, None, str(k)), (k, f"new{k}", str(k))]
+        spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(src, mode="append")
+        S.resumable_log(spark, src, SCHEMA, "domain", log, ckpt, max_files_per_trigger=1 if k == 3 else None)
+    got = spark.read.schema(SCHEMA).parquet(log).collect()
+    assert sorted((str(r.domain), r.ok) for r in got) == [("None", "0"), ("a", "0"), ("b", "0!"), ("new0", "0"), ("new1", "1"), ("new2", "2"), ("new3", "3")]
