@@ -79,8 +79,10 @@ def text_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     clean = docs.select(key, TX.clean_text(text).alias("_clean"))
     tok = token_counter(F.col("_clean")) if token_counter else TX.token_estimate("_clean")
-    return clean.select(key, F.length("_clean").cast("bigint").alias("Char_clean"),
-                        TX.word_count("_clean").alias("Words_clean"), tok.cast("bigint").alias("Tokens"))
+    chars = F.length("_clean")
+    spaces = chars - F.length(F.replace("_clean", F.lit(" "), F.lit("")))  # one between two words, none at the ends
+    words = F.when(chars > 0, spaces + 1).otherwise(spaces)
+    return clean.select(key, chars.cast("bigint").alias("Char_clean"), words.cast("bigint").alias("Words_clean"), tok.cast("bigint").alias("Tokens"))
 
 
 def text_length_summary(lengths: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _english(spark, sf_dir):
     """Texts labelled English, in one pass: the label is a filter, not a join."""
     d = _docs(spark, sf_dir, "text", "lang")
     label = TX.language_label("text", F.col("lang"), MIN_CHARS, TX.is_junk("text"))
-    return d.filter(label == "en").select("doc_id", "text")
+    return d.filter(F.col("lang") == "en").filter(label == "en").select("doc_id", "text")  # what is not detected so is never labelled so
 
 
 LABEL_SQL = f"""CASE WHEN {O.is_junk('text')} THEN 'blocked'
