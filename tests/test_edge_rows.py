@@ -312,3 +312,20 @@ def test_clean_text_equals_its_steps(spark):
         assert r[0::2] == r[1::2]
     plan = df.select(TX.clean_text("t"), TX.language_label("t", F.lit("en")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 2 * 4  # three guarded steps and one for all the others, and their names
+
+
+def test_language_of_common_and_rare_substrings(spark):
+    """A language is the same whether substrings are looked up whole or bucket by bucket."""
+    import random
+
+    from sitelens.operators import language as LG
+    rng = random.Random(9)
+    train = [(x, "".join(rng.choice(w) for _ in range(rng.randint(1, 400)))) for x, w in (("a", "abc d"), ("b", "abé e"), ("c", "日本b ")) for _ in range(8)]
+    texts = ["", None, "q", "d", "日", "é\U0001F600"] + ["".join(rng.choice("abcdeé日本 q") for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = [x or "" for x in brute_language(train, texts)]
+    for common in (0, 5, LG.COMMON):
+        model = LG.train(spark.createDataFrame(train, "lang string, text string"), common=common)
+        assert model.common.count() <= common
+        got = {r.doc_id: r.lang_id or "" for r in LG.identify(docs, model).collect()}
+        assert [got[i] for i in range(len(texts))] == want
