@@ -79,23 +79,33 @@ def tfidf(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return j.select(key, "term", "tf", F.round(F.col("tf") * idf, 6).alias("tfidf"))
 
 
+#: Binned features (4 bytes each) of one partition of the forest's training rows.
+FOREST_CELLS = 25_000_000
+
+
 def train_forest(train: DataFrame, vocab_size: int, min_df: float, trees: int = 20,
                  depth: int = 5, seed: int = 42):
     """O4 model: RegexTokenizer -> CountVectorizer -> IDF -> RandomForest (pyspark.ml).
 
-    ``vocab_size`` and ``min_df`` bound the model's features; the caller states them.
+    ``vocab_size`` and ``min_df`` bound the model's features; the caller states them.  The forest keeps
+    a dense row of binned features a document, many times its text, so more than :data:`FOREST_CELLS`
+    of them are dealt out anew before it is fitted.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 
-    pipe = Pipeline(stages=[
+    rows = train.select("doc_id", "text", F.col("label").cast("double").alias("label"))
+    features = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="words", pattern=TOKEN_SPLIT, toLowercase=True),
         CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocab_size, minDF=min_df),
-        IDF(inputCol="tf", outputCol="features"),
-        RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth,
-                               seed=seed)])
-    return pipe.fit(train.select("doc_id", "text", F.col("label").cast("double").alias("label")))
+        IDF(inputCol="tf", outputCol="features")]).fit(rows)
+    points = features.transform(rows).select("label", "features")
+    parts = -(-rows.count() * vocab_size // FOREST_CELLS)
+    if parts > 1:
+        points = points.repartition(parts)
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(points)
+    return PipelineModel([*features.stages, forest])
 
 
 def predictors(docs: DataFrame, label: str = "label", text: str = "text", top: int = 20, min_docs: int = 1) -> DataFrame:

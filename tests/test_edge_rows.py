@@ -329,3 +329,15 @@ def test_language_of_common_and_rare_substrings(spark):
         assert model.common.count() <= common
         got = {r.doc_id: r.lang_id or "" for r in LG.identify(docs, model).collect()}
         assert [got[i] for i in range(len(texts))] == want
+
+
+def test_forest_rows_are_dealt_out_by_their_dense_size(spark, monkeypatch):
+    """The forest holds dense rows: its partitions grow in number with documents times features."""
+    from pyspark.ml.classification import RandomForestClassifier
+    parts, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    rows = spark.createDataFrame([(i, f"w{i % 7} x{i % 3} y", i % 2) for i in range(60)], "doc_id int, text string, label int").coalesce(1)
+    L.train_forest(rows, vocab_size=50, min_df=1.0, trees=2)
+    monkeypatch.setattr(L, "FOREST_CELLS", 500)
+    model = L.train_forest(rows, vocab_size=50, min_df=1.0, trees=2)
+    assert parts == [1, 6] and model.transform(rows).count() == 60 and set(model.stages[1].vocabulary) >= {"y", "w0"}
